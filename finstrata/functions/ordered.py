@@ -44,7 +44,8 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int) -> Dat
         df = df.join(bounds, list(by))
         out = df.withColumn("_b", position(F.col(order), F.col("_cuts"))).drop("_cuts")
     else:
-        out = df.withColumn("_b", position(F.col(order), scalar(df.agg(cuts.alias("_cuts")))))
+        df = df.withColumn("_cuts", scalar(df.agg(cuts.alias("_cuts"))))
+        out = df.withColumn("_b", position(F.col(order), F.col("_cuts"))).drop("_cuts")
     return out
 
 

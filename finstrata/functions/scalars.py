@@ -60,7 +60,8 @@ def altman_probability(z: Column, cut: float = 1.1, scale: float = 0.5) -> Colum
 
 def imbalance_level(minority_pct: Column) -> Column:
     return (
-        F.when(minority_pct >= 40, "balanced").when(minority_pct >= 20, "slight").otherwise("severe")
+        F.when(minority_pct <= 0, "single_class").when(minority_pct >= 40, "balanced")
+        .when(minority_pct >= 20, "slightly_imbalanced").otherwise("severely_imbalanced")
     )
 
 
