@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..constants import COST_FN, COST_FP, EVAL_THRESHOLDS, FBETA, PRECISION_TARGET
+from ..constants import COST_FN, COST_FP, FBETA, PRECISION_TARGET
 from ..functions.ordered import position, quantile_grid, running_totals, scalar
 
 
@@ -248,19 +248,21 @@ def scan_counts(df: DataFrame, grid: DataFrame, p: str = "p", y: str = "y") -> D
 
 def evaluate(df: DataFrame, by: Sequence[str] = (), operating: float | None = None, cost_fn: float = COST_FN, cost_fp: float = COST_FP) -> DataFrame:
     """One row per group: size, base rate, AUROC, AP, Brier, best F1 point, cost-optimal point."""
+    if not by:
+        return evaluate(df.withColumn("_all", F.lit(1)), ["_all"], operating, cost_fn, cost_fp).drop("_all")
+    by = list(by)
     lad = ladder(df, by)
     f1row = F.max_by(F.struct(F.col("p").alias("t"), _f1().alias("f1"), _prec().alias("prec"), _rec().alias("rec")), F.struct(_f1(), -F.col("p")))
     core = lad.groupBy(*by).agg(auroc_agg().alias("auroc"), ap_agg().alias("average_precision"), f1row.alias("b"))
     cost = best_cost(with_edges(lad, [0.0, 1.0], by), by, cost_fn, cost_fp).select(
         *by, F.col("threshold").alias("cost_threshold"), "expected_cost")
     base = brier(df, by)
-    join = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.join(b, F.lit(True)))
-    out = join(join(core, cost), base).select(
+    out = core.join(cost, by).join(base, by).select(
         *by, "n", "observed", "auroc", "average_precision", "brier", F.col("b.t").alias("best_f1_threshold"), F.col("b.f1").alias("best_f1"),
         F.col("b.prec").alias("best_f1_precision"), F.col("b.rec").alias("best_f1_recall"), "cost_threshold", "expected_cost")
     if operating is not None:
-        out = join(out, with_metrics(confusion(df, operating, by), ["precision", "recall", "f1", "mcc"]).select(
-            *by, *[F.col(c).alias(f"op_{c}") for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "mcc")]))
+        op = with_metrics(confusion(df, operating, by), ["precision", "recall", "f1", "mcc"])
+        out = out.join(op.select(*by, *[F.col(c).alias(f"op_{c}") for c in ("tp", "fp", "fn", "tn", "precision", "recall", "f1", "mcc")]), by)
     return out
 
 
@@ -300,5 +302,3 @@ def threshold_or_default(chosen: DataFrame, default: float = 0.5) -> DataFrame:
     """A single chosen threshold, or the default when none was found."""
     return chosen.agg(F.coalesce(F.max("threshold"), F.lit(default)).alias("threshold"))
 
-
-DEFAULT_THRESHOLDS = list(EVAL_THRESHOLDS)
