@@ -43,3 +43,329 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, out: str = "q") -> DataF
     own = W.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0)
     q = t.withColumn("_q", F.min("_v").over(own)).join(tail, "_b").select(p, F.least("_q", F.coalesce("_tail", F.lit(1.0))).alias(out))
     return df.join(q, p, "left").select(*df.columns, out)
+
+
+# ---- per-column profile -----------------------------------------------------------------------------
+
+def column_profile(long: DataFrame, key: str = "feature", value: str = "value") -> DataFrame:
+    """Size, missing, distinct, spread, tails and outliers of every column of a long (key, value) table.
+
+    Skewness and kurtosis are bias-corrected (Spark's are the population ones).
+    """
+    known = long.where(F.col(value).isNotNull())
+    size = long.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(value)).alias("n_missing"))
+    m = known.groupBy(key).agg(
+        F.count(F.lit(1)).alias("m"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
+        F.max(value).alias("max"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"),
+        F.sum((F.col(value) == 0).cast("int")).alias("n_zero"), F.sum((F.col(value) < 0).cast("int")).alias("n_neg"))
+    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    uniq = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"))
+    q = quantiles_from_totals(running_totals(counts, value, ["n"], [key]), value, [0.01, 0.25, 0.5, 0.75, 0.99], [key])
+    name = lambda p, a: F.max(F.when(F.abs(F.col("prob") - p) < 1e-9, F.col("q"))).alias(a)
+    q = q.groupBy(key).agg(name(0.01, "p1"), name(0.25, "q1"), name(0.5, "median"), name(0.75, "q3"), name(0.99, "p99"))
+    # outliers need the quartiles, so they are a second look at the distinct values, not at the rows
+    stats = m.join(q, key).join(uniq, key)
+    iqr = F.col("q3") - F.col("q1")
+    fence = stats.select(key, "mean", "std", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
+    v = F.col(value)
+    out = counts.join(fence, key).groupBy(key).agg(
+        F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), F.col("n")).otherwise(0)).alias("iqr_outlier_n"),
+        F.sum(F.when((F.col("std") > 0) & (F.abs(v - F.col("mean")) / F.col("std") > 3.0), F.col("n")).otherwise(0)).alias("z3_n"))
+    k = F.col("m").cast("double")
+    spread = F.col("std") > 0
+    return size.join(stats.join(out, key), key, "left").select(
+        key, "n", "n_missing", (100.0 * F.col("n_missing") / F.col("n")).alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+        (F.col("n_unique") == 1).cast("int").alias("is_constant"),
+        ((F.col("n_unique") > 1) & (F.col("top_n") / k >= 0.95)).cast("int").alias("is_near_constant"),
+        F.round(F.col("top_n") / k, 4).alias("top_value_share"), "mean", F.coalesce("std", F.when(k == 1, 0.0)).alias("std"),
+        "min", "p1", "q1", "median", "q3", "p99", "max",
+        F.when((k >= 3) & spread, F.col("g1") * F.sqrt(k * (k - 1)) / (k - 2)).alias("skew"),
+        F.when((k >= 4) & spread, ((k + 1) * F.col("g2") + 6) * (k - 1) / ((k - 2) * (k - 3))).alias("kurtosis_excess"),
+        (100.0 * F.col("n_zero") / k).alias("zero_pct"), (100.0 * F.col("n_neg") / k).alias("negative_pct"),
+        "iqr_outlier_n", (100.0 * F.col("iqr_outlier_n") / k).alias("iqr_outlier_pct"), (100.0 * F.col("z3_n") / k).alias("z3_outlier_pct"))
+
+
+def quality_flags(profile: DataFrame, key: str = "feature") -> DataFrame:
+    """(flag, feature) rows."""
+    flags = {
+        "constant": F.col("is_constant") == 1, "near_constant": F.col("is_near_constant") == 1, "missing_gt_20pct": F.col("missing_pct") > 20,
+        "heavy_tail": (F.abs(F.coalesce("skew", F.lit(0.0))) > 5) | (F.coalesce("kurtosis_excess", F.lit(0.0)) > 20),
+        "many_outliers": F.coalesce("iqr_outlier_pct", F.lit(0.0)) > 5,
+    }
+    hit = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))
+    return profile.select(key, F.explode(hit).alias("flag"))
+
+
+# ---- association with a label -----------------------------------------------------------------------
+
+def target_association(long: DataFrame, key: str = "feature", value: str = "value", y: str = "y", min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """Per feature: AUC, rank-biserial effect, direction, point-biserial r with p and q, lift of the top decile."""
+    known = long.where(F.col(value).isNotNull())
+    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
+    t = running_totals(counts, value, ["n", "n_pos"], [key])
+    neg = F.col("n") - F.col("n_pos")
+    below = (F.col("n_cum") - F.col("n_pos_cum")) - neg
+    auc = t.groupBy(key).agg(
+        F.try_divide(F.sum(F.col("n_pos").cast("double") * (below + neg / 2.0)),
+                     F.max("n_pos_tot").cast("double") * (F.max("n_tot") - F.max("n_pos_tot"))).alias("auc"))
+    cut = quantiles_from_totals(t, value, [0.9], [key]).select(key, F.col("q").alias("_cut"))
+    top = counts.join(cut, key).where(F.col(value) >= F.col("_cut")).groupBy(key).agg((F.sum("n_pos") / F.sum("n")).alias("_top"))
+    r = known.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr(value, y).alias("r"), F.avg(y).alias("base"), F.stddev_samp(value).alias("_sd"))
+    j = r.join(auc, key, "left").join(top, key, "left")
+    ok = (F.col("n_pairs") >= min_pairs) & (F.col("_sd") > 0) & (F.col("base") > 0) & (F.col("base") < 1)
+    df = F.col("n_pairs") - 2.0
+    j = j.select(
+        key, "n_pairs", F.when(ok, F.col("auc")).alias("auc"), F.when(ok, 2 * F.col("auc") - 1).alias("effect"),
+        F.when(ok, F.when(F.col("auc") > 0.5, "high").otherwise("low")).alias("direction"), F.when(ok, F.col("r")).alias("r"),
+        F.when(ok, F.col("_top") / F.col("base")).alias("lift_top_decile"),
+        F.when(ok, F.col("r") * F.sqrt(df / (1.0 - F.col("r") * F.col("r")))).alias("t"), df.alias("dof"))
+    j = j.withColumn("p_value", student_two_sided(F.col("t"), F.col("dof").cast("double"))).drop("dof")
+    return benjamini_hochberg(j, "p_value", key, "q_value")
+
+
+def mutual_information(long: DataFrame, bins: int = 20, key: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
+    """Plug-in mutual information (nats) with the label over quantile bins; a binned estimator, not a kNN one."""
+    known = long.where(F.col(value).isNotNull())
+    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
+    t = running_totals(counts, value, ["n"], [key])
+    b = F.least(F.lit(bins - 1), F.floor((F.col("n_cum") - F.col("n")) * bins / F.col("n_tot")))
+    cells = t.groupBy(key, b.alias("b")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("p"))
+    tot = cells.groupBy(key).agg(F.sum("n").alias("N"), F.sum("p").alias("P"))
+    j = cells.join(tot, key)
+    term = lambda c, m: F.when(c > 0, c / F.col("N") * F.ln(c * F.col("N") / (F.col("n") * m))).otherwise(0.0)
+    p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
+    return j.groupBy(key).agg(F.sum(term(p, F.col("P")) + term(q, F.col("N") - F.col("P"))).alias("mi"))
+
+
+# ---- correlation --------------------------------------------------------------------------------------
+
+def _pairs(arrays: DataFrame, names: Sequence[str], arr: str = "v") -> DataFrame:
+    """(i, j, a, b) of every pair of columns, generated per row and folded by a partial aggregate at once."""
+    ij = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(len(names)) for j in range(i + 1, len(names))])
+    t = arrays.select(F.col(arr), F.explode(ij).alias("ij"))
+    a, b = F.get(F.col(arr), F.col("ij.i")), F.get(F.col(arr), F.col("ij.j"))
+    return t.select("ij.i", "ij.j", a.alias("a"), b.alias("b")).where("a is not null and b is not null")
+
+
+def _named(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    lit = F.array(*[F.lit(n) for n in names])
+    return pairs.withColumn("a", F.get(lit, F.col("i"))).withColumn("b", F.get(lit, F.col("j"))).drop("i", "j")
+
+
+def _correlate(p: DataFrame, min_pairs: int) -> DataFrame:
+    g = p.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"))
+    ok = (F.col("n") >= min_pairs) & (F.col("sa") > 0) & (F.col("sb") > 0)
+    return g.select("i", "j", "n", F.when(ok, F.col("r")).alias("r"))
+
+
+def pearson(df: DataFrame, names: Sequence[str], min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """(a, b, n, r) over rows where both columns are known."""
+    arrays = df.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
+    return _named(_correlate(_pairs(arrays, names), min_pairs), names)
+
+
+def rank_arrays(df: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Each column replaced by its mid-ranks over its own known rows, as one array per row."""
+    order = F.array(*[F.lit(n) for n in names])
+    long = df.unpivot([F.col(i) for i in ids], [F.col(n).cast("double").alias(n) for n in names], "feature", "value").where("value is not null")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    t = running_totals(counts, "value", ["n"], ["feature"]).select("feature", "value", (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias("rank"))
+    ranked = long.join(t, ["feature", "value"])
+    cell = F.map_from_entries(F.collect_list(F.struct("feature", "rank")))
+    per = ranked.groupBy(*ids).agg(cell.alias("m"))
+    return per.select(*ids, F.transform(order, lambda n: F.try_element_at("m", n)).alias("v"))
+
+
+def spearman(df: DataFrame, ids: Sequence[str], names: Sequence[str], min_pairs: int = MIN_PAIRS) -> DataFrame:
+    return _named(_correlate(_pairs(rank_arrays(df, ids, names), names), min_pairs), names)
+
+
+def correlation_report(p: DataFrame, s: DataFrame, limit: int = 20) -> DataFrame:
+    """Strongest pairs first: a top-k report with both coefficients."""
+    j = p.select("a", "b", F.col("r").alias("pearson")).join(s.select("a", "b", F.col("r").alias("spearman")), ["a", "b"])
+    j = j.where("pearson is not null").withColumn("abs_r", F.round(F.abs("pearson"), 4))
+    return j.orderBy(F.col("abs_r").desc(), "a", "b").limit(limit)
+
+
+def outlier_driven(p: DataFrame, s: DataFrame, gap: float = 0.3) -> DataFrame:
+    j = p.select("a", "b", F.col("r").alias("pearson")).join(s.select("a", "b", F.col("r").alias("spearman")), ["a", "b"])
+    return j.withColumn("gap", F.abs(F.col("pearson") - F.col("spearman"))).where(F.col("gap") > gap)
+
+
+def correlation_clusters(p: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Connected columns over |r| >= threshold. The graph has one node per column (at most k(k-1)/2 edges, whatever
+    the number of rows), so its edges are read to the driver and merged there."""
+    edges = [(r["a"], r["b"]) for r in p.where(F.abs("r") >= threshold).select("a", "b").collect()]
+    groups: list[set[str]] = []
+    for a, b in edges:
+        touching = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in touching] + [set().union({a, b}, *touching)]
+    rows = [(min(g), n, len(g)) for g in groups for n in sorted(g)]
+    return p.sparkSession.createDataFrame(rows, "cluster string, feature string, size long")
+
+
+def median_fill(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Missing values of every column replaced by its median (0 when nothing is known)."""
+    long = df.unpivot([], [F.col(n).cast("double").alias(n) for n in names], "feature", "value")
+    med = quantile_columns(long, "value", {"median": 0.5}, ["feature"])
+    m = med.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("m")).scalar()
+    rest = [c for c in df.columns if c not in names]
+    return df.withColumn("_m", m).select(*rest, *[
+        F.coalesce(F.col(n).cast("double"), F.try_element_at("_m", F.lit(n)), F.lit(0.0)).alias(n) for n in names])
+
+
+def correlation_matrix(filled: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """k x k Pearson matrix of complete columns. Sums of products per pair are distributed; only k*k numbers return."""
+    arrays = filled.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
+    out = np.eye(len(names))
+    for r in _correlate(_pairs(arrays, names), 2).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["r"] if r["r"] is not None else 0.0
+    return out
+
+
+def effective_dimensionality(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Participation ratio, components for 95 % of variance and top share, from the spectrum of the k x k matrix."""
+    filled = median_fill(df, names)
+    sd = filled.agg(*[F.stddev_samp(n).alias(n) for n in names]).first()
+    corr = correlation_matrix(filled, names)
+    for i, n in enumerate(names):
+        if not sd[n]:
+            corr[i, :] = corr[:, i] = 0.0
+    lam = np.clip(np.sort(np.linalg.eigvalsh(corr))[::-1], 0.0, None)
+    total = float(lam.sum())
+    row = (len(names), None, None, None)
+    if total > 0:
+        cum = np.cumsum(lam) / total
+        row = (len(names), float(total**2 / (lam**2).sum()), int(np.searchsorted(cum, 0.95) + 1), float(100 * lam[0] / total))
+    return df.sparkSession.createDataFrame([row], "n_columns long, participation_ratio double, n_components_95 long, top_share_pct double")
+
+
+def variance_inflation(df: DataFrame, names: Sequence[str], min_known: int = MIN_PAIRS) -> DataFrame:
+    """Diagonal of the inverse correlation matrix of median-filled columns."""
+    stats = df.agg(*[F.count(n).alias(f"c_{n}") for n in names], *[F.stddev_samp(F.col(n).cast("double")).alias(f"s_{n}") for n in names]).first()
+    keep = [n for n in names if stats[f"c_{n}"] >= min_known and (stats[f"s_{n}"] or 0) > 0]
+    corr = correlation_matrix(median_fill(df.select(*keep), keep), keep)
+    vif = np.diag(np.linalg.pinv(corr))
+    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(keep, vif)], "feature string, vif double")
+
+
+# ---- drift ---------------------------------------------------------------------------------------------
+
+def psi(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value", bins: int = 10) -> DataFrame:
+    """Population stability on reference quantile bins, open at both ends; NULL for too few values or edges."""
+    known = long.where(F.col(value).isNotNull())
+    counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("n"), F.sum(1 - F.col(is_ref)).alias("w"))
+    ref = running_totals(counts.where("n > 0").select(key, value, "n"), value, ["n"], [key])
+    edges = quantiles_from_totals(ref, value, [i / bins for i in range(bins + 1)], [key])
+    e = edges.groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("e"))
+    inner = F.slice(F.col("e"), 2, F.size("e") - 2)
+    cells = counts.join(e, key).where(F.size("e") >= 3).withColumn("_inner", inner)
+    # bin k holds edges[k] <= v < edges[k+1]; the outer bins are unbounded
+    cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b", F.size("e").alias("k")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    tot = counts.groupBy(key).agg(F.sum("n").alias("N"), F.sum("w").alias("M"))
+    eps = F.lit(1e-6)
+    j = cells.join(tot, key)
+    r, c = F.greatest(F.col("n") / F.col("N"), eps), F.greatest(F.col("w") / F.col("M"), eps)
+    # a bin without any row of either side contributes nothing: both shares are eps
+    s = j.groupBy(key, "N", "M").agg(F.sum((c - r) * F.ln(c / r)).alias("psi"))
+    return tot.select(key, "N", "M").join(s.select(key, "psi"), key, "left").select(
+        key, F.when((F.col("N") >= bins) & (F.col("M") >= bins), F.col("psi")).alias("psi"))
+
+
+def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value") -> DataFrame:
+    """Two-sample KS with asymptotic p, standardized mean difference, PSI, BH q and drift flag per feature."""
+    known = long.where(F.col(value).isNotNull())
+    counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("r"), F.sum(1 - F.col(is_ref)).alias("w"))
+    t = running_totals(counts, value, ["r", "w"], [key])
+    ks = t.groupBy(key).agg(
+        F.max(F.abs(F.try_divide(F.col("r_cum").cast("double"), F.col("r_tot")) - F.try_divide(F.col("w_cum").cast("double"), F.col("w_tot")))).alias("ks"))
+    at = lambda fn, v: fn(F.when(F.col(is_ref) == v, F.col(value)))
+    m = known.groupBy(key).agg(
+        at(F.count, 1).alias("n_ref"), at(F.count, 0).alias("n_new"), at(F.avg, 1).alias("mean_ref"), at(F.avg, 0).alias("mean_new"),
+        at(F.var_samp, 1).alias("_v1"), at(F.var_samp, 0).alias("_v0"))
+    j = m.join(ks, key, "left").join(psi(long, is_ref, key, value), key, "left")
+    ok = (F.col("n_ref") >= 3) & (F.col("n_new") >= 3)
+    en = F.col("n_ref").cast("double") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
+    sd = F.sqrt((F.col("_v1") + F.col("_v0")) / 2.0)
+    j = j.select(key, "n_ref", "n_new", "mean_ref", "mean_new", F.when(ok, F.col("ks")).alias("ks"),
+                 F.when(ok, kolmogorov(F.col("ks") * F.sqrt(en))).alias("ks_p"),
+                 F.when(ok & (sd > 0), (F.col("mean_new") - F.col("mean_ref")) / sd).alias("smd"), F.when(ok, F.col("psi")).alias("psi"))
+    j = benjamini_hochberg(j, "ks_p", key, "q_value")
+    hit = (F.coalesce("ks", F.lit(0.0)) >= 0.30) | (F.abs(F.coalesce("smd", F.lit(0.0))) >= 0.50)
+    return j.withColumn("drifted", hit.cast("int"))
+
+
+# ---- missingness -----------------------------------------------------------------------------------------
+
+def missing_by_split(df: DataFrame, names: Sequence[str], split: str = "split") -> DataFrame:
+    return df.groupBy(split).agg(*[(100.0 * (F.count(F.lit(1)) - F.count(n)) / F.count(F.lit(1))).alias(n) for n in names]).unpivot(
+        [split], list(names), "feature", "missing_pct")
+
+
+def missing_informativeness(long: DataFrame, key: str = "feature", value: str = "value", y: str = "y", floor: int = 5) -> DataFrame:
+    """Label rate when missing against present, chi-square with continuity correction, BH q."""
+    miss = F.col(value).isNull()
+    n = lambda c: F.sum(c.cast("bigint"))
+    t = long.groupBy(key).agg(n(miss & (F.col(y) == 1)).alias("a"), n(miss & (F.col(y) == 0)).alias("b"),
+                              n(~miss & (F.col(y) == 1)).alias("c"), n(~miss & (F.col(y) == 0)).alias("d"))
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    tot = a + b + c + d
+    diff = F.abs(a * d - b * c)
+    # the correction moves every cell by at most a half, and never past its expected value
+    num = F.pow(diff - F.least(diff, tot / 2.0), 2.0) * tot
+    chi = F.try_divide(num, (a + b) * (c + d) * (a + c) * (b + d))
+    ok = (a + b >= floor) & (c + d >= floor)
+    r = t.select(key, (F.col("a") + F.col("b")).alias("n_missing"), (F.col("c") + F.col("d")).alias("n_present"),
+                 F.when(ok, 100.0 * a / (a + b)).alias("rate_missing_pct"), F.when(ok, 100.0 * c / (c + d)).alias("rate_present_pct"),
+                 F.when(ok, F.coalesce(chi, F.lit(0.0))).alias("chi2"))
+    r = r.withColumn("delta_pct", F.col("rate_missing_pct") - F.col("rate_present_pct")).withColumn("p_value", chi2_one_df(F.col("chi2")))
+    return benjamini_hochberg(r, "p_value", key, "q_value")
+
+
+def co_missing(df: DataFrame, names: Sequence[str], limit: int = 15) -> DataFrame:
+    """Pairs of columns missing together: overlap and Jaccard, largest first (a top-k report)."""
+    arr = df.select(F.array(*[F.col(n).isNull().cast("int") for n in names]).alias("v"))
+    g = _pairs(arr, names).where("a = 1 or b = 1").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("n_both"), F.count(F.lit(1)).alias("n_union"))
+    g = _named(g.where("n_both > 0"), names).select("a", "b", "n_both", (F.col("n_both") / F.col("n_union")).alias("jaccard"))
+    return g.orderBy(F.col("n_both").desc(), "a", "b").limit(limit)
+
+
+def missing_patterns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns that are missing in exactly the same rows: two columns match when their union equals their overlap."""
+    arr = df.select(F.array(*[F.col(n).isNull().cast("int") for n in names]).alias("v"))
+    g = _pairs(arr, names).groupBy("i", "j").agg(F.sum((F.col("a") != F.col("b")).cast("int")).alias("n_diff"))
+    return _named(g.where("n_diff = 0"), names).select("a", "b")
+
+
+def missing_density(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    k = sum((F.col(n).isNull().cast("int") for n in names[1:]), F.col(names[0]).isNull().cast("int"))
+    return df.select(k.alias("k")).agg(F.avg("k").alias("mean_missing"), F.max("k").alias("max_missing"),
+                                       F.avg((F.col("k") > 0.5 * len(names)).cast("double")).alias("share_gt_half"))
+
+
+# ---- findings --------------------------------------------------------------------------------------------
+
+def findings(tables: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
+    """Threshold rules over result tables: finding name -> (table, condition, key); emits what fired."""
+    out = None
+    for name, (df, cond, key) in tables.items():
+        one = df.where(cond).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(key.cast("string"))), ",").alias("items"))
+        one = one.select(F.lit(name).alias("finding"), "n", "items")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def system_agreement(scores: DataFrame, systems: Sequence[str], ids: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Spearman correlation of every pair of systems over common rows; ``scores`` is (ids, system, p)."""
+    wide = scores.groupBy(*ids).agg(*[F.max(F.when(F.col("system") == s, F.col("p"))).alias(s) for s in systems])
+    return spearman(wide, ids, systems)
+
+
+def ranking_agreement(a: DataFrame, b: DataFrame, key: str = "feature", value: str = "value", top: int = 15) -> DataFrame:
+    """Spearman of two rankings and the Jaccard of their leading items (tables with one row per feature)."""
+    j = a.select(key, F.col(value).alias("va")).join(b.select(key, F.col(value).alias("vb")), key)
+    r = spearman(j, [key], ["va", "vb"], min_pairs=2).select(F.col("r").alias("spearman"))
+    lead = lambda c: j.orderBy(F.col(c).desc(), key).limit(top).select(key)
+    both = lead("va").intersect(lead("vb")).agg(F.count(F.lit(1)).alias("n"))
+    either = lead("va").union(lead("vb")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return r.select("spearman", (both.scalar() / either.scalar()).alias("top_jaccard"))

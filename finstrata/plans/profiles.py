@@ -453,9 +453,9 @@ def i6(spark, sf):
 
 
 @query("i7_benjamini_hochberg", """SELECT key, round(p, 6) AS p, round(q, 6) AS q FROM (SELECT *, CASE WHEN p IS NOT NULL THEN least(1e0, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS q FROM (
-  SELECT key, p, row_number() OVER (ORDER BY p NULLS LAST, key) AS rk, count(p) OVER () AS m FROM (SELECT o_custkey AS key, CASE WHEN o_custkey % 13 <> 0 THEN min(((o_orderkey * 7919) % 1000) / 1e4) END AS p FROM orders GROUP BY 1)))""")
+  SELECT key, p, row_number() OVER (ORDER BY p NULLS LAST, key) AS rk, count(p) OVER () AS m FROM (SELECT o_custkey AS key, CASE WHEN o_custkey % 13 <> 0 THEN min(((o_orderkey * 7919) % 1000) / 13e3) END AS p FROM orders GROUP BY 1)))""")
 def i7(spark, sf):
-    s = scores(spark, sf).groupBy(F.col("grp").alias("key")).agg(F.min(F.col("p_b") / 10.0).alias("p"))
+    s = scores(spark, sf).groupBy(F.col("grp").alias("key")).agg(F.min(F.col("p_b") / 13.0).alias("p"))
     return K.benjamini_hochberg(s.withColumn("p", F.when(F.col("key") % 13 != 0, F.col("p"))), "p", "key")
 
 
