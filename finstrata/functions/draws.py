@@ -7,28 +7,41 @@ can repeat it, which makes samplers and bootstraps checkable.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PRIME = 2147483647
 
 
-def mix(key: Column, seed: int = 0) -> Column:
-    """Integer in [0, PRIME) from a non-negative integer key."""
-    x = key.cast("bigint") % F.lit(PRIME)
-    a = (x * 48271 + F.lit(seed * 7919 + 12345)) % PRIME
-    b = (a * (a + 1) + 1013904223) % PRIME
-    c = (b * (b + 3) + 374761393) % PRIME
-    return (c * 16807) % PRIME
+def _rounds(key: str, seed: int) -> list[str]:
+    """The steps of the scramble as SQL over the previous step; two multiplications of neighbours make it non-linear."""
+    return [
+        f"({key} % {PRIME} * 48271 + {seed * 7919 + 12345}) % {PRIME}",
+        f"(_x * (_x + 1) + 1013904223) % {PRIME}",
+        f"(_x * (_x + 3) + 374761393) % {PRIME}",
+        f"(_x * 16807) % {PRIME}",
+    ]
 
 
-def uniform(key: Column, seed: int = 0) -> Column:
-    """Double in [0, 1)."""
-    return mix(key, seed) / F.lit(float(PRIME))
+def with_mix(df: DataFrame, name: str, key: Column, seed: int = 0) -> DataFrame:
+    """Add an integer in [0, PRIME) drawn from a non-negative integer key.
 
+    One projection per step keeps the expression small: written as a single tree, each step would double it.
+    """
+    df = df.withColumn("_k", key.cast("bigint"))
+    for i, step in enumerate(_rounds("_k", seed)):
+        df = df.withColumn("_x", F.expr(step))
+    return df.withColumnRenamed("_x", name).drop("_k")
 
-def pair_key(a: Column, b: Column) -> Column:
-    """One key from two non-negative integers; the first is scrambled so that neighbours do not overlap."""
-    return (mix(a, 17) * 40503 + b.cast("bigint")) % PRIME
+
+def with_uniform(df: DataFrame, name: str, key: Column, seed: int = 0) -> DataFrame:
+    """Add a double in [0, 1)."""
+    return with_mix(df, "_m", key, seed).withColumn(name, F.col("_m") / F.lit(float(PRIME))).drop("_m")
+
+
+def with_pair_uniform(df: DataFrame, name: str, a: Column, b: Column, seed: int = 0) -> DataFrame:
+    """Add a double in [0, 1) from two keys; the first is scrambled so that neighbouring keys do not overlap."""
+    df = with_mix(df, "_p", a, 17).withColumn("_q", (F.col("_p") * 40503 + b.cast("bigint")) % PRIME)
+    return with_uniform(df, name, F.col("_q"), seed).drop("_p", "_q")
 
 
 def poisson_one(u: Column) -> Column:

@@ -26,6 +26,15 @@ def normalized_entropy(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return c.groupBy(*by).agg(F.when(k > 1, bits / F.log2(k.cast("double"))).otherwise(0.0).alias("e"))
 
 
+def bh_of_result(df: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
+    """Benjamini-Hochberg over a result table with one row per column of the data (tens of rows): a plain window."""
+    by_p = W.orderBy(F.col(p).asc_nulls_last(), tie)
+    back = W.orderBy("_rk").rowsBetween(0, W.unboundedFollowing)
+    t = df.withColumn("_rk", F.row_number().over(by_p)).withColumn("_m", F.count(p).over(W.partitionBy()))
+    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rk")).over(back))
+    return t.withColumn(out, F.when(F.col(p).isNotNull(), q)).drop("_rk", "_m")
+
+
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, out: str = "q") -> DataFrame:
     """q = running minimum of p*m/rank from the largest p down; missing p stays missing.
 
@@ -53,9 +62,8 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
     Skewness and kurtosis are bias-corrected (Spark's are the population ones).
     """
     known = long.where(F.col(value).isNotNull())
-    size = long.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(value)).alias("n_missing"))
-    m = known.groupBy(key).agg(
-        F.count(F.lit(1)).alias("m"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
+    m = long.groupBy(key).agg(  # aggregates skip NULL, so one pass gives size and moments
+        F.count(F.lit(1)).alias("n"), F.count(value).alias("m"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"),
         F.sum((F.col(value) == 0).cast("int")).alias("n_zero"), F.sum((F.col(value) < 0).cast("int")).alias("n_neg"))
     counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +72,7 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
     name = lambda p, a: F.max(F.when(F.abs(F.col("prob") - p) < 1e-9, F.col("q"))).alias(a)
     q = q.groupBy(key).agg(name(0.01, "p1"), name(0.25, "q1"), name(0.5, "median"), name(0.75, "q3"), name(0.99, "p99"))
     # outliers need the quartiles, so they are a second look at the distinct values, not at the rows
-    stats = m.join(q, key).join(uniq, key)
+    stats = m.join(q, key, "left").join(uniq, key, "left")
     iqr = F.col("q3") - F.col("q1")
     fence = stats.select(key, "mean", "std", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col(value)
@@ -73,8 +81,8 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
         F.sum(F.when((F.col("std") > 0) & (F.abs(v - F.col("mean")) / F.col("std") > 3.0), F.col("n")).otherwise(0)).alias("z3_n"))
     k = F.col("m").cast("double")
     spread = F.col("std") > 0
-    return size.join(stats.join(out, key), key, "left").select(
-        key, "n", "n_missing", (100.0 * F.col("n_missing") / F.col("n")).alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
+    return stats.join(out, key, "left").select(
+        key, "n", (F.col("n") - F.col("m")).alias("n_missing"), (100.0 * (F.col("n") - F.col("m")) / F.col("n")).alias("missing_pct"), F.coalesce("n_unique", F.lit(0)).alias("n_unique"),
         (F.col("n_unique") == 1).cast("int").alias("is_constant"),
         ((F.col("n_unique") > 1) & (F.col("top_n") / k >= 0.95)).cast("int").alias("is_near_constant"),
         F.round(F.col("top_n") / k, 4).alias("top_value_share"), "mean", F.coalesce("std", F.when(k == 1, 0.0)).alias("std"),
@@ -120,7 +128,7 @@ def target_association(long: DataFrame, key: str = "feature", value: str = "valu
         F.when(ok, F.col("_top") / F.col("base")).alias("lift_top_decile"),
         F.when(ok, F.col("r") * F.sqrt(df / (1.0 - F.col("r") * F.col("r")))).alias("t"), df.alias("dof"))
     j = j.withColumn("p_value", student_two_sided(F.col("t"), F.col("dof").cast("double"))).drop("dof")
-    return benjamini_hochberg(j, "p_value", key, "q_value")
+    return bh_of_result(j, "p_value", key, "q_value")
 
 
 def mutual_information(long: DataFrame, bins: int = 20, key: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
@@ -130,11 +138,11 @@ def mutual_information(long: DataFrame, bins: int = 20, key: str = "feature", va
     t = running_totals(counts, value, ["n"], [key])
     b = F.least(F.lit(bins - 1), F.floor((F.col("n_cum") - F.col("n")) * bins / F.col("n_tot")))
     cells = t.groupBy(key, b.alias("b")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("p"))
-    tot = cells.groupBy(key).agg(F.sum("n").alias("N"), F.sum("p").alias("P"))
+    tot = cells.groupBy(key).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
     j = cells.join(tot, key)
-    term = lambda c, m: F.when(c > 0, c / F.col("N") * F.ln(c * F.col("N") / (F.col("n") * m))).otherwise(0.0)
+    term = lambda c, m: F.when(c > 0, c / F.col("all_n") * F.ln(c * F.col("all_n") / (F.col("n") * m))).otherwise(0.0)
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
-    return j.groupBy(key).agg(F.sum(term(p, F.col("P")) + term(q, F.col("N") - F.col("P"))).alias("mi"))
+    return j.groupBy(key).agg(F.sum(term(p, F.col("all_p")) + term(q, F.col("all_n") - F.col("all_p"))).alias("mi"))
 
 
 # ---- correlation --------------------------------------------------------------------------------------
@@ -167,11 +175,11 @@ def pearson(df: DataFrame, names: Sequence[str], min_pairs: int = MIN_PAIRS) ->
 def rank_arrays(df: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Each column replaced by its mid-ranks over its own known rows, as one array per row."""
     order = F.array(*[F.lit(n) for n in names])
-    long = df.unpivot([F.col(i) for i in ids], [F.col(n).cast("double").alias(n) for n in names], "feature", "value").where("value is not null")
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    t = running_totals(counts, "value", ["n"], ["feature"]).select("feature", "value", (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias("rank"))
-    ranked = long.join(t, ["feature", "value"])
-    cell = F.map_from_entries(F.collect_list(F.struct("feature", "rank")))
+    long = df.unpivot([F.col(i) for i in ids], [F.col(n).cast("double").alias(n) for n in names], "_f", "_v").where("_v is not null")
+    counts = long.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("n"))
+    t = running_totals(counts, "_v", ["n"], ["_f"]).select("_f", "_v", (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias("rank"))
+    ranked = long.join(t, ["_f", "_v"])
+    cell = F.map_from_entries(F.collect_list(F.struct("_f", "rank")))
     per = ranked.groupBy(*ids).agg(cell.alias("m"))
     return per.select(*ids, F.transform(order, lambda n: F.try_element_at("m", n)).alias("v"))
 
@@ -262,14 +270,14 @@ def psi(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: st
     cells = counts.join(e, key).where(F.size("e") >= 3).withColumn("_inner", inner)
     # bin k holds edges[k] <= v < edges[k+1]; the outer bins are unbounded
     cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b", F.size("e").alias("k")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-    tot = counts.groupBy(key).agg(F.sum("n").alias("N"), F.sum("w").alias("M"))
+    tot = counts.groupBy(key).agg(F.sum("n").alias("n_r"), F.sum("w").alias("n_c"))
     eps = F.lit(1e-6)
     j = cells.join(tot, key)
-    r, c = F.greatest(F.col("n") / F.col("N"), eps), F.greatest(F.col("w") / F.col("M"), eps)
+    r, c = F.greatest(F.col("n") / F.col("n_r"), eps), F.greatest(F.col("w") / F.col("n_c"), eps)
     # a bin without any row of either side contributes nothing: both shares are eps
-    s = j.groupBy(key, "N", "M").agg(F.sum((c - r) * F.ln(c / r)).alias("psi"))
-    return tot.select(key, "N", "M").join(s.select(key, "psi"), key, "left").select(
-        key, F.when((F.col("N") >= bins) & (F.col("M") >= bins), F.col("psi")).alias("psi"))
+    out = j.groupBy(key).agg(F.sum((c - r) * F.ln(c / r)).alias("psi"), F.max("n_r").alias("n_r"), F.max("n_c").alias("n_c"))
+    enough = (F.col("n_r") >= bins) & (F.col("n_c") >= bins)
+    return tot.select(key).join(out.select(key, F.when(enough, F.col("psi")).alias("psi")), key, "left")
 
 
 def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value") -> DataFrame:
@@ -290,7 +298,7 @@ def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", v
     j = j.select(key, "n_ref", "n_new", "mean_ref", "mean_new", F.when(ok, F.col("ks")).alias("ks"),
                  F.when(ok, kolmogorov(F.col("ks") * F.sqrt(en))).alias("ks_p"),
                  F.when(ok & (sd > 0), (F.col("mean_new") - F.col("mean_ref")) / sd).alias("smd"), F.when(ok, F.col("psi")).alias("psi"))
-    j = benjamini_hochberg(j, "ks_p", key, "q_value")
+    j = bh_of_result(j, "ks_p", key, "q_value")
     hit = (F.coalesce("ks", F.lit(0.0)) >= 0.30) | (F.abs(F.coalesce("smd", F.lit(0.0))) >= 0.50)
     return j.withColumn("drifted", hit.cast("int"))
 
@@ -319,7 +327,7 @@ def missing_informativeness(long: DataFrame, key: str = "feature", value: str =
                  F.when(ok, 100.0 * a / (a + b)).alias("rate_missing_pct"), F.when(ok, 100.0 * c / (c + d)).alias("rate_present_pct"),
                  F.when(ok, F.coalesce(chi, F.lit(0.0))).alias("chi2"))
     r = r.withColumn("delta_pct", F.col("rate_missing_pct") - F.col("rate_present_pct")).withColumn("p_value", chi2_one_df(F.col("chi2")))
-    return benjamini_hochberg(r, "p_value", key, "q_value")
+    return bh_of_result(r, "p_value", key, "q_value")
 
 
 def co_missing(df: DataFrame, names: Sequence[str], limit: int = 15) -> DataFrame:
@@ -365,7 +373,7 @@ def ranking_agreement(a: DataFrame, b: DataFrame, key: str = "feature", value: s
     """Spearman of two rankings and the Jaccard of their leading items (tables with one row per feature)."""
     j = a.select(key, F.col(value).alias("va")).join(b.select(key, F.col(value).alias("vb")), key)
     r = spearman(j, [key], ["va", "vb"], min_pairs=2).select(F.col("r").alias("spearman"))
-    lead = lambda c: j.orderBy(F.col(c).desc(), key).limit(top).select(key)
-    both = lead("va").intersect(lead("vb")).agg(F.count(F.lit(1)).alias("n"))
-    either = lead("va").union(lead("vb")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    return r.select("spearman", (both.scalar() / either.scalar()).alias("top_jaccard"))
+    lead = lambda c: j.orderBy(F.col(c).desc(), key).limit(top).select(F.col(key).alias("item"))
+    hits = lead("va").unionByName(lead("vb")).groupBy("item").agg(F.count(F.lit(1)).alias("k"))
+    share = hits.agg((F.sum((F.col("k") == 2).cast("int")) / F.count(F.lit(1))).alias("top_jaccard"))
+    return r.select("spearman", share.scalar().alias("top_jaccard"))

@@ -194,7 +194,7 @@ def oracle(body: str, *needs: str) -> str:
     if not ctes:
         return body
     if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+        return f"WITH RECURSIVE {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
