@@ -15,7 +15,7 @@ PRIME = 2147483647
 def _rounds(key: str, seed: int) -> list[str]:
     """The steps of the scramble as SQL over the previous step; two multiplications of neighbours make it non-linear."""
     return [
-        f"({key} % {PRIME} * 48271 + {seed * 7919 + 12345}) % {PRIME}",
+        f"(pmod({key}, {PRIME}) * 48271 + {seed * 7919 + 12345}) % {PRIME}",
         f"(_x * (_x + 1) + 1013904223) % {PRIME}",
         f"(_x * (_x + 3) + 374761393) % {PRIME}",
         f"(_x * 16807) % {PRIME}",

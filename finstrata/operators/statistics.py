@@ -249,12 +249,17 @@ def effective_dimensionality(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def variance_inflation(df: DataFrame, names: Sequence[str], min_known: int = MIN_PAIRS) -> DataFrame:
-    """Diagonal of the inverse correlation matrix of median-filled columns."""
+    """1 / (1 - R^2) of each median-filled column on the others, from the k x k correlation matrix (R^2 capped below 1)."""
     stats = df.agg(*[F.count(n).alias(f"c_{n}") for n in names], *[F.stddev_samp(F.col(n).cast("double")).alias(f"s_{n}") for n in names]).first()
     keep = [n for n in names if stats[f"c_{n}"] >= min_known and (stats[f"s_{n}"] or 0) > 0]
     corr = correlation_matrix(median_fill(df.select(*keep), keep), keep)
-    vif = np.diag(np.linalg.pinv(corr))
-    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(keep, vif)], "feature string, vif double")
+    rows = []
+    for i, n in enumerate(keep):
+        rest = [j for j in range(len(keep)) if j != i]
+        r = corr[rest, i]
+        explained = float(r @ np.linalg.pinv(corr[np.ix_(rest, rest)]) @ r) if rest else 0.0
+        rows.append((n, 1.0 / max(1e-9, 1.0 - explained)))
+    return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
 # ---- drift ---------------------------------------------------------------------------------------------
