@@ -83,6 +83,42 @@ class WinsorizerModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWrita
         return df.agg(*aggs).unpivot([], self.getOrDefault("inputCols"), "feature", "clip_share")
 
 
+class MedianFill(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """Fill missing values with the column's median; a column without any known value gets 0 (the built-in imputer fails there).
+
+    One pass with a quantile sketch per column, or exact interpolated medians on request.
+    """
+
+    outputCols = Param(Params._dummy(), "outputCols", "columns to add", TypeConverters.toListString)
+    exact = Param(Params._dummy(), "exact", "interpolated median", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, exact=False):
+        super().__init__()
+        self._setDefault(exact=False)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> "MedianFillModel":
+        cols = self.getOrDefault("inputCols")
+        if self.getOrDefault("exact"):
+            got = {r["feature"]: r["m"] for r in quantile_columns(self._long(df), "value", {"m": 0.5}, ["feature"]).collect()}
+        else:
+            got = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in cols]).first().asDict()
+        model = MedianFillModel()
+        model._set(inputCols=cols, outputCols=self.getOrDefault("outputCols"), medians=[float(got.get(c) or 0.0) for c in cols])
+        return model
+
+
+class MedianFillModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    outputCols = Param(Params._dummy(), "outputCols", "columns to add", TypeConverters.toListString)
+    medians = Param(Params._dummy(), "medians", "fill values", TypeConverters.toListFloat)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        rows = zip(*(self.getOrDefault(p) for p in ("inputCols", "outputCols", "medians")))
+        known = lambda c: F.when(~F.isnan(c), c)
+        return df.withColumns({o: F.coalesce(known(F.col(c).cast("double")), F.lit(m)) for c, o, m in rows})
+
+
 def yeo_johnson(c: Column, lam: Column | float) -> Column:
     lam = F.lit(lam) if isinstance(lam, (int, float)) else lam
     pos = F.when(F.abs(lam) < 1e-12, F.log1p(c)).otherwise((F.pow(c + 1, lam) - 1) / F.when(F.abs(lam) < 1e-12, F.lit(1.0)).otherwise(lam))

@@ -200,7 +200,7 @@ def oracle(body: str, *needs: str) -> str:
 
 def sql_mix(key: str, seed: int = 0) -> str:
     p = 2147483647
-    a = f"((({key}) % {p}) * 48271 + {seed * 7919 + 12345}) % {p}"
+    a = f"((CAST(({key}) AS BIGINT) % {p}) * 48271 + {seed * 7919 + 12345}) % {p}"
     b = f"(({a}) * (({a}) + 1) + 1013904223) % {p}"
     c = f"(({b}) * (({b}) + 3) + 374761393) % {p}"
     return f"((({c}) * 16807) % {p})"
