@@ -173,3 +173,13 @@ def hash_rank(df: DataFrame, u: Column, tie: str, by: Sequence[str] = (), name:
         .withColumn(name, (F.col("_loc") + F.col("_off")).cast("bigint"))
         .drop("_u", "_b", "_loc", "_off")
     )
+
+
+def sorted_position(df: DataFrame, order: str, tie: str, name: str = "pos") -> DataFrame:
+    """Add the 1-based position of every row in ascending (``order``, ``tie``), for columns of any distribution."""
+    spread = _bucketed(df, [], order, bucket_count(df)).repartition(F.col("_b"))
+    ahead = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # one row per bucket
+    offsets = spread.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo")).select(
+        "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    local = F.row_number().over(W.partitionBy("_b").orderBy(order, tie))
+    return spread.withColumn("_loc", local).join(offsets, "_b").withColumn(name, F.col("_loc") + F.col("_off")).drop("_b", "_loc", "_off")

@@ -260,3 +260,12 @@ def p19(spark, sf):
 @query("p20_feature_list", "WITH k AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n}) AS known FROM f_feat" for n in FEATURES) + ") " + rules_sql("features", {"feature_known_somewhere": "known > 0", "listed": "feature = feature"}, "feature", "k"), ["f_feat"])
 def p20(spark, sf):
     return A.feature_list_rules(X.feature_table(panel(spark, sf)), FEATURES)
+
+
+@query("p21_result_table_rules", rules_sql("results", {"known_technique": "true", "score_in_unit_range": "pr_auc BETWEEN 0 AND 1", "rate_in_unit_range": "fpr BETWEEN 0 AND 1", "beats_nothing": "pr_auc > f1"}, "technique", "f_tech").replace("count(true)", "count(*)"), ["f_tech"])
+def p21(spark, sf):
+    from .profiles import techniques
+    t = techniques(spark, sf)
+    c = F.col
+    return A.run_rules(t, {"known_technique": c("technique").isin([f"t{i}" for i in range(5)]), "score_in_unit_range": c("pr_auc").between(0, 1),
+                           "rate_in_unit_range": c("fpr").between(0, 1), "beats_nothing": c("pr_auc") > c("f1")}, c("technique"), "results")

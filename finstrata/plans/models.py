@@ -13,6 +13,7 @@ from ..operators import models as L
 from ..operators import preprocess as Q
 from ..operators import profiles as P
 from ..operators import samples as S
+from ..operators.validate import stratified_holdout
 from .profiles import auc_sql, sample_features
 from .registry import query
 from .views import SQL, panel, scores_long, vectors
@@ -92,6 +93,15 @@ for _n in QUICK:
     _family(_n)
 
 
+@query("b9_model_with_metadata")
+def b9(spark, sf):
+    """Fit, then score with the stages reordered to the stored feature order (saving and loading is covered by the tests)."""
+    t = L.materialize(table_of_samples(spark, sf))
+    order = list(reversed(FEATURES))
+    model = L.fit_model("logistic", t.where("split = 'train'"), order, **QUICK["logistic"])
+    return M.rank_metrics(L.score(model, t, ["split", "y"]), ["split"])
+
+
 @query("l6_positive_probability")
 def l6(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
@@ -210,8 +220,8 @@ def l19(spark, sf):
 def _vector_model(name, fit):
     @query(name)
     def run(spark, sf):
-        v = L.materialize(L.vectorized(vectors(spark, sf)))
-        s = L.score(fit(v.where("id % 4 <> 0")), v.where("id % 4 = 0"), ["y"]).withColumn("part", F.lit("holdout"))
+        v = L.materialize(L.vectorized(stratified_holdout(vectors(spark, sf))))
+        s = L.score(fit(v.where("part = 'train'").drop("part")), v.where("part = 'test'"), ["part", "y"])
         return M.rank_metrics(s, ["part"])
 
 

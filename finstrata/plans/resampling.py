@@ -147,9 +147,10 @@ def m14(spark, sf):
     return R.before_after(vectors(spark, sf), R.random_under(0.5))
 
 
-@query("m15_fold_sampler_stats", f"SELECT CAST(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives, count(*) AS n FROM v_lab WHERE id % 4 <> 0", ["v_lab"])
+@query("m15_fold_sampler_stats", f"SELECT CAST(sum(y) AS BIGINT) AS positives, count(*) AS n FROM (SELECT y, (row_number() OVER (PARTITION BY y ORDER BY {sql_uniform(sql_pair('1', 'id'), SEED)}, id) - 1) % 4 AS fold FROM v_lab) WHERE fold <> 0", ["v_lab"])
 def m15(spark, sf):
-    v = vectors(spark, sf).where("id % 4 <> 0")
+    from ..operators.validate import stratified_folds
+    v = stratified_folds(vectors(spark, sf), 4).where("fold <> 0").drop("fold")
     return R.before_after(v, R.make_sampler("none")).where("stage = 'after'").select("positives", "n")
 
 

@@ -202,3 +202,16 @@ def b7(spark, sf):
 @query("b8_result_rows", "SELECT grp % 5 AS fold, round(avg(p_a), 6) AS p_a_mean, round(stddev_pop(p_a), 6) AS p_a_std, round(avg(p_b), 6) AS p_b_mean, round(stddev_pop(p_b), 6) AS p_b_std FROM f_scores GROUP BY 1", ["f_scores"])
 def b8(spark, sf):
     return Wr.result_rows(scores(spark, sf).withColumn("fold", F.col("grp") % 5), ["fold"], ["p_a", "p_b"])
+
+
+@query("b1_split_rows_clustered", "SELECT split, count(*) AS n, count(DISTINCT entity) AS entities FROM f_split GROUP BY split", ["f_split"])
+def b1(spark, sf):
+    """The rows as they are written, one folder per split (the write itself is covered by the tests)."""
+    return samples2(spark, sf).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("entities"))
+
+
+@query("a3_manifest_fields", "SELECT split, count(*) AS n, CAST(sum(is_distressed) AS BIGINT) AS positives FROM f_split GROUP BY split", ["f_split"])
+def a3(spark, sf):
+    """The manifest written as JSON text and read back with its declared fields."""
+    text = Wr.manifest_json(Wr.build_manifest(samples2(spark, sf)))
+    return text.select("split", F.from_json("body", "n long, positives long").alias("m")).select("split", "m.n", "m.positives")

@@ -9,7 +9,6 @@ from ..operators import features as X
 from ..operators import inference as N
 from ..operators import samples as S
 from ..operators import statistics as K
-from .features import RATIOS  # noqa: F401
 from .profiles import auc_sql, sample_features
 from .metrics import E
 from .registry import query
@@ -242,6 +241,28 @@ def k15(spark, sf):
 _RK = lambda p: f"rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2e0"
 
 
+@query("k18_deep_profile_job")
+def k18(spark, sf):
+    """The whole exploration over one materialized feature table: profile, association, drift and missingness side by side."""
+    from ..operators.models import materialize
+    long = materialize(long_features(spark, sf))
+    prof = K.column_profile(long).select("feature", "n", "missing_pct", "skew", "iqr_outlier_pct")
+    assoc = K.target_association(long).select("feature", "auc", F.col("q_value").alias("auc_q"))
+    drift = K.drift_table(long.withColumn("is_ref", (F.col("fiscal_year") < 1996).cast("int"))).select("feature", "ks", "psi", "drifted")
+    return prof.join(assoc, "feature", "left").join(drift, "feature", "left")
+
+
+@query("g10_system_pairs", "SELECT 'p_a' AS a, 'p_b' AS b, CAST(y AS BIGINT) AS y, count(*) AS n_pairs, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT y, p_a, p_b, count(*) AS n FROM f_scores GROUP BY 1, 2, 3) GROUP BY y", ["f_scores"])
+def g10(spark, sf):
+    t = N.system_pairs(scores(spark, sf), ["p_a", "p_b"])
+    return t.groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_rows"))
+
+
+@query("g11_column_pairs", "SELECT a, b, n FROM f_pear47", ["f_pear47"])
+def g11(spark, sf):
+    return K.pearson(labelled_features(spark, sf), FEATURES).select("a", "b", "n")
+
+
 @query("k16_system_agreement", f"SELECT 'p_a' AS a, 'p_b' AS b, count(*) AS n, round(corr(ra, rb), 6) AS r FROM (SELECT {_RK('p_a')} AS ra, {_RK('p_b')} AS rb FROM f_scores)", ["f_scores"])
 def k16(spark, sf):
     return K.system_agreement(scores_long(spark, sf), ["p_a", "p_b"])
@@ -271,7 +292,7 @@ def n33(spark, sf):
     return N.delong(scores(spark, sf), ["p_a", "p_b"])
 
 
-@query("n34_placement_values", "SELECT system, round(p, 6) AS p, round(v10, 6) AS v10, round(v01, 6) AS v01 FROM f_place", ["f_place"])
+@query("n34_placement_values", "SELECT system, round(p, 9) AS p, round(v10, 9) AS v10, round(v01, 9) AS v01 FROM f_place", ["f_place"], digits=9)
 def n34(spark, sf):
     return N.placements(scores_long(spark, sf)).drop("n_pos", "n_neg")
 

@@ -14,7 +14,7 @@ from .features import samples2
 from .models import CLIP, QUICK, table_of_samples
 from .profiles import auc_sql, sample_features
 from .registry import query
-from .views import SQL, panel, scores_long, sql_pair, sql_uniform, vectors
+from .views import SQL, panel, scores_long, sql_pair, sql_uniform, table, vectors
 
 FEW = FEATURE_GROUPS["ratios_latest"]
 
@@ -33,11 +33,27 @@ def n1(spark, sf):
     return V.pooled_and_fold(oof, by=["model"])
 
 
+def with_region(spark, sf):
+    """Samples with the region of their supplier: few groups, every row used."""
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), "s_nationkey")
+    nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
+    return table_of_samples(spark, sf).join(sup.join(nat, "s_nationkey").drop("s_nationkey"), "entity")
+
+
+def _loco(spark, sf, cols):
+    t = L.materialize(with_region(spark, sf))
+    groups = [r["region"] for r in t.select("region").distinct().orderBy("region").collect()]
+    return V.group_metrics(V.leave_one_group_out(t, groups, "logistic", cols, group="region", **QUICK["logistic"]), ["held_out"])
+
+
 @query("n2_leave_one_group_out")
 def n2(spark, sf):
-    t = table_of_samples(spark, sf)
-    groups = [r["entity"] for r in t.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "entity").limit(4).collect()]
-    return V.group_metrics(V.leave_one_group_out(t, groups, "logistic", FEW, **QUICK["logistic"]), ["held_out"])
+    return _loco(spark, sf, FEW)
+
+
+@query("n29_leave_one_group_out_auroc")
+def n29(spark, sf):
+    return _loco(spark, sf, FEATURE_GROUPS["path"]).select("held_out", "auroc")
 
 
 SQL["wf"] = (["f_split"], """SELECT k AS fold, (SELECT target_period_end FROM (SELECT target_period_end, row_number() OVER (ORDER BY target_period_end, sample_id) - 1 AS pos FROM f_split) WHERE pos = least(k * n // 5, n - 1)) AS cut,
@@ -206,6 +222,32 @@ def n30(spark, sf):
     return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), pick, "logistic", **QUICK["logistic"])
 
 
+@query("n31_one_ablation_variant")
+def n31(spark, sf):
+    """Only samples with enough history, without the trajectory features."""
+    t = S.filter_by_history(table_of_samples(spark, sf), 5)
+    cols = V.ablation_variants(FEATURES)["minus_path"]
+    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), {"minus_path_long_history": cols}, "logistic", **QUICK["logistic"])
+
+
+@query("n9_cross_group_ap")
+def n9(spark, sf):
+    t = table_of_samples(spark, sf)
+    t = L.materialize(t.join(V.group_folds(t, "entity", 3), "entity"))
+    return spark.createDataFrame([tuple(V.cross_group_ap(t, "logistic", {"regParam": 0.1}, FEW, maxIter=15).values())],
+                                 "cv_average_precision double, cv_ap_std double, cv_auroc double, n_folds long")
+
+
+@query("n23_random_parameters")
+def n23(spark, sf):
+    """Draws from the search space next to the size of the table they would be tried on."""
+    import random
+    rng = random.Random(42)
+    rows = [(i, V.trial_key(V.sample_params(V.SEARCH_SPACES["random_forest"], rng))) for i in range(10)]
+    n = samples2(spark, sf).where("split = 'train'").groupBy("split").agg(F.count(F.lit(1)).alias("n_train"), F.avg("is_distressed").alias("rate"))
+    return n.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(k).alias("params")) for i, k in rows]))).select("t.trial", "t.params", "n_train", "rate")
+
+
 @query("n32_learning_curve")
 def n32(spark, sf):
     return V.learning_curve(table_of_samples(spark, sf), "logistic", FEW, fractions=(0.4, 1.0), k=2, **QUICK["logistic"])
