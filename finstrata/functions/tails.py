@@ -8,21 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) for a standard normal."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_one_df(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return x.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(max(v, 0.0) / 2.0)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|): Simpson integration of cos^(df-1) after the substitution t = sqrt(df) * tan(a)."""
 

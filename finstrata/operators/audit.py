@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AUDIT_QUARTER_DAYS, INDICATORS, METHODS, N_TEST
-from ..functions.panel import ENTITY, SO_FAR
+from ..functions.panel import entity_rows, rows_so_far
 from ..functions.scalars import close
 from .facts import CELL, derived_value
 
@@ -44,7 +44,7 @@ def cell_key() -> Column:
 
 def quarter_rules(panel: DataFrame, currency: str = "VND") -> DataFrame:
     """Length, publication order, quarter number, continuity of every quarter row."""
-    prev = lambda c: F.lag(c).over(ENTITY)
+    prev = lambda c: F.lag(c).over(entity_rows())
     t = panel.select(
         "entity", "fiscal_year", "fiscal_quarter", "period_end", "available_on", *(["currency"] if "currency" in panel.columns else []),
         F.datediff("period_end", "period_start").alias("days"), prev("fiscal_year").alias("py"), prev("fiscal_quarter").alias("pq"), prev("period_end").alias("pe"))
@@ -148,12 +148,12 @@ def sample_rules(stored: DataFrame, panel: DataFrame) -> DataFrame:
 
     History conditions use running maxima over the panel instead of joining each sample with all its history rows.
     """
-    prev = lambda c: F.lag(c).over(ENTITY)
+    prev = lambda c: F.lag(c).over(entity_rows())
     p = panel.select(
         F.concat(F.col("entity").cast("string"), F.lit("-"), F.col("fiscal_year"), F.lit("Q"), F.col("fiscal_quarter")).alias("sample_id"),
-        (F.row_number().over(ENTITY) - 1).alias("p_history"), prev("available_on").alias("p_as_of"), F.col("period_start").alias("p_start"),
+        (F.row_number().over(entity_rows()) - 1).alias("p_history"), prev("available_on").alias("p_as_of"), F.col("period_start").alias("p_start"),
         F.col("period_end").alias("p_end"), F.col("available_on").alias("p_label_on"),
-        F.max("available_on").over(ENTITY.rowsBetween(-(2**31) + 1, -1)).alias("p_seen"), F.max("period_end").over(ENTITY.rowsBetween(-(2**31) + 1, -1)).alias("p_last_end"))
+        F.max("available_on").over(entity_rows().rowsBetween(-(2**31) + 1, -1)).alias("p_seen"), F.max("period_end").over(entity_rows().rowsBetween(-(2**31) + 1, -1)).alias("p_last_end"))
     j = stored.join(p, "sample_id", "left")
     ok = F.col("p_end").isNotNull()
     return run_rules(j, {

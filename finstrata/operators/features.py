@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import FEATURES, FEATURE_GROUPS, GROWTH_FIELDS, INDICATORS, RATIOS
-from ..functions.panel import EARLIER, ENTITY, RECENT, last_finite, row_index, trailing_streak
+from ..functions.panel import earlier_rows, entity_rows, recent_rows, last_finite, row_index, trailing_streak
 from ..functions.scalars import growth, ratio, total_liabilities
 
 EXTRA_FEATURES = [
@@ -44,15 +44,15 @@ def with_windows(panel: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return base.select(
         "entity", "period_end", *keep, F.col("_rn").alias("n_history"),
         *[last_finite(d(c)).alias(f"l_{c}") for c in INDICATORS],
-        *[last_finite(d(c), EARLIER).alias(f"p_{c}") for c in INDICATORS],
-        F.coalesce(F.sum(F.when(d("operating_cash_flow") < 0, 1.0)).over(RECENT), F.lit(0.0)).alias("w_ocf_neg"),
-        F.count("revenue").over(RECENT).alias("w_rev_n"),
-        F.avg(d("revenue")).over(RECENT).alias("w_rev_mean"),
-        F.stddev_pop(d("revenue")).over(RECENT).alias("w_rev_sd"),
-        F.max(d("revenue")).over(RECENT).alias("w_rev_peak"),
-        F.min(row_ratio("current_assets", "current_liabilities")).over(RECENT).alias("current_ratio_min_window"),
-        F.min(row_ratio("operating_cash_flow", "revenue")).over(RECENT).alias("ocf_to_sales_min_window"),
-        F.min(row_ratio("net_income", "revenue")).over(RECENT).alias("net_margin_min_window"),
+        *[last_finite(d(c), earlier_rows()).alias(f"p_{c}") for c in INDICATORS],
+        F.coalesce(F.sum(F.when(d("operating_cash_flow") < 0, 1.0)).over(recent_rows()), F.lit(0.0)).alias("w_ocf_neg"),
+        F.count("revenue").over(recent_rows()).alias("w_rev_n"),
+        F.avg(d("revenue")).over(recent_rows()).alias("w_rev_mean"),
+        F.stddev_pop(d("revenue")).over(recent_rows()).alias("w_rev_sd"),
+        F.max(d("revenue")).over(recent_rows()).alias("w_rev_peak"),
+        F.min(row_ratio("current_assets", "current_liabilities")).over(recent_rows()).alias("current_ratio_min_window"),
+        F.min(row_ratio("operating_cash_flow", "revenue")).over(recent_rows()).alias("ocf_to_sales_min_window"),
+        F.min(row_ratio("net_income", "revenue")).over(recent_rows()).alias("net_margin_min_window"),
         trailing_streak(F.col("net_income") < 0).alias("negative_ni_streak"),
         trailing_streak(F.col("operating_cash_flow") < 0).alias("negative_ocf_streak"),
     )
@@ -107,19 +107,19 @@ def extra_features(panel: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     names = ["total_assets", "stockholders_equity", "current_assets", "current_liabilities", "inventory",
              "receivables", "revenue", "cost_of_sales", "net_income", "operating_cash_flow", "operating_income",
              "retained_earnings", "selling_general_admin"]
-    four = ENTITY.rowsBetween(-3, 0)
+    four = entity_rows().rowsBetween(-3, 0)
     row_ratio = lambda a, b: ratio(F.col(a), F.col(b))
     w = panel.withColumn("_rn", row_index()).select(
         "entity", "period_end", *keep, "_rn",
         *[last_finite(d(c)).alias(f"l_{c}") for c in names],
-        *[F.lag(d(c), 4).over(ENTITY).alias(f"b_{c}") for c in ("inventory", "selling_general_admin", "revenue")],
-        F.lag(d("net_income"), 1).over(ENTITY).alias("b_ni"),
+        *[F.lag(d(c), 4).over(entity_rows()).alias(f"b_{c}") for c in ("inventory", "selling_general_admin", "revenue")],
+        F.lag(d("net_income"), 1).over(entity_rows()).alias("b_ni"),
         F.sum(d("net_income")).over(four).alias("s_ni"), F.sum(d("operating_cash_flow")).over(four).alias("s_ocf"),
         F.count(F.when(F.col("net_income").isNotNull() & F.col("operating_cash_flow").isNotNull(), 1)).over(four).alias("n4"),
-        F.max(d("revenue")).over(RECENT).alias("peak"),
-        F.min(row_ratio("current_assets", "current_liabilities")).over(RECENT).alias("current_ratio_min_8q"),
-        F.min(row_ratio("operating_cash_flow", "revenue")).over(RECENT).alias("ocf_to_sales_min_8q"),
-        F.min(row_ratio("net_income", "revenue")).over(RECENT).alias("net_margin_min_8q"),
+        F.max(d("revenue")).over(recent_rows()).alias("peak"),
+        F.min(row_ratio("current_assets", "current_liabilities")).over(recent_rows()).alias("current_ratio_min_8q"),
+        F.min(row_ratio("operating_cash_flow", "revenue")).over(recent_rows()).alias("ocf_to_sales_min_8q"),
+        F.min(row_ratio("net_income", "revenue")).over(recent_rows()).alias("net_margin_min_8q"),
         trailing_streak(F.col("net_income") < 0).alias("neg_ni_streak"),
         trailing_streak(F.col("operating_cash_flow") < 0).alias("neg_ocf_streak"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.panel import ENTITY
+from ..functions.panel import entity_rows
 from ..functions.scalars import imbalance_level
 
 
@@ -105,7 +105,7 @@ def prior_band(prior: Column) -> Column:
 def published_bounds(samples: DataFrame) -> DataFrame:
     """Per split: latest publication inside any history, earliest decision time. The history of a sample ends
     at its own row, and publication dates of earlier rows are covered by a running maximum."""
-    seen = F.max("available_on").over(ENTITY.rowsBetween(W.unboundedPreceding, 0))
+    seen = F.max("available_on").over(entity_rows().rowsBetween(W.unboundedPreceding, 0))
     return samples.withColumn("_seen", seen).groupBy("split").agg(F.max("_seen").alias("max_published"), F.min("as_of").alias("min_as_of"))
 
 
@@ -176,7 +176,7 @@ def label_agreement(rules: dict[str, DataFrame], base: DataFrame) -> DataFrame:
 def accounting_rules(shift: int = 0) -> dict[str, Column]:
     """Seven simple rules on the current quarter, or ``shift`` quarters earlier."""
     def c(name: str) -> Column:
-        col = F.lag(name, shift).over(ENTITY) if shift else F.col(name)
+        col = F.lag(name, shift).over(entity_rows()) if shift else F.col(name)
         return F.coalesce(col, F.lit(0))
 
     return {
@@ -193,7 +193,7 @@ def rule_agreement(labelled: DataFrame, label: str = "label") -> DataFrame:
     now, before = accounting_rules(), accounting_rules(1)
     names = list(now)
     t = labelled.select(
-        F.row_number().over(ENTITY).alias("rn"), F.col(label).alias("y"), "n_signals",
+        F.row_number().over(entity_rows()).alias("rn"), F.col(label).alias("y"), "n_signals",
         *[now[k].cast("int").alias(f"t{i}") for i, k in enumerate(names)],
         *[before[k].cast("int").alias(f"h{i}") for i, k in enumerate(names)],
     ).where("rn > 1")
@@ -288,7 +288,7 @@ def label_availability(samples: DataFrame) -> DataFrame:
 
 def fiscal_continuity(panel: DataFrame) -> DataFrame:
     """Each row against its predecessor: the fiscal quarter must be the successor and the end must grow."""
-    prev = lambda c: F.lag(c).over(ENTITY)
+    prev = lambda c: F.lag(c).over(entity_rows())
     want_y = F.when(prev("fiscal_quarter") == 4, prev("fiscal_year") + 1).otherwise(prev("fiscal_year"))
     want_q = F.when(prev("fiscal_quarter") == 4, 1).otherwise(prev("fiscal_quarter") + 1)
     return panel.select(

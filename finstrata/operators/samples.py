@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import (
     ALTMAN_CUT, FORWARD_HORIZON, N_PURGE, N_TEST, N_VALIDATION, STRESS_MIN_SIGNALS, STRESS_SIGNALS,
 )
-from ..functions.panel import ENTITY, SO_FAR, WHOLE, row_index
+from ..functions.panel import entity_rows, rows_so_far, whole_entity, row_index
 from ..functions.scalars import altman_z, growth
 
 
@@ -18,7 +18,7 @@ def sample_id(year: str = "fiscal_year", quarter: str = "fiscal_quarter") -> Col
 
 
 def parse_sample_id(c: Column) -> list[Column]:
-    """entity, year, quarter of ``<ENTITY>-YYYYQn`` and whether the id is well formed."""
+    """entity, year, quarter of ``<entity_rows()>-YYYYQn`` and whether the id is well formed."""
     pat = r"^([A-Z0-9]+)-(\d{4})Q([1-4])$"
     part = lambda i: F.nullif(F.regexp_extract(c, pat, i), F.lit(""))
     return [
@@ -32,7 +32,7 @@ def make_samples(panel: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     No history array is copied: window features of the row are the features of the sample.
     """
-    nxt = lambda c: F.lead(c).over(ENTITY).alias(f"target_{c}")
+    nxt = lambda c: F.lead(c).over(entity_rows()).alias(f"target_{c}")
     cols = ["fiscal_year", "fiscal_quarter", "period_start", "period_end", "available_on"]
     out = panel.select(
         "entity", "period_end", *[k for k in keep if k not in ("entity", "period_end")],
@@ -45,20 +45,20 @@ def make_samples(panel: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def history_periods() -> Column:
     """Period ends seen so far (bounded by the number of quarters)."""
-    return F.collect_list("period_end").over(SO_FAR)
+    return F.collect_list("period_end").over(rows_so_far())
 
 
 def with_history(panel: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Samples with an explicit history array, for consumers that need the nested layout."""
     item = F.struct("period_start", "period_end", "available_on", *fields)
-    return make_samples(panel.withColumn("history", F.collect_list(item).over(SO_FAR)), ["history"])
+    return make_samples(panel.withColumn("history", F.collect_list(item).over(rows_so_far())), ["history"])
 
 
 # ---- labels -----------------------------------------------------------------------------------------
 
 def signal_columns(yoy_threshold: float = -0.05) -> dict[str, Column]:
     """The six stress signals of a quarter; a missing input is 'not fired'."""
-    past = F.lag("revenue", 4).over(ENTITY)
+    past = F.lag("revenue", 4).over(entity_rows())
     flags = {
         "net_income<0": F.col("net_income") < 0,
         "operating_cash_flow<0": F.col("operating_cash_flow") < 0,
@@ -93,11 +93,11 @@ def altman_label(panel: DataFrame, min_signals: int = STRESS_MIN_SIGNALS) -> Dat
 def forward_label(panel: DataFrame, min_signals: int = STRESS_MIN_SIGNALS, horizon: int = FORWARD_HORIZON) -> DataFrame:
     """1 when any of the next ``horizon`` quarters is stressed; also how many could be observed, which fired,
     and when the last of them was published (the label is not known earlier)."""
-    ahead = ENTITY.rowsBetween(1, horizon)
+    ahead = entity_rows().rowsBetween(1, horizon)
     hit = (F.col("n_signals") >= min_signals).cast("int")
     steps = [
-        F.when(F.lead(hit, k).over(ENTITY) == 1,
-               F.concat(F.lit(f"q+{k}:"), F.array_join(F.lead("fired", k).over(ENTITY), ",")))
+        F.when(F.lead(hit, k).over(entity_rows()) == 1,
+               F.concat(F.lit(f"q+{k}:"), F.array_join(F.lead("fired", k).over(entity_rows()), ",")))
         for k in range(1, horizon + 1)
     ]
     return (
@@ -125,7 +125,7 @@ def label_by_rule(rule: str, panel: DataFrame, min_signals: int = STRESS_MIN_SIG
 def rule_samples(panel: DataFrame, rule: str = "stress_signals", min_signals: int = STRESS_MIN_SIGNALS) -> DataFrame:
     """Samples whose label is the rule applied to the target quarter (the next row)."""
     labelled = label_by_rule(rule, panel, min_signals)
-    labelled = labelled.withColumn("is_distressed", F.lead("label").over(ENTITY))
+    labelled = labelled.withColumn("is_distressed", F.lead("label").over(entity_rows()))
     return make_samples(labelled, ["is_distressed"])
 
 
@@ -160,7 +160,7 @@ def split_column(position: Column, size: Column) -> Column:
 
 
 def time_split(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("split", split_column(row_index(), F.count(F.lit(1)).over(WHOLE)))
+    return samples.withColumn("split", split_column(row_index(), F.count(F.lit(1)).over(whole_entity())))
 
 
 def test_ranges(samples: DataFrame) -> DataFrame:

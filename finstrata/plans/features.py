@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES, FEATURE_GROUPS, INDICATORS, RATIOS
-from ..functions.panel import ENTITY, RECENT, SO_FAR, last_finite, row_index, trailing_streak
+from ..functions.panel import entity_rows, recent_rows, rows_so_far, last_finite, row_index, trailing_streak
 from ..functions.scalars import as_double, close, growth, ratio, stable
 from ..operators import features as X
 from ..operators import samples as S
@@ -122,7 +122,7 @@ SELECT split, count(*) AS n, CAST(sum(is_distressed) AS BIGINT) AS positives, ro
 FROM f_split s JOIN f_feat f USING (entity, period_end) GROUP BY split""", ["f_split", "f_feat"])
 def flagship(spark, sf):
     p = S.label_by_rule("stress_signals", panel(spark, sf), 2)
-    p = p.withColumn("is_distressed", F.lead("label").over(ENTITY)).withColumn("target_end", F.lead("period_end").over(ENTITY))
+    p = p.withColumn("is_distressed", F.lead("label").over(entity_rows())).withColumn("target_end", F.lead("period_end").over(entity_rows()))
     feats = X.feature_table(p, ["is_distressed", "target_end"]).where(F.col("target_end").isNotNull())
     split = S.time_split(feats)
     return split.groupBy("split").agg(
@@ -154,15 +154,15 @@ def e2(spark, sf):
 @query("e3_history_columns", f"""SELECT entity, period_end, list(coalesce(CAST(net_income AS VARCHAR), '-')) OVER {WA} AS l FROM f_panel""".join(
     ["SELECT entity, period_end, array_to_string(l, ',') AS net_income_series FROM (", ")"]), ["f_panel"])
 def e3(spark, sf):
-    p = panel(spark, sf).select("entity", "period_end", F.collect_list(F.struct("net_income")).over(SO_FAR).alias("history"))
+    p = panel(spark, sf).select("entity", "period_end", F.collect_list(F.struct("net_income")).over(rows_so_far()).alias("history"))
     return p.select("entity", "period_end", F.array_join(
         F.transform("history", lambda h: F.coalesce(h["net_income"].cast("string"), F.lit("-"))), ",").alias("net_income_series"))
 
 
 @query("e4_lookback_window", f"SELECT entity, period_end, count(*) OVER {W8} AS n_window, min(period_end) OVER {W8} AS oldest FROM f_panel", ["f_panel"])
 def e4(spark, sf):
-    return panel(spark, sf).select("entity", "period_end", F.count(F.lit(1)).over(RECENT).alias("n_window"),
-                                   F.min("period_end").over(RECENT).alias("oldest"))
+    return panel(spark, sf).select("entity", "period_end", F.count(F.lit(1)).over(recent_rows()).alias("n_window"),
+                                   F.min("period_end").over(recent_rows()).alias("oldest"))
 
 
 @query("e5_last_finite", "SELECT entity, period_end, " + ", ".join(f"l_{c}" for c in ("net_income", "liabilities", "receivables", "short_term_investments")) + " FROM w_win", ["w_win"])
@@ -173,7 +173,7 @@ def e5(spark, sf):
 
 @query("e6_growth", f"SELECT entity, period_end, round({_growth('CAST(net_income AS DOUBLE)', f'lag(net_income, 4) OVER {WE}')}, 6) AS g FROM f_panel", ["f_panel"])
 def e6(spark, sf):
-    return panel(spark, sf).select("entity", "period_end", growth(F.col("net_income"), F.lag("net_income", 4).over(ENTITY)).alias("g"))
+    return panel(spark, sf).select("entity", "period_end", growth(F.col("net_income"), F.lag("net_income", 4).over(entity_rows())).alias("g"))
 
 
 @query("e7_safe_ratio", f"SELECT entity, period_end, round({_div('net_income', 'inventory')}, 6) AS r FROM f_panel", ["f_panel"])
@@ -183,7 +183,7 @@ def e7(spark, sf):
 
 @query("e8_min_finite", f"SELECT entity, period_end, min(net_income) OVER {W8} AS worst FROM f_panel", ["f_panel"])
 def e8(spark, sf):
-    return panel(spark, sf).select("entity", "period_end", F.min("net_income").over(RECENT).alias("worst"))
+    return panel(spark, sf).select("entity", "period_end", F.min("net_income").over(recent_rows()).alias("worst"))
 
 
 @query("e9_trailing_streak", f"SELECT entity, period_end, {_streak('net_income < 0')} AS neg, {_streak('operating_cash_flow > 0')} AS pos_ocf FROM w_rn", ["w_rn"])
@@ -247,7 +247,7 @@ def e23(spark, sf):
        ["f_samples", "f_feat"])
 def e24(spark, sf):
     p = S.stress_label(panel(spark, sf), 2)
-    nxt = lambda c: F.lead(c).over(ENTITY)
+    nxt = lambda c: F.lead(c).over(entity_rows())
     p = p.withColumn("is_distressed", nxt("label")).withColumn("sample_id", F.when(
         nxt("period_end").isNotNull(), F.concat(F.col("entity").cast("string"), F.lit("-"), nxt("fiscal_year"), F.lit("Q"), nxt("fiscal_quarter"))))
     t = X.feature_table(p, ["is_distressed", "sample_id"]).where(F.col("sample_id").isNotNull())
@@ -350,7 +350,7 @@ def e33(spark, sf):
   lag({_div('net_income', 'revenue')}) OVER {WE} AS b FROM f_panel)""", ["f_panel"])
 def e34(spark, sf):
     p = panel(spark, sf).select("entity", "period_end", ratio(F.col("net_income"), F.col("revenue")).alias("a"))
-    p = p.withColumn("b", F.lag("a").over(ENTITY))
+    p = p.withColumn("b", F.lag("a").over(entity_rows()))
     return p.select("entity", "period_end", close(F.col("a"), F.col("b"), 1e-2).alias("same"))
 
 

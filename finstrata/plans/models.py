@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
-from ..functions.panel import ENTITY
+from ..functions.panel import entity_rows
 from ..functions.scalars import altman_probability, altman_z
 from ..operators import features as X
 from ..operators import metrics as M
@@ -132,7 +132,7 @@ def l9(spark, sf):
 
 @query("l10_baseline_table", f"WITH b AS (SELECT split, 'altman' AS system, is_distressed AS y, pz AS p FROM f_zs WHERE split IN ('validation', 'test') UNION ALL SELECT split, 'entity_prior', is_distressed, coalesce(prior, 5e-1) FROM f_split LEFT JOIN f_prior USING (entity) WHERE split IN ('validation', 'test')) SELECT system, split, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM ({auc_sql('b', 'system', 'split')})", ["f_zs", "f_prior"])
 def l10(spark, sf):
-    p = S.stress_label(panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(ENTITY)).withColumn("pz", altman_probability(altman_z()))
+    p = S.stress_label(panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(entity_rows())).withColumn("pz", altman_probability(altman_z()))
     s = S.time_split(S.make_samples(p, ["is_distressed", "pz"]))
     later = s.where(F.col("split").isin("validation", "test"))
     a = later.select("split", F.lit("altman").alias("system"), F.col("is_distressed").alias("y"), F.col("pz").alias("p"))
@@ -234,6 +234,7 @@ _vector_model("l25_strategy_cost_sensitive", lambda t: L.fit_technique(L.STRATEG
 _vector_model("l26_technique_smote", lambda t: L.fit_technique("smote", t))
 _vector_model("l27_technique_random_under", lambda t: L.fit_technique("random_under", t))
 _vector_model("l28_balanced_bagging", lambda t: L.fit_technique("balanced_bagging", t))
+_vector_model("l29_panel_technique_smote_enn", lambda t: L.fit_technique("smote_enn", t))
 _vector_model("m9_sampler_inside_model", lambda t: L.SampledEstimator(L.make_sampler("random_under", ratio=0.5), L._gbt(maxIter=5)).fit(t))
 _vector_model("m13_smote_with_weights", lambda t: L.fit_technique("smote_weights", t))
 

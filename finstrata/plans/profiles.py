@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..constants import FEATURES, FEATURE_GROUPS
-from ..functions.panel import ENTITY, SO_FAR
+from ..functions.panel import entity_rows, rows_so_far
 from ..functions.scalars import finite
 from ..operators import features as X
 from ..operators import metrics as M
@@ -159,7 +159,7 @@ BOX = ["current_ratio_latest", "debt_to_assets_latest", "net_margin_latest", "oc
 def sample_features(spark, sf, extra=()):
     """Features of every sample with its label, split and id; one pass over the panel."""
     p = S.stress_label(panel(spark, sf), 2)
-    nxt = lambda c: F.lead(c).over(ENTITY)
+    nxt = lambda c: F.lead(c).over(entity_rows())
     p = p.select("*", nxt("label").alias("is_distressed"), nxt("period_end").alias("target_period_end"), *[e for e in extra])
     t = X.feature_table(p, ["is_distressed", "target_period_end"]).where(F.col("target_period_end").isNotNull())
     return S.time_split(t)
@@ -245,7 +245,7 @@ def h29(spark, sf):
 
 def with_periods(spark, sf):
     p = S.stress_label(panel(spark, sf), 2)
-    p = p.withColumn("periods", F.collect_list("period_end").over(SO_FAR)).withColumn("is_distressed", F.lead("label").over(ENTITY))
+    p = p.withColumn("periods", F.collect_list("period_end").over(rows_so_far())).withColumn("is_distressed", F.lead("label").over(entity_rows()))
     return S.time_split(S.make_samples(p, ["periods", "is_distressed"]))
 
 

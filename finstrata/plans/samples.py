@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.panel import ENTITY, SO_FAR
+from ..functions.panel import entity_rows, rows_so_far
 from ..functions.scalars import altman_z, total_liabilities
 from ..operators import samples as S
 from ..constants import INDICATORS
@@ -41,7 +41,7 @@ def _stored_labels(spark, sf):
   SELECT entity, concat(entity, '-', lead(fiscal_year) OVER {WE}, 'Q', lead(fiscal_quarter) OVER {WE}) AS sample_id, lead(net_income) OVER {WE} AS tni,
   lead(CASE WHEN n_signals >= 1 THEN 1 ELSE 0 END) OVER {WE} AS l1, lead(available_on) OVER {WE} AS label_available_on FROM f_lab) WHERE label_available_on IS NOT NULL""", ["f_lab"])
 def d2(spark, sf):
-    p = panel(spark, sf).withColumn("target_net_income", F.lead("net_income").over(ENTITY))
+    p = panel(spark, sf).withColumn("target_net_income", F.lead("net_income").over(entity_rows()))
     s = S.make_samples(p, ["target_net_income"])
     out = S.carry_over_labels(s, _stored_labels(spark, sf), F.col("target_net_income") < 0)
     return out.select("sample_id", "carried_label", "carried_on", "was_known")

@@ -263,10 +263,10 @@ def n37(spark, sf):
 @query("d22_models_under_rules")
 def d22(spark, sf):
     from ..operators.features import feature_table
-    from ..functions.panel import ENTITY
+    from ..functions.panel import entity_rows
     out = None
     for rule in ("stress_signals", "altman_z"):
-        p = S.label_by_rule(rule, panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(ENTITY)).withColumn("target_period_end", F.lead("period_end").over(ENTITY))
+        p = S.label_by_rule(rule, panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(entity_rows())).withColumn("target_period_end", F.lead("period_end").over(entity_rows()))
         t = S.time_split(feature_table(p, ["is_distressed", "target_period_end"]).where("target_period_end is not null")).withColumn("y", F.col("is_distressed"))
         t = L.materialize(t)
         m = L.fit_model("logistic", t.where("split = 'train'"), FEW, **QUICK["logistic"])
