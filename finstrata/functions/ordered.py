@@ -111,14 +111,31 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     return quantiles_from_totals(running_totals(counts, value, ["n"], by), value, probs, by)
 
 
+def quantile_agg(prob: float, value: str, n: str = "n") -> Column:
+    """One exact quantile as an aggregate over ``running_totals`` rows: the two neighbouring positions are found by
+    conditional maxima, so any number of quantiles (and other aggregates) share one pass."""
+    first, last = F.col(f"{n}_cum") - F.col(n), F.col(f"{n}_cum") - 1
+    span = F.col(f"{n}_tot") - 1
+    lo = F.floor(F.lit(float(prob)) * span)
+    hi = F.least(lo + 1, span)
+    at = lambda pos: F.max(F.when((pos >= first) & (pos <= last), F.col(value).cast("double")))
+    return at(lo) + (at(hi) - at(lo)) * F.max(F.lit(float(prob)) * span - lo)
+
+
+def at_least_quantile(prob: float, n: str = "n") -> Column:
+    """Whether a ``running_totals`` row holds values at or above the interpolated quantile, decided by positions alone."""
+    last, span = F.col(f"{n}_cum") - 1, F.col(f"{n}_tot") - 1
+    exact = F.lit(float(prob)) * span
+    lo = F.floor(exact)
+    return (last >= F.least(lo + 1, span)) | ((last >= lo) & (exact == lo))
+
+
 def quantile_columns(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """The same, one column per named probability."""
-    rows = quantiles(df, value, list(probs.values()), by)
-    return rows.groupBy(*by).agg(
-        *[F.max(F.when(F.abs(F.col("prob") - p) < 1e-12, F.col("q"))).alias(name) for name, p in probs.items()]
-    )
+    """Exact quantiles, one column per named probability."""
+    totals = running_totals(value_counts(df, value, by), value, ["n"], by)
+    return totals.groupBy(*by).agg(*[quantile_agg(p, value).alias(name) for name, p in probs.items()])
 
 
 def quantile_grid(df: DataFrame, value: str, steps: int, by: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_PAIRS
-from ..functions.ordered import position, quantile_columns, quantiles_from_totals, running_totals
+from ..functions.ordered import at_least_quantile, position, quantile_agg, quantile_columns, running_totals
 from ..functions.tails import chi2_one_df, kolmogorov, student_two_sided
 
 
@@ -67,12 +67,12 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
         F.max(value).alias("max"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"),
         F.sum((F.col(value) == 0).cast("int")).alias("n_zero"), F.sum((F.col(value) < 0).cast("int")).alias("n_neg"))
     counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    uniq = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"))
-    q = quantiles_from_totals(running_totals(counts, value, ["n"], [key]), value, [0.01, 0.25, 0.5, 0.75, 0.99], [key])
-    name = lambda p, a: F.max(F.when(F.abs(F.col("prob") - p) < 1e-9, F.col("q"))).alias(a)
-    q = q.groupBy(key).agg(name(0.01, "p1"), name(0.25, "q1"), name(0.5, "median"), name(0.75, "q3"), name(0.99, "p99"))
+    # distinct count, top share and all quantiles in one pass over the ordered distinct values
+    q = running_totals(counts, value, ["n"], [key]).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"),
+        *[quantile_agg(p, value).alias(a) for a, p in {"p1": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}.items()])
     # outliers need the quartiles, so they are a second look at the distinct values, not at the rows
-    stats = m.join(q, key, "left").join(uniq, key, "left")
+    stats = m.join(q, key, "left")
     iqr = F.col("q3") - F.col("q1")
     fence = stats.select(key, "mean", "std", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col(value)
@@ -113,13 +113,13 @@ def target_association(long: DataFrame, key: str = "feature", value: str = "valu
     t = running_totals(counts, value, ["n", "n_pos"], [key])
     neg = F.col("n") - F.col("n_pos")
     below = (F.col("n_cum") - F.col("n_pos_cum")) - neg
+    top = at_least_quantile(0.9)
     auc = t.groupBy(key).agg(
         F.try_divide(F.sum(F.col("n_pos").cast("double") * (below + neg / 2.0)),
-                     F.max("n_pos_tot").cast("double") * (F.max("n_tot") - F.max("n_pos_tot"))).alias("auc"))
-    cut = quantiles_from_totals(t, value, [0.9], [key]).select(key, F.col("q").alias("_cut"))
-    top = counts.join(cut, key).where(F.col(value) >= F.col("_cut")).groupBy(key).agg((F.sum("n_pos") / F.sum("n")).alias("_top"))
+                     F.max("n_pos_tot").cast("double") * (F.max("n_tot") - F.max("n_pos_tot"))).alias("auc"),
+        (F.sum(F.when(top, F.col("n_pos"))) / F.sum(F.when(top, F.col("n")))).alias("_top"))
     r = known.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr(value, y).alias("r"), F.avg(y).alias("base"), F.stddev_samp(value).alias("_sd"))
-    j = r.join(auc, key, "left").join(top, key, "left")
+    j = r.join(auc, key, "left")
     ok = (F.col("n_pairs") >= min_pairs) & (F.col("_sd") > 0) & (F.col("base") > 0) & (F.col("base") < 1)
     df = F.col("n_pairs") - 2.0
     j = j.select(
@@ -264,39 +264,40 @@ def variance_inflation(df: DataFrame, names: Sequence[str], min_known: int = MIN
 
 # ---- drift ---------------------------------------------------------------------------------------------
 
-def psi(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value", bins: int = 10) -> DataFrame:
-    """Population stability on reference quantile bins, open at both ends; NULL for too few values or edges."""
+def _drift_core(long: DataFrame, is_ref: str, key: str, value: str, bins: int) -> DataFrame:
+    """(key, ks, psi, sizes): one ordered pass over distinct values gives KS and the reference bin edges, a second
+    unordered one counts the bins. Bins are open at both ends; PSI is NULL for too few values or edges."""
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("n"), F.sum(1 - F.col(is_ref)).alias("w"))
-    ref = running_totals(counts.where("n > 0").select(key, value, "n"), value, ["n"], [key])
-    edges = quantiles_from_totals(ref, value, [i / bins for i in range(bins + 1)], [key])
-    e = edges.groupBy(key).agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("e"))
-    inner = F.slice(F.col("e"), 2, F.size("e") - 2)
-    cells = counts.join(e, key).where(F.size("e") >= 3).withColumn("_inner", inner)
-    # bin k holds edges[k] <= v < edges[k+1]; the outer bins are unbounded
-    cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b", F.size("e").alias("k")).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-    tot = counts.groupBy(key).agg(F.sum("n").alias("n_r"), F.sum("w").alias("n_c"))
+    t = running_totals(counts, value, ["n", "w"], [key])
+    share = lambda c: F.try_divide(F.col(f"{c}_cum").cast("double"), F.col(f"{c}_tot"))
+    edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*[quantile_agg(i / bins, value) for i in range(bins + 1)]))))
+    core = t.groupBy(key).agg(F.max(F.abs(share("n") - share("w"))).alias("ks"), F.max("n_tot").alias("n_r"), F.max("w_tot").alias("n_c"), edges.alias("e"))
+    cells = counts.join(core.where(F.size("e") >= 3).select(key, "n_r", "n_c", F.slice("e", 2, F.size("e") - 2).alias("_inner")), key)
+    # bin k holds edges[k] <= v < edges[k+1]
+    cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n_r").alias("n_r"), F.max("n_c").alias("n_c"))
     eps = F.lit(1e-6)
-    j = cells.join(tot, key)
     r, c = F.greatest(F.col("n") / F.col("n_r"), eps), F.greatest(F.col("w") / F.col("n_c"), eps)
-    # a bin without any row of either side contributes nothing: both shares are eps
-    out = j.groupBy(key).agg(F.sum((c - r) * F.ln(c / r)).alias("psi"), F.max("n_r").alias("n_r"), F.max("n_c").alias("n_c"))
+    # a bin without rows on either side contributes nothing: both shares are eps
+    s = cells.groupBy(key).agg(F.sum((c - r) * F.ln(c / r)).alias("_psi"))
     enough = (F.col("n_r") >= bins) & (F.col("n_c") >= bins)
-    return tot.select(key).join(out.select(key, F.when(enough, F.col("psi")).alias("psi")), key, "left")
+    return core.join(s, key, "left").select(key, "ks", F.when(enough, F.col("_psi")).alias("psi"))
+
+
+def psi(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value", bins: int = 10) -> DataFrame:
+    """Population stability on reference quantile bins."""
+    return _drift_core(long, is_ref, key, value, bins).select(key, "psi")
 
 
 def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value") -> DataFrame:
     """Two-sample KS with asymptotic p, standardized mean difference, PSI, BH q and drift flag per feature."""
     known = long.where(F.col(value).isNotNull())
-    counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("r"), F.sum(1 - F.col(is_ref)).alias("w"))
-    t = running_totals(counts, value, ["r", "w"], [key])
-    ks = t.groupBy(key).agg(
-        F.max(F.abs(F.try_divide(F.col("r_cum").cast("double"), F.col("r_tot")) - F.try_divide(F.col("w_cum").cast("double"), F.col("w_tot")))).alias("ks"))
     at = lambda fn, v: fn(F.when(F.col(is_ref) == v, F.col(value)))
     m = known.groupBy(key).agg(
         at(F.count, 1).alias("n_ref"), at(F.count, 0).alias("n_new"), at(F.avg, 1).alias("mean_ref"), at(F.avg, 0).alias("mean_new"),
         at(F.var_samp, 1).alias("_v1"), at(F.var_samp, 0).alias("_v0"))
-    j = m.join(ks, key, "left").join(psi(long, is_ref, key, value), key, "left")
+    j = m.join(_drift_core(long, is_ref, key, value, 10), key, "left")
     ok = (F.col("n_ref") >= 3) & (F.col("n_new") >= 3)
     en = F.col("n_ref").cast("double") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
     sd = F.sqrt((F.col("_v1") + F.col("_v0")) / 2.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import DURATION_INDICATORS, INDICATORS, TAGS
 from ..functions.scalars import filing_url
 from ..operators import facts as C
+from ..operators.models import materialize
 from .registry import query
 from .views import SQL, facts, filings, panel, table
 
@@ -29,8 +30,13 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, peri
 ON b.entity = g.entity AND b.period_end = g.period_end AND b.indicator = g.indicator""")
 
 
+def landed(spark, sf):
+    """Facts and periods written once: the derivation reads the facts three times, as it would a landed table."""
+    return materialize(facts(spark, sf)), materialize(panel(spark, sf))
+
+
 def cells(spark, sf):
-    return C.derive_cells(facts(spark, sf), panel(spark, sf))
+    return C.derive_cells(*landed(spark, sf))
 
 
 def _first(c, f):
