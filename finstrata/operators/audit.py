@@ -117,7 +117,7 @@ def provenance_rules(cells: DataFrame, facts: DataFrame) -> DataFrame:
     key = [*CELL, "indicator"]
     used = cells.select(*key, F.posexplode("facts").alias("pos", "f")).select(*key, "pos", "f.*")
     have = facts.select("entity", F.col("tag").alias("_t"), F.col("start_d").alias("_s"), F.col("end_d").alias("_e"), F.col("accn").alias("_a"), F.col("val").alias("_v")).groupBy(
-        "entity", "_t", "_s", "_e", "_a").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.collect_set("_v").alias("_vals"))
+        "entity", "_t", "_s", "_e", "_a").agg(F.collect_set("_v").alias("_vals"))
     h = have.withColumnRenamed("entity", "_en")
     j = used.join(h, (F.col("entity") == F.col("_en")) & (F.col("tag") == F.col("_t")) & F.col("start_d").eqNullSafe(F.col("_s"))
                   & (F.col("end_d") == F.col("_e")) & (F.col("accn") == F.col("_a")), "left")

@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.draws import with_mix
 
-MAX_PIVOTS = 256
+MAX_PIVOTS, LOTS = 256, 64
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,9 +32,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int, exclude_self: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64"), "lot": pd.Series(dtype="int32")})
         right = right.sort_values("nid")
         q, n = left["qid"].to_numpy(), right["nid"].to_numpy()
         d = _distances(np.stack(left["qx"].to_numpy()), np.stack(right["x"].to_numpy()))
@@ -44,15 +44,19 @@ def _search(k: int, exclude_self: bool):
         best = np.take_along_axis(d, top, axis=1)
         keep = np.isfinite(best)
         rows = np.repeat(np.arange(len(q)), top.shape[1]).reshape(top.shape)
-        return pd.DataFrame({"qid": q[rows[keep]], "nid": n[top[keep]], "dist": best[keep]})
+        return pd.DataFrame({"qid": q[rows[keep]], "nid": n[top[keep]], "dist": best[keep], "lot": np.int32((key[0] * 31 + key[1]) % LOTS)})
 
     return run
 
 
-def _best(cands: DataFrame, k: int) -> DataFrame:
-    """Merge candidates per query: at most k per visited chunk meet here."""
-    lst = F.slice(F.array_sort(F.collect_list(F.struct("dist", "nid"))), 1, k)
-    return cands.groupBy("qid").agg(lst.alias("best"))
+def _best(cands: DataFrame, k: int, wide: bool) -> DataFrame:
+    """Merge candidates per query. With many chunks (``wide``) a first merge inside ``LOTS`` groups of chunks keeps every list
+    short, so the last one holds at most k * LOTS candidates times the chunks of one lot."""
+    pair = F.struct("dist", "nid")
+    if not wide:
+        return cands.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("best"))
+    part = cands.groupBy("qid", "lot").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("b"))
+    return part.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("best"))
 
 
 def nearest(query: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int = 4096, pivots: int | None = None) -> DataFrame:
@@ -113,16 +117,17 @@ def nearest(query: DataFrame, base: DataFrame, k: int, exclude_self: bool = True
         left = left.select("qid", F.col("x").alias("qx"), F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.col("part").alias("qpart"))
         base_side = right.where(F.col("cell").isin([int(c) for c in load])).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1))).select("nid", "x", "cell", "chunk", "part")
-        return left.groupBy("qcell", "qchunk", "qpart").cogroup(base_side.groupBy("cell", "chunk", "part")).applyInPandas(_search(k, exclude_self), "qid long, nid long, dist double")
+        return left.groupBy("qcell", "qchunk", "qpart").cogroup(base_side.groupBy("cell", "chunk", "part")).applyInPandas(_search(k, exclude_self), "qid long, nid long, dist double, lot int")
 
+    wide = int(sum(max(1, math.ceil(s / block)) for s in sizes)) > LOTS
     q = query.select(F.col("id").alias("qid"), F.col("x").alias("x"))
     if len(centers) == 1:
-        found = _best(search(q.withColumn("cell", F.lit(0))), k)
+        found = _best(search(q.withColumn("cell", F.lit(0))), k, wide)
     else:
         q = q.withColumn("seen", first_cells("x"))
         near = search(q.select("qid", "x", F.explode("seen").alias("cell")))
-        bound = _best(near, k).select("qid", F.when(F.size("best") >= k, F.element_at("best", -1)["dist"]).alias("radius"))
+        bound = _best(near, k, wide).select("qid", F.when(F.size("best") >= k, F.element_at("best", -1)["dist"]).alias("radius"))
         more = q.join(bound, "qid", "left").withColumn("cells", further_cells("x", "seen", "radius"))
-        found = _best(near.unionByName(search(more.select("qid", "x", F.explode("cells").alias("cell")))), k)
+        found = _best(near.unionByName(search(more.select("qid", "x", F.explode("cells").alias("cell")))), k, wide)
     return found.select(F.col("qid").alias("id"), F.posexplode("best").alias("pos", "b")).select(
         "id", F.col("b.nid").alias("nid"), (F.col("pos") + 1).alias("rank"), F.col("b.dist").alias("dist"))

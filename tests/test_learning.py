@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finstrata.operators import explain as O
+from finstrata.operators import neighbours
 from finstrata.operators import models as L
 from finstrata.operators import preprocess as Q
 from finstrata.operators import resample as R
@@ -41,6 +42,14 @@ def test_nearest_equals_brute_force(spark, block, pivots):
     assert np.allclose(got, want)
 
 
+def test_two_level_merge_gives_the_same(spark, monkeypatch):
+    df, _, _ = cloud(spark, 300)
+    rows = lambda: {(r["id"], r["rank"]): r["nid"] for r in nearest(df, df, 3, block=60, pivots=8).collect()}
+    one = rows()
+    monkeypatch.setattr(neighbours, "LOTS", 3)
+    assert rows() == one
+
+
 def test_more_neighbours_than_rows(spark):
     df, _, _ = cloud(spark, 6, hot=False)
     assert nearest(df, df, 10, block=2, pivots=3).count() == 6 * 5
