@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,13 +29,29 @@ def local_session(cpus: str | None = None) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cutting lineage: the cluster's setting, or a new local one where none is set."""
+    """The shared folder for cutting lineage: the cluster's setting. Where none is set, a new local one, on a local master only."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="finstrata-checkpoint-")
     sc.setCheckpointDir(shared)
-    return shared
+    return sc.getCheckpointDir() or shared
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application: they need not find it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_finstrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    bundle = os.path.join(tempfile.mkdtemp(prefix="finstrata-package-"), "finstrata.zip")
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(Path("finstrata") / path.relative_to(root)))
+    sc.addPyFile(bundle)
+    sc._finstrata_shipped = True
