@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finstrata.llm import histogram_sort, url_filter
+from finstrata.llm import histogram_sort, pii, secrets, url_filter
 
-MODULES = [url_filter, histogram_sort]
+MODULES = [secrets, pii, url_filter, histogram_sort]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
