@@ -2,7 +2,7 @@
 
 The tokenizers library cuts a text into pieces by a fixed rule and encodes each piece alone. Here numpy cuts whole chunks of texts by that rule,
 each distinct piece is encoded once by the library and kept in a table of bounded size, and the ids are put together from the table. Texts with
-a character outside the Latin blocks, or with the name of a special token, go to the library whole, so the Unicode version behind the rule never
+a character outside the Latin blocks, or the name of a special token, go to the library whole, so the Unicode version behind the rule never
 matters. ``encode`` yields exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 """
 
@@ -89,14 +89,16 @@ def cut(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """One per tokenizer file and Python worker; ``encoder_for`` keeps it between tasks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        """``special_as_text``: the names of special tokens in a text are ordinary text; else, as the library has it by default, they are those tokens."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.special = [t["content"] for t in model.get("added_tokens", [])]
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t["content"] for t in model.get("added_tokens", [])]
         cutter = model.get("pre_tokenizer") or {}
         plain = model.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
         self.by_pieces = bool(plain)
@@ -242,5 +244,5 @@ def _segments(text: str) -> Iterator[str]:
 
 
 @lru_cache(4)
-def encoder_for(path: str) -> Encoder:
-    return Encoder(path)
+def encoder_for(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)

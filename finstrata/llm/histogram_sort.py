@@ -12,8 +12,9 @@ their own; an empty table gives an empty result; extra columns are ignored by ``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from finstrata.llm.numbering import numbered
 from finstrata.sources.landing import land
 
 DIGIT = 16  # bits per pass
@@ -113,21 +114,12 @@ def shard_of(splitters: list[tuple[int, ...] | None]) -> Column:
 def assign(docs: DataFrame, shards: int = 8, tolerance: float = 0.001) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: not the ``key`` law) for every row.
 
-    After the one range exchange the sorted rows are numbered where they lie: the partition and the place in it are in the id that Spark
-    hands out, so slots need no window over a shard, only running sums of one count per partition and shard.
+    The rows are exchanged once, by ranges of shard and key, and numbered where they then lie.
     """
     keys = _keys(docs)
     split = keys.withColumn("shard", shard_of(find_splitters(keys, shards, tolerance)))
-    order = ["shard", *PARTS]
-    placed = land(split.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "shard-rows")
-    bits = 33  # of the place within a partition, as documented for monotonically_increasing_id
-    part = F.shiftright("place", bits).alias("part")
-    counts = placed.groupBy("shard", part).agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", "part", (before - F.col("first")).alias("offset"))
-    return placed.withColumn("part", F.shiftright("place", bits)).join(offsets, ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("place") + F.col("offset")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    placed = numbered(split, ["shard"], list(PARTS), "slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, tolerance: float = 0.001) -> None:

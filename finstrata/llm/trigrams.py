@@ -23,6 +23,9 @@ def both(kind: str, parts) -> Query:
     if kind == "or" and True in flat:
         return True
     flat = [p for p in flat if p is not True]
+    if kind == "or":  # what asks for more than another alternative adds nothing
+        asks = {p: {p} if isinstance(p, str) else set(p[1]) if p[0] == "and" else None for p in flat}
+        flat = [p for p in flat if asks[p] is None or not any(o is not None and o < asks[p] for o in asks.values())]
     return True if not flat else flat[0] if len(flat) == 1 else (kind, tuple(flat))
 
 
