@@ -6,7 +6,7 @@ the spread between the quartiles, and at least ``FLOOR`` (in nats a character) a
 phrases over and over score low.
 
 Defined results: a null or blank text has no words and fails; a null language is a language of its own; repeated rows are judged alike; an
-empty table gives an empty result; ``judge`` keeps no other columns than those named, ``filter_documents`` keeps all of the input's.
+empty table gives an empty result; ``filter_documents`` keeps every column.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finstrata.llm.kneser_ney import distinct_words, fit, grams_of, quantiles
+from finstrata.llm.rows import NO_ID, keyed, sent
 from finstrata.llm.words import BLANK_CUT_CASED, Words, chunks, mix, shingle_hashes, words_of
 from finstrata.session import ship
 from finstrata.sources.landing import land
@@ -60,9 +61,9 @@ def _repeated_lines(text: bytes) -> int:
 
 
 def measure(docs: DataFrame, model=None) -> DataFrame:
-    """doc_id, lang, the counts, and with a model the sum of log probabilities and the number of n-grams."""
+    """_did, _tid (names of the row), lang, the counts, and with a model the sum of log probabilities and the number of n-grams."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    spread = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,23 +74,23 @@ def measure(docs: DataFrame, model=None) -> DataFrame:
                 heads = BLANK_CUT_CASED.inside[buf] & ((buf & 0xC0) != 0x80)
                 row = [np.diff(w.rows), _per_text(w, heads, w.texts), _per_text(w, _SYMBOL[buf], w.texts), np.array([_repeated_lines(t) for t in texts]), _per_text(w, _repeated(w), w.rows)]
                 log_p, n = np.zeros(len(w.starts)), np.zeros(len(w.starts), np.int64)
-                if sent is not None and len(w.starts):
+                if spread is not None and len(w.starts):
                     words, which, _ = distinct_words(w)
                     grams, sizes = grams_of(words)
                     some, back = np.unique(grams, return_inverse=True)
-                    sums = np.add.reduceat(sent.value.log_p(some)[back], np.cumsum(sizes) - sizes)
+                    sums = np.add.reduceat(spread.value.log_p(some)[back], np.cumsum(sizes) - sizes)
                     log_p, n = sums[which], sizes[which]
                 got.append([*row, np.round(_per_text(w, log_p, w.rows), 6), _per_text(w, n, w.rows)])
             columns = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0)] * 7
             types = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
-            yield pa.record_batch([batch["doc_id"], batch["lang"], *[pa.array(c).cast(t) for c, t in zip(columns, types)]], names=["doc_id", "lang", *COUNTS, "log_p", "n_grams"])
+            yield pa.record_batch([batch["_did"], batch["_tid"], batch["lang"], *[pa.array(c).cast(t) for c, t in zip(columns, types)]], names=["_did", "_tid", "lang", *COUNTS, "log_p", "n_grams"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(one, f"doc_id bigint, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_p double, n_grams bigint")
+    rows = keyed(docs).select("_did", "_tid", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(one, f"_did bigint, _tid bigint, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_p double, n_grams bigint")
 
 
 def judge(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
-    """doc_id, the counts, base_failed, log_perplexity, low, high, kept for every row."""
+    """_did, _tid, _lang (names of the row), the counts, base_failed, log_perplexity, low, high, kept for every row."""
     docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = measure(docs, fit(docs)).withColumns({"base_failed": failed, "log_perplexity": F.when(F.col("n_grams") > 0, -F.col("log_p") / F.col("n_grams")), "_lang": F.coalesce("lang", F.lit(""))})
@@ -98,12 +99,21 @@ def judge(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFr
     reach = F.greatest(width * (F.col("q2") - F.col("q0")), F.lit(floor))
     bands = q.select("_lang", (F.col("q1") - reach).alias("low"), (F.col("q1") + reach).alias("high"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands, "_lang", "left").select("doc_id", "lang", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")
+    return scored.join(bands, "_lang", "left").select("_did", "_tid", "_lang", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")
+
+
+def filter_documents(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+    """The rows of ``docs`` that are kept, every column as it was."""
+    row = ["_did", "_tid", "_lang"]
+    gone = land(judge(docs, width, floor).where("not kept").select(row).distinct(), "rejected")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    return keyed(docs).withColumn("_lang", lang).join(sent(gone), row, "left_anti").select(docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "log_perplexity")
+    doc_id = F.when(F.col("_did") != NO_ID, F.col("_did")).alias("doc_id")
+    return judge(docs).select(doc_id, *COUNTS, "base_failed", "kept", "log_perplexity")
 
 
 QUERIES = {"op5_quality": op5_quality}

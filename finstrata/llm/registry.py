@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from finstrata.llm import cutting_stock, decontaminate, histogram_sort, pii, quality, secrets, separator_scan, token_files, url_filter
+from finstrata.llm import cutting_stock, decontaminate, histogram_sort, ngram_join, pii, quality, secrets, separator_scan, token_files, url_filter
 
-MODULES = [token_files, cutting_stock, secrets, quality, pii, url_filter, decontaminate, separator_scan, histogram_sort]
+MODULES = [token_files, ngram_join, cutting_stock, secrets, quality, pii, url_filter, decontaminate, separator_scan, histogram_sort]
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

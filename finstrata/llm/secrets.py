@@ -6,8 +6,7 @@
 3. Queries are answered block by block with set operations on the posting lists.
 4. Candidates are verified with the regular expression; a rule without a mandatory trigram scans every text.
 
-Candidates reach the texts by a join on doc_id. They are broadcast when there are at most ``MAX_BROADCAST`` of them, which is counted first;
-beyond that the join is shuffled.
+Candidates reach the texts by a join on doc_id. They are landed and counted: a short list is broadcast, a longer one shuffled (``rows.sent``).
 
 Defined results: a null or empty text has no spans. Null doc_ids share one entry of the index, and repeated doc_ids theirs: a row is then
 verified if any row with its id is a candidate, which costs time but changes no result. Extra columns are kept by ``scan``.
@@ -20,12 +19,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from finstrata.llm.expressions import find_spans, let, span_list
+from finstrata.llm.rows import NO_ID, sent
 from finstrata.llm.trigrams import Query, derive, trigrams_of
 from finstrata.sources.landing import land
 
 BUCKET = 1024
-MAX_BROADCAST = 1_000_000
-NO_ID = -(2**63)
 MASK = "[secret]"
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
@@ -95,9 +93,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = RULES + MORE if rules is None else rules
     docs = docs.drop("secrets")
     found = land(candidates(docs.select("doc_id", "text"), rules), "secret-candidates")
-    small = found.count() <= MAX_BROADCAST
-    side = found.select(F.col("id").alias("_id"), F.col("rules").alias("_rules"))
-    joined = docs.withColumn("_key", _id()).join(F.broadcast(side) if small else side, F.col("_key") == F.col("_id"), "left")
+    side = sent(found.select(F.col("id").alias("_id"), F.col("rules").alias("_rules")))
+    joined = docs.withColumn("_key", _id()).join(side, F.col("_key") == F.col("_id"), "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(SPANS)
     each = []

@@ -4,8 +4,10 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from finstrata.llm import kneser_ney, quality
+from finstrata.llm.rows import NO_ID
 
 SCHEMA = "doc_id bigint, lang string, text string, kept int, gram string"
 
@@ -35,7 +37,8 @@ def test_table(spark, sf):
 def test_edges(spark):
     rows = [(1, None), (1, None), (None, "a b c a b c"), (2, ""), (3, " \n \n"), (4, "x\nx\n y\nx"), (5, "é " * 40_000), (6, "a\x0bb\x0cc\x85d a b"), (7, "#*|<>\n\n|\n|"), (8, "日本 語 " * 30)]
     docs = spark.createDataFrame([(i, None if i == 4 else "en", t, 1, "clash") for i, t in rows], SCHEMA)
-    expect(rows, quality.judge(docs).collect())
+    expect(rows, quality.judge(docs).withColumn("doc_id", F.when(F.col("_did") != NO_ID, F.col("_did"))).collect())
+    assert quality.filter_documents(docs).columns == docs.columns and quality.filter_documents(docs.drop("lang")).count() == 0
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -46,7 +49,7 @@ def test_clean_text_is_kept_and_noise_goes(spark, sf):
     rng = np.random.default_rng(1)
     plain = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
     noise = spark.createDataFrame([(-i - 1, "en", " ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(200))) for i in range(3)], "doc_id bigint, lang string, text string")
-    assert not any(r.kept for r in quality.judge(plain.unionByName(noise)).where("doc_id < 0").collect())
+    assert not any(r.kept for r in quality.judge(plain.unionByName(noise)).where("_did < 0").collect())
 
 
 def test_model_is_modified_kneser_ney(spark):
