@@ -61,10 +61,10 @@ def derive_cells(facts: DataFrame, periods: DataFrame, extended: bool = False, a
     """
     usd = usd_facts(facts).join(tag_table(facts.sparkSession, extended), "tag")
     usd = usd.select("entity", "tag", "start_d", "end_d", "val", "accn", "filed", "indicator", "kind", "prio")
-    late_ok = F.lit(True) if allow_late else (F.col("filed") <= F.col("available_on"))
+    late_ok = F.lit(True) if allow_late else F.coalesce(F.col("filed") <= F.col("available_on"), F.lit(True))  # no date: no limit
     here = usd.join(periods.select(*PERIOD).withColumnRenamed("entity", "_pe"),
                     (F.col("entity") == F.col("_pe")) & (F.col("end_d") == F.col("period_end"))).drop("_pe")
-    here = here.where(late_ok).withColumn("_late", (F.col("filed") > F.col("available_on")).cast("int"))
+    here = here.where(late_ok).withColumn("_late", F.coalesce((F.col("filed") > F.col("available_on")).cast("int"), F.lit(0)))
     none = F.lit(None).cast("date")
     exact = here.where(
         ((F.col("kind") == "instant") & F.col("start_d").isNull())
@@ -98,9 +98,9 @@ def derive_cells(facts: DataFrame, periods: DataFrame, extended: bool = False, a
         prev, (F.col("entity") == F.col("_e")) & (F.col("tag") == F.col("_t")) & (F.col("c_start_d") == F.col("_s"))
         & (F.col("prev_end") == F.col("_end")),
     )
-    q_late = (F.col("q_filed") > F.col("available_on")).cast("int")
+    q_late = F.coalesce((F.col("q_filed") > F.col("available_on")).cast("int"), F.lit(0))
     if not allow_late:
-        joined = joined.where(F.col("q_filed") <= F.col("available_on"))
+        joined = joined.where(q_late == 0)
     ytd = joined.groupBy(*keys, "c__late", "c_filed", "c_accn", "c_start_d", "c_end_d", "c_val").agg(
         F.min(F.struct(q_late.alias("l"), F.col("q_filed").alias("filed"), F.col("q_accn").alias("accn"),
                        F.col("_end").alias("end_d"), F.col("q_val").alias("val"))).alias("q")
@@ -115,11 +115,11 @@ def derive_cells(facts: DataFrame, periods: DataFrame, extended: bool = False, a
                      F.col("q.val").alias("val"), F.col("q.accn").alias("accn"), F.col("q.filed").alias("filed")),
         ).alias("facts"),
     )
-    best = exact.unionByName(ytd).groupBy(*PERIOD, "indicator").agg(
+    best = exact.unionByName(ytd).groupBy(*CELL, "indicator").agg(
         F.min(F.struct("prio", "branch", "_late", "filed", "accn", "method", "value", "facts")).alias("b")
     )
     grid = periods.select(*PERIOD, F.explode(F.array(*[F.lit(i) for i in INDICATORS])).alias("indicator"))
-    return grid.join(best, [*PERIOD, "indicator"], "left").select(
+    return grid.join(best, [*CELL, "indicator"], "left").select(
         *PERIOD, "indicator", F.coalesce("b.method", F.lit("absent")).alias("method"), F.col("b.value").alias("value"),
         F.coalesce("b.facts", F.array().cast("array<struct<tag:string,start_d:date,end_d:date,val:bigint,accn:string,filed:date>>")).alias("facts"),
     )

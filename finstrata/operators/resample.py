@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import SEED
 from ..functions.draws import with_mix, with_pair_uniform, with_uniform
-from ..functions.ordered import hash_rank
+from ..functions.ordered import hash_rank, running_totals
 from .neighbours import nearest
 
 Sampler = Callable[[DataFrame], DataFrame]
@@ -152,8 +152,9 @@ def adasyn_rows(df: DataFrame, ratio: float = 0.5, k: int = 5, seed: int = SEED,
     rows = df.where(F.col("y") == label)
     quota = adasyn_quota(majority_votes(rows, df, max(1, min(k, n_min + n_maj - 1)), label), n_new)
     kk = max(1, min(k, n_min - 1))
-    each = quota.where("quota > 0").select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("quota"))).alias("c"))
-    each = each.withColumn("i", F.col("id") * (n_new + 1) + F.col("c"))  # unique: no row gets more than n_new
+    # rows are numbered 0 .. n_new - 1 in the order of their base: running sums of the quotas, one exchange by ranges of id
+    before = running_totals(quota.where("quota > 0"), "id", ["quota"]).select("id", "quota", (F.col("quota_cum") - F.col("quota")).alias("first"))
+    each = before.select("id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("i"))
     return _synthesize(each.select("i", "id"), rows, nearest(rows, rows, kk), kk, label, seed)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_PAIRS
-from ..functions.ordered import at_least_quantile, position, quantile_agg, quantile_columns, running_totals
+from ..functions.ordered import at_least_quantile, bucket_count, position, quantile_agg, quantile_columns, running_totals
 from ..functions.tails import chi2_one_df, kolmogorov, student_two_sided
 
 
@@ -46,7 +46,7 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, out: str = "q") -> DataF
     t = running_totals(counts, p, ["n"])
     # among equal p values the highest rank gives the smallest p*m/rank, and the running minimum spreads it to all
     t = t.select(p, F.least(F.lit(1.0), F.col(p) * F.col("n_tot") / F.col("n_cum")).alias("_v"), F.col("n_cum").alias("_r"), F.col("n_tot").alias("_m"))
-    t = t.withColumn("_b", F.floor(F.col("_r") * 64 / F.col("_m")))
+    t = t.withColumn("_b", F.floor(F.col("_r") * bucket_count(df) / F.col("_m")))
     later = W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
     tail = t.groupBy("_b").agg(F.min("_v").alias("_bm")).select("_b", F.min("_bm").over(later).alias("_tail"))
     own = W.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0)

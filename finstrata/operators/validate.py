@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, functions as F
@@ -198,21 +198,23 @@ def untouched(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataF
     return a.select((F.col("fingerprint") == b.select("fingerprint").scalar()).cast("int").alias("same"), "n_rows")
 
 
-def evaluate_techniques(df: DataFrame, keys: Sequence[str], k: int = 3, threshold: float = 0.5) -> DataFrame:
-    """Out-of-fold metrics of imbalance techniques on (id, x, y): samplers see only the training folds. A technique that fails
-    is reported with its error instead of ending the run."""
+def evaluate_techniques(df: DataFrame, keys: Sequence[str], k: int = 3, threshold: float = 0.5, go_on: bool = False, **params) -> DataFrame:
+    """Out-of-fold metrics of imbalance techniques on (id, x, y): samplers see only the training folds. With ``go_on`` a technique that
+    fails is reported with its error instead of ending the run."""
     from .models import TECHNIQUES, vectorized
 
     t = materialize(vectorized(stratified_folds(df, k)))
     out = None
     for key in keys:
         try:
-            oof = out_of_fold(t, lambda tr, key=key: fit_technique(key, tr), ["id"])
+            oof = out_of_fold(t, lambda tr, key=key: fit_technique(key, tr, **params), ["id"])
             m = group_metrics(oof.withColumn("technique", F.lit(key)), ["technique"]).join(
                 with_metrics(confusion(oof.withColumn("technique", F.lit(key)), threshold, ["technique"]), ["precision", "recall", "f1", "fpr", "balanced_accuracy"], mcc_mode="truth"), "technique")
             one = m.withColumn("family", F.lit(TECHNIQUES[key][0])).withColumn("status", F.lit("ok"))
         except Exception as e:  # noqa: BLE001
-            one = df.sparkSession.createDataFrame([(key, TECHNIQUES[key][0], f"error: {type(e).__name__}")], "technique string, family string, status string")
+            if not go_on:
+                raise
+            one = df.sparkSession.createDataFrame([(key, TECHNIQUES.get(key, ("unknown",))[0], f"error: {type(e).__name__}: {str(e)[:200]}")], "technique string, family string, status string")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
@@ -228,26 +230,36 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
 }
 
 
-def sample_params(space: dict[str, tuple], rng: random.Random) -> dict:
-    out = {}
-    for name, spec in space.items():
-        kind = spec[0]
-        if kind == "loguniform":
-            out[name] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
-        elif kind == "float":
-            out[name] = rng.uniform(spec[1], spec[2])
-        elif kind == "int":
-            out[name] = rng.randint(spec[1], spec[2])
-        elif kind == "choice":
-            out[name] = rng.choice(list(spec[1]))
-        else:
-            raise ValueError(f"unknown kind {kind!r}")
-    return out
+#: How a value is drawn from each kind of range.
+DRAWS: dict[str, Callable[..., object]] = {
+    "loguniform": lambda rng, low, high: low * (high / low) ** rng.random(),
+    "float": lambda rng, low, high: low + (high - low) * rng.random(),
+    "int": lambda rng, low, high: rng.randrange(low, high + 1),
+    "choice": lambda rng, options: options[rng.randrange(len(options))],
+}
+
+
+@dataclass(frozen=True)
+class Trial:
+    """One configuration. Trials are the same if their values agree to six digits."""
+
+    params: tuple[tuple[str, object], ...]
+
+    @classmethod
+    def draw(cls, space: dict[str, tuple], rng: random.Random) -> Trial:
+        unknown = {kind for kind, *_ in space.values()} - DRAWS.keys()
+        if unknown:
+            raise ValueError(f"no such range: {sorted(unknown)}; known: {sorted(DRAWS)}")
+        return cls(tuple((name, DRAWS[kind](rng, *limits)) for name, (kind, *limits) in space.items()))
 
+    @classmethod
+    def of(cls, params: dict) -> Trial:
+        return cls(tuple(params.items()))
 
-def trial_key(params: dict) -> str:
-    """Equal for configurations that agree to six digits."""
-    return json.dumps({k: round(v, 6) if isinstance(v, float) else v for k, v in sorted(params.items())}, sort_keys=True)
+    @property
+    def name(self) -> str:
+        shown = {k: float(f"{v:.6f}") if isinstance(v, float) else v for k, v in self.params}
+        return json.dumps(shown, sort_keys=True)
 
 
 def cross_group_ap(df: DataFrame, name: str, params: dict, cols: Sequence[str], fold: str = "fold", **options) -> dict:
@@ -263,8 +275,8 @@ def random_search(df: DataFrame, name: str, cols: Sequence[str], n_trials: int =
     """Ledger of distinct random configurations, best first. Trials run as concurrent Spark jobs over one folded table."""
     rng, trials = random.Random(seed), {}
     for _ in range(n_trials):
-        p = sample_params(space or SEARCH_SPACES[name], rng)
-        trials.setdefault(trial_key(p), p)
+        trial = Trial.draw(space or SEARCH_SPACES[name], rng)
+        trials.setdefault(trial.name, dict(trial.params))
     t = materialize(df.join(group_folds(df, group, k), group))
     run = lambda item: (name, item[0], *cross_group_ap(t, name, {**(base or {}), **item[1]}, cols).values())
     with ThreadPoolExecutor(parallel) as pool:
@@ -279,7 +291,7 @@ def grid_search(df: DataFrame, name: str, cols: Sequence[str], grid: dict[str, S
     for key, values in grid.items():
         configs = [{**c, key: v} for c in configs for v in values]
     t = materialize(df.join(group_folds(df, group, k), group))
-    named = [("default", {})] + [(trial_key(c), c) for c in configs]
+    named = [("default", {})] + [(Trial.of(c).name, c) for c in configs]
     run = lambda item: (name, item[0], *cross_group_ap(t, name, {**(base or {}), **item[1]}, cols).values())
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(run, named))

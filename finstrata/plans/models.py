@@ -25,7 +25,7 @@ CLIP = ["current_ratio_latest", "net_margin_latest", "receivables_to_sales_lates
 def table_of_samples(spark, sf):
     """(id, entity, split, dates, y, 47 features) of every sample."""
     t = sample_features(spark, sf, ["available_on"])
-    return t.withColumn("y", F.col("is_distressed").cast("int")).withColumn("id", F.col("entity") * 1000 + F.col("n_history"))
+    return t.withColumn("y", F.col("is_distressed").cast("int")).withColumn("id", F.col("entity") * 1_000_000 + F.col("n_history"))
 
 
 def _bounds(c, kind):
@@ -227,16 +227,17 @@ def _vector_model(name, fit):
 
 _vector_model("l20_focal_boosting", lambda t: L.fit_focal_boosting(t, rounds=5, depth=3))
 _vector_model("l21_rusboost", lambda t: L.fit_rusboost(t, rounds=4))
-_vector_model("l22_rusboost_technique", lambda t: L.fit_technique("rusboost", t))
+_vector_model("l22_rusboost_technique", lambda t: L.fit_technique("rusboost", t, rounds=5))
 _vector_model("l23_balanced_forest", lambda t: L.fit_balanced_bags(t, "balanced_forest", 2, numTrees=5))
 _vector_model("l24_easy_ensemble", lambda t: L.fit_balanced_bags(t, "easy_ensemble", 2, maxIter=4))
-_vector_model("l25_strategy_cost_sensitive", lambda t: L.fit_technique(L.STRATEGIES["cost_sensitive"], t))
-_vector_model("l26_technique_smote", lambda t: L.fit_technique("smote", t))
-_vector_model("l27_technique_random_under", lambda t: L.fit_technique("random_under", t))
-_vector_model("l28_balanced_bagging", lambda t: L.fit_technique("balanced_bagging", t))
-_vector_model("l29_panel_technique_smote_enn", lambda t: L.fit_technique("smote_enn", t))
+_vector_model("l25_strategy_cost_sensitive", lambda t: L.fit_technique(L.STRATEGIES["cost_sensitive"], t, maxIter=20))
+_vector_model("l25_strategy_calibrated", lambda t: L.fit_technique(L.STRATEGIES["calibrated"], t, maxIter=20))
+_vector_model("l26_technique_smote", lambda t: L.fit_technique("smote", t, maxIter=20))
+_vector_model("l27_technique_random_under", lambda t: L.fit_technique("random_under", t, maxIter=20))
+_vector_model("l28_balanced_bagging", lambda t: L.fit_technique("balanced_bagging", t, bags=5))
+_vector_model("l29_panel_technique_smote_enn", lambda t: L.fit_technique("smote_enn", t, maxIter=20))
 _vector_model("m9_sampler_inside_model", lambda t: L.SampledEstimator(L.make_sampler("random_under", ratio=0.5), L._gbt(maxIter=5)).fit(t))
-_vector_model("m13_smote_with_weights", lambda t: L.fit_technique("smote_weights", t))
+_vector_model("m13_smote_with_weights", lambda t: L.fit_technique("smote_weights", t, maxIter=20))
 
 
 @query("e30_aligned_vector", "SELECT entity, period_end, round(gross_margin_latest, 6) AS v0, round(revenue_cv, 6) AS v1, CAST(47 AS BIGINT) AS n FROM f_feat WHERE gross_margin_latest IS NOT NULL AND revenue_cv IS NOT NULL", ["f_feat"])

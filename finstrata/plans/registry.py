@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import ship
 from .views import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] | list[str]
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf: canonical(fn(spark, sf), digits)
+        QUERIES[name] = lambda spark, sf: (ship(spark), canonical(fn(spark, sf), digits))[1]
         if sql is not None:
             ORACLES[name] = oracle(sql, *needs)
         return fn

@@ -83,7 +83,7 @@ SQL["v_want"] = (["v_share", "v_size"], f"SELECT id, CASE WHEN (SELECT sum(s) FR
 SQL["v_quota"] = (["v_want", "v_size"], f"SELECT id, CAST(floor(want) + CASE WHEN id = (SELECT id FROM v_want ORDER BY round(want - floor(want), 9) DESC, id LIMIT 1) THEN {_new('5e-1')} - (SELECT sum(floor(want)) FROM v_want) ELSE 0 END AS BIGINT) AS quota FROM v_want")
 
 
-@query("m5_adasyn", _synth(f"SELECT id * ({_new('5e-1')} + 1) + c AS i, id FROM (SELECT id, unnest(range(1, quota + 1)) AS c FROM v_quota)"), ["v_nn_min5", "v_quota"])
+@query("m5_adasyn", _synth(f"SELECT CAST(first + c AS BIGINT) AS i, id FROM (SELECT id, sum(quota) OVER (ORDER BY id) - quota AS first, unnest(range(0, quota)) AS c FROM v_quota WHERE quota > 0)"), ["v_nn_min5", "v_quota"])
 def m5(spark, sf):
     return _show(R.adasyn_rows(vectors(spark, sf), 0.5))
 

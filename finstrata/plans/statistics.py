@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import FEATURE_GROUPS, FEATURES
+from ..functions.draws import poisson_bounds
 from ..operators import features as X
 from ..operators import inference as N
 from ..operators import samples as S
@@ -298,12 +299,7 @@ def n34(spark, sf):
 
 
 B = 60
-_cdf, _t, _parts = 0.0, 0.36787944117144233, []
-for _k in range(9):
-    _cdf += _t
-    _parts.append(f"CAST(u >= {round(_cdf, 12)!r} AS INT)".replace(repr(round(_cdf, 12)), f"{round(_cdf * 1e12):d}e-12"))
-    _t /= _k + 1
-POIS = " + ".join(_parts)
+POIS = " + ".join(f"CAST(u >= {round(b * 1e12):d}e-12 AS INT)" for b in poisson_bounds())
 
 
 def _draws(key, seed):

@@ -101,7 +101,7 @@ def n11(spark, sf):
 
 @query("n12_strategy_cv")
 def n12(spark, sf):
-    return V.evaluate_techniques(vectors(spark, sf), ["baseline", "class_weight"], k=2)
+    return V.evaluate_techniques(vectors(spark, sf), ["baseline", "class_weight"], k=2, maxIter=20)
 
 
 @query("n13_untouched_check", "SELECT CAST(1 AS BIGINT) AS same, count(*) AS n_rows FROM f_split WHERE split = 'validation'", ["f_split"])
@@ -121,7 +121,7 @@ def n14(spark, sf):
 @query("n15_holdout_method")
 def n15(spark, sf):
     v = L.materialize(L.vectorized(V.stratified_holdout(vectors(spark, sf))))
-    m = L.fit_technique("random_under", v.where("part = 'train'").drop("part"))
+    m = L.fit_technique("random_under", v.where("part = 'train'").drop("part"), maxIter=20)
     s = L.score(m, v.where("part = 'test'"), ["y"])
     return M.evaluate(s, operating=0.5)
 
@@ -129,20 +129,20 @@ def n15(spark, sf):
 @query("n16_method_cv")
 def n16(spark, sf):
     v = L.materialize(L.vectorized(V.stratified_folds(vectors(spark, sf), 2)))
-    oof = V.out_of_fold(v, lambda t: L.fit_technique("random_over", t), ["id"])
+    oof = V.out_of_fold(v, lambda t: L.fit_technique("random_over", t, maxIter=20), ["id"])
     from ..sources.writers import result_rows
     return result_rows(M.rank_metrics(oof, ["fold"]).withColumn("method", F.lit("random_over")), ["method"], ["auroc", "average_precision"])
 
 
 @query("n17_technique_evaluation")
 def n17(spark, sf):
-    return V.evaluate_techniques(vectors(spark, sf), ["random_under", "smote"], k=2)
+    return V.evaluate_techniques(vectors(spark, sf), ["random_under", "smote"], k=2, maxIter=20)
 
 
 @query("n18_tuned_thresholds_on_oof")
 def n18(spark, sf):
     v = L.materialize(L.vectorized(V.stratified_folds(vectors(spark, sf), 2)))
-    oof = L.materialize(V.out_of_fold(v, lambda t: L.fit_technique("class_weight", t), ["id"]))
+    oof = L.materialize(V.out_of_fold(v, lambda t: L.fit_technique("class_weight", t, maxIter=20), ["id"]))
     return M.threshold_modes(M.with_edges(M.ladder(oof), [0.5, 1.0]), M.counts_at(oof, [0.5]))
 
 
@@ -151,7 +151,7 @@ def n19(spark, sf):
     t = table_of_samples(spark, sf)
     filled = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEW])
     t = L.materialize(t.join(V.group_folds(t, "entity", 2), "entity").select("id", "fold", "y", filled.alias("x")))
-    oof = V.out_of_fold(L.vectorized(t), lambda tr: L.fit_technique("random_under", tr.drop("fold")), ["id"])
+    oof = V.out_of_fold(L.vectorized(t), lambda tr: L.fit_technique("random_under", tr.drop("fold"), maxIter=20), ["id"])
     return V.pooled_and_fold(oof)
 
 
@@ -243,7 +243,7 @@ def n23(spark, sf):
     """Draws from the search space next to the size of the table they would be tried on."""
     import random
     rng = random.Random(42)
-    rows = [(i, V.trial_key(V.sample_params(V.SEARCH_SPACES["random_forest"], rng))) for i in range(10)]
+    rows = [(i, V.Trial.draw(V.SEARCH_SPACES["random_forest"], rng).name) for i in range(10)]
     n = samples2(spark, sf).where("split = 'train'").groupBy("split").agg(F.count(F.lit(1)).alias("n_train"), F.avg("is_distressed").alias("rate"))
     return n.withColumn("t", F.explode(F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(k).alias("params")) for i, k in rows]))).select("t.trial", "t.params", "n_train", "rate")
 

@@ -201,7 +201,7 @@ def oracle(body: str, *needs: str) -> str:
 def sql_mix(key: str, seed: int = 0) -> str:
     p = 2147483647
     a = f"((CAST(({key}) AS BIGINT) % {p}) * 48271 + {seed * 7919 + 12345}) % {p}"
-    b = f"(({a}) * (({a}) + 1) + 1013904223) % {p}"
+    b = f"(({a}) * (({a}) + 1) + 1013904223 + (CAST(({key}) AS BIGINT) // {p}) % {p}) % {p}"
     c = f"(({b}) * (({b}) + 3) + 374761393) % {p}"
     return f"((({c}) * 16807) % {p})"
 
@@ -211,4 +211,4 @@ def sql_uniform(key: str, seed: int = 0) -> str:
 
 
 def sql_pair(a: str, b: str) -> str:
-    return f"(({sql_mix(a, 17)} * 40503 + ({b})) % 2147483647)"
+    return f"({sql_mix(a, 17)} * 40503 + ({b}))"
