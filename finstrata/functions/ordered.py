@@ -36,12 +36,12 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def _bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int, few: bool = False) -> DataFrame:
     probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, F.lit(max(1000, 4 * buckets))))
     if by:
         bounds = df.groupBy(*by).agg(cuts.alias("_cuts"))
-        df = df.join(bounds, list(by))
+        df = df.join(F.broadcast(bounds) if few else bounds, list(by))
         out = df.withColumn("_b", position(F.col(order), F.col("_cuts"))).drop("_cuts")
     else:
         df = df.withColumn("_cuts", scalar(df.agg(cuts.alias("_cuts"))))
@@ -50,14 +50,16 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int) -> Dat
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int | None = None, few: bool = False
 ) -> DataFrame:
     """Add ``<s>_cum`` (inclusive, ascending in ``order``) and ``<s>_tot`` for every column in ``sums``.
 
     ``df`` holds one row per (``by``, ``order``) value, so a value that covers a third of the input is one row here.
+    ``few`` says that the groups are the columns of a table: bounds and bucket totals, columns x buckets rows, are then broadcast, and the
+    values move once, to their buckets. Else both are joined as they come, since the number of groups may grow with the data.
     """
     by, n = list(by), buckets or bucket_count(df)
-    spread = _bucketed(df, by, order, n).repartition(*[F.col(c) for c in [*by, "_b"]])
+    spread = _bucketed(df, by, order, n, few).repartition(*[F.col(c) for c in [*by, "_b"]])
     # The bucket table has at most n rows per group; min(order) keeps its scan identical to the main
     # branch, so that both read the same exchange.
     per_bucket = spread.groupBy(*by, "_b").agg(
@@ -71,7 +73,7 @@ def running_totals(
         *[F.sum(f"_{s}").over(whole).alias(f"{s}_tot") for s in sums],
     )
     local = W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = spread.select("*", *[F.sum(s).over(local).alias(f"_{s}_loc") for s in sums]).join(offsets, [*by, "_b"])
+    out = spread.select("*", *[F.sum(s).over(local).alias(f"_{s}_loc") for s in sums]).join(F.broadcast(offsets) if few else offsets, [*by, "_b"])
     for s in sums:
         out = out.withColumn(f"{s}_cum", F.col(f"_{s}_loc") + F.col(f"_{s}_off")).drop(f"_{s}_loc", f"_{s}_off")
     return out.drop("_b")
@@ -131,10 +133,10 @@ def at_least_quantile(prob: float, n: str = "n") -> Column:
 
 
 def quantile_columns(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), few: bool = False
 ) -> DataFrame:
     """Exact quantiles, one column per named probability."""
-    totals = running_totals(value_counts(df, value, by), value, ["n"], by)
+    totals = running_totals(value_counts(df, value, by), value, ["n"], by, few=few)
     return totals.groupBy(*by).agg(*[quantile_agg(p, value).alias(name) for name, p in probs.items()])
 
 

@@ -2,20 +2,24 @@
 
 Bootstrap weights are Poisson(1) counts computed from (draw, key) hashes: every task knows the weight of its own rows, so
 no draw list is built or joined, a lost task recomputes the same weights, and a cluster bootstrap is the same plan with the
-cluster as key. Rows fold to (draw, score) sums before anything is shuffled.
+cluster as key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import N_BOOT, SEED
-from ..functions.draws import poisson_one, with_pair_uniform
+from ..functions.draws import PRIME, poisson_bounds
 from ..functions.ordered import running_totals
 from ..functions.tails import normal_two_sided
-from .metrics import ap_agg, auroc_agg, ladder, rank_metrics, safe
+from ..session import ship
+from ..sources.landing import land
+from .metrics import rank_metrics, safe
 
 
 def placements(df: DataFrame, by: Sequence[str] = ("system",), p: str = "p", y: str = "y") -> DataFrame:
@@ -65,26 +69,167 @@ def delong(wide: DataFrame, systems: Sequence[str], y: str = "y") -> DataFrame:
 
 
 # ---- bootstraps ---------------------------------------------------------------------------------------------
+#
+# Rows are dealt once by ranges of the score; what is exchanged does not depend on the number of draws. Tasks compute the weights of all draws
+# for a few hundred rows at a time, as a matrix, and keep sums per draw. A first pass gives the totals of each range (ranges x draws numbers, which
+# are broadcast), a second one adds up AUROC, average precision and the confusion counts, since it then knows what lies below its range.
 
-def draw_weights(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """Each row once per draw with its count. Zero counts stay: they add nothing to the sums they meet at once, and a
-    filter on the count would be pushed down and evaluate the draw twice."""
-    t = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    t = with_pair_uniform(t, "u", F.col("draw"), F.col(key), seed)
-    return t.withColumn("w", poisson_one(F.col("u"))).drop("u")
+BLOCK = 256  # rows whose weights are held at a time
+FOLD = 256  # equal scores in one Arrow batch from which on they are folded before the exchange
+SUMS = ["auc", "ap", "tp", "fp", "fn", "tn"]
+
+
+def _mix(key: np.ndarray, seed: int) -> np.ndarray:
+    """``draws.with_mix`` for arrays."""
+    low, high = key % PRIME, key // PRIME % PRIME
+    x = (low * 48271 + (seed * 7919 + 12345)) % PRIME
+    x = (x * (x + 1) + 1013904223 + high) % PRIME
+    x = (x * (x + 3) + 374761393) % PRIME
+    return x * 16807 % PRIME
+
+
+def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Counts of each key in each draw (keys x draws), the same as ``poisson_one`` of ``with_pair_uniform(draw, key)``."""
+    pair = _mix(np.arange(n_boot, dtype=np.int64), 17)[None, :] * 40503 + keys.astype(np.int64)[:, None]
+    return np.searchsorted(np.array(poisson_bounds()), _mix(pair, seed) / float(PRIME), side="right").astype(np.int32)
+
+
+def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """(g, p, k, y, w1, w0): rows as they are, but scores that fill a batch as one row with its weights per draw, so that a score which a third
+    of all rows have does not send them to one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.to_pandas()
+            size = t.groupby(["g", "p"])["y"].transform("size")
+            hot = t[size >= FOLD]
+            sums = []
+            for (g, p), part in hot.groupby(["g", "p"]):
+                w1, w0 = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+                for at in range(0, len(part), BLOCK):
+                    some = part.iloc[at : at + BLOCK]
+                    w, y = poisson_weights(some["k"].to_numpy(), n_boot, seed), some["y"].to_numpy()
+                    w1 += w[y == 1].sum(axis=0)
+                    w0 += w[y != 1].sum(axis=0)
+                sums.append((g, p, w1, w0))
+            plain = t[size < FOLD]
+            none = [None] * len(plain)
+            columns = [
+                pa.array([*plain["g"], *[x[0] for x in sums]], pa.string()), pa.array([*plain["p"], *[x[1] for x in sums]], pa.float64()),
+                pa.array([*plain["k"], *[0] * len(sums)], pa.int64()), pa.array([*plain["y"], *[0] * len(sums)], pa.int32()),
+                pa.array([*none, *[x[2] for x in sums]], pa.list_(pa.int64())), pa.array([*none, *[x[3] for x in sums]], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(columns, names=["g", "p", "k", "y", "w1", "w0"])
+
+    return rows.mapInArrow(run, "g string, p double, k bigint, y int, w1 array<bigint>, w0 array<bigint>")
+
+
+def _scores(batches: Iterator[pa.RecordBatch], n_boot: int, seed: int) -> Iterator[tuple[str, float, np.ndarray, np.ndarray]]:
+    """(group, score, positives per draw, negatives per draw) of sorted rows, one by one in ascending order."""
+    name, score, w1, w0 = None, None, None, None
+    for batch in batches:
+        g, p, y = batch["g"].to_pylist(), batch["p"].to_numpy(), batch["y"].to_numpy()
+        folded = batch["w1"].is_valid().to_numpy(zero_copy_only=False)
+        for at in range(0, batch.num_rows, BLOCK):
+            to = min(at + BLOCK, batch.num_rows)
+            weights = poisson_weights(batch["k"].slice(at, to - at).to_numpy(), n_boot, seed)
+            for i in range(at, to):
+                if g[i] != name or p[i] != score:
+                    if name is not None:
+                        yield name, score, w1, w0
+                    name, score = g[i], p[i]
+                    w1, w0 = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+                if folded[i]:
+                    w1 += batch["w1"][i].values.to_numpy()
+                    w0 += batch["w0"][i].values.to_numpy()
+                elif y[i] == 1:
+                    w1 += weights[i - at]
+                else:
+                    w0 += weights[i - at]
+    if name is not None:
+        yield name, score, w1, w0
+
+
+def bootstrap_sums(df: DataFrame, key: str, group: Column, threshold: float, n_boot: int, seed: int, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(g, draw, pos, neg, auc, ap, tp, fp, fn, tn): sums over all rows with their weights. ``sizes``: positives and negatives to which each
+    draw's weights are scaled for average precision."""
+    spark = df.sparkSession
+    ship(spark)
+    rows = df.select(group.cast("string").alias("g"), F.col("p").cast("double").alias("p"), F.col(key).cast("bigint").alias("k"), F.col("y").cast("int").alias("y")).where("p is not null and y is not null")
+    ranged = land(_fold(rows, n_boot, seed).repartitionByRange("g", "p").withColumn("part", F.spark_partition_id()), "ranged-scores")
+    parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
+    dealt = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "g", "p")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[np.ndarray]] = {}
+        part = 0
+
+        def tapped() -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            for batch in batches:
+                part = batch["part"][0].as_py() if batch.num_rows else part
+                yield batch
+
+        for g, _, w1, w0 in _scores(tapped(), n_boot, seed):
+            held = found.setdefault(g, [np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)])
+            held[0] += w1
+            held[1] += w0
+        columns = [pa.array([part] * len(found), pa.int32()), pa.array(list(found), pa.string()), *[pa.array([h[i] for h in found.values()], pa.list_(pa.int64())) for i in (0, 1)]]
+        yield pa.record_batch(columns, names=["part", "g", "w1", "w0"])
+
+    below: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    whole: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for r in sorted(dealt.mapInArrow(totals, "part int, g string, w1 array<bigint>, w0 array<bigint>").collect(), key=lambda r: r["part"]):  # ranges x draws numbers
+        w1, w0 = whole.get(r["g"], (np.zeros(n_boot, np.int64),) * 2)
+        below[r["g"], r["part"]] = w1, w0
+        whole[r["g"]] = w1 + np.array(r["w1"]), w0 + np.array(r["w0"])
+    known = spark.sparkContext.broadcast((below, whole, sizes))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, whole, sizes = known.value
+        part = 0
+        sums: dict[str, np.ndarray] = {}
+        under: dict[str, list[np.ndarray]] = {}
+
+        def tapped() -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            for batch in batches:
+                part = batch["part"][0].as_py() if batch.num_rows else part
+                yield batch
+
+        for g, p, w1, w0 in _scores(tapped(), n_boot, seed):
+            if g not in sums:
+                sums[g], under[g] = np.zeros((len(SUMS), n_boot)), [x.copy() for x in below[g, part]]
+            low1, low0 = under[g]
+            pos, neg = whole[g]
+            tp, fp = (pos - low1).astype(float), (neg - low0).astype(float)
+            if sizes:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    tp, fp = tp * (sizes[g][0] / pos), fp * (sizes[g][1] / neg)
+            out = sums[g]
+            out[0] += w1 * (low0 + w0 / 2.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[1] += np.where(w1 > 0, w1 / pos * (tp / (tp + fp)), 0.0)
+            out[2 if p >= threshold else 4] += w1
+            out[3 if p >= threshold else 5] += w0
+            low1 += w1
+            low0 += w0
+        columns = [pa.array(list(sums), pa.string()), *[pa.array([x[i] for x in sums.values()], pa.list_(pa.float64())) for i in range(len(SUMS))]]
+        yield pa.record_batch(columns, names=["g", *SUMS])
+
+    measured = dealt.mapInArrow(measure, "g string, " + ", ".join(f"{c} array<double>" for c in SUMS))
+    per = measured.select("g", F.posexplode(F.arrays_zip(*SUMS)).alias("draw", "s")).groupBy("g", "draw").agg(*[F.sum(f"s.{c}").alias(c) for c in SUMS])
+    return per.withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("fp") + F.col("tn")})
 
 
 def draw_metrics(df: DataFrame, key: str, by: Sequence[str] = (), threshold: float = 0.5, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
     """(by, draw, auroc, average_precision, f1, macro_f1); draws with one class are skipped."""
-    g = [*by, "draw"]
-    x = draw_weights(df.select(key, *by, "y", "p"), key, n_boot, seed)
-    lad = ladder(x, g, w="w")
-    at = lambda hit, c: F.sum(F.when(hit, F.col(c)).otherwise(0))
-    hit = F.col("p") >= threshold
-    m = lad.groupBy(*g).agg(auroc_agg().alias("auroc"), ap_agg().alias("average_precision"), at(hit, "n_pos").alias("tp"),
-                            at(hit, "n_neg").alias("fp"), at(~hit, "n_pos").alias("fn"), at(~hit, "n_neg").alias("tn"))
+    types = {b: df.schema[b].dataType for b in by}
+    per = bootstrap_sums(df, key, F.to_json(F.struct(*by)) if by else F.lit("{}"), threshold, n_boot, seed).where("pos > 0 and neg > 0")
+    for b, kind in types.items():
+        per = per.withColumn(b, F.get_json_object("g", f"$.{b}").cast(kind))
     f1, f0 = safe(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), safe(2 * F.col("tn"), 2 * F.col("tn") + F.col("fp") + F.col("fn"))
-    return m.where("auroc is not null").select(*g, "auroc", "average_precision", f1.alias("f1"), ((f1 + f0) / 2).alias("macro_f1"))
+    return per.select(*by, "draw", (F.col("auc") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.col("ap").alias("average_precision"), f1.alias("f1"), ((f1 + f0) / 2).alias("macro_f1"))
 
 
 def interval(draws: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -109,14 +254,10 @@ def paired_bootstrap(wide: DataFrame, a: str, b: str, key: str = "row_id", n_boo
     Stratification: in every draw the weights of each class are scaled back to the size of the class.
     """
     arr = F.array(F.struct(F.lit("a").alias("s"), F.col(a).cast("double").alias("p")), F.struct(F.lit("b").alias("s"), F.col(b).cast("double").alias("p")))
-    x = draw_weights(wide.select(key, "y", a, b), key, n_boot, seed)
-    x = x.select("draw", "y", "w", F.explode(arr).alias("q")).select("draw", "y", "w", "q.*")
-    lad = ladder(x, ["draw", "s"], w="w")
-    size = wide.agg(F.struct(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg")).alias("t")).scalar()
-    lad = lad.withColumn("t", size)
-    fp_scale, tp_scale = F.col("t.neg") / F.col("neg").cast("double"), F.col("t.pos") / F.col("pos").cast("double")
-    ap = F.sum(F.col("n_pos") / F.col("pos") * F.try_divide(F.col("tp") * tp_scale, F.col("tp") * tp_scale + F.col("fp") * fp_scale))
-    m = lad.where("pos > 0 and neg > 0").groupBy("draw", "s").agg(auroc_agg().alias("auroc"), ap.alias("average_precision"))
+    long = wide.select(key, "y", F.explode(arr).alias("q")).select(key, "y", "q.*")
+    size = wide.agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg")).first()
+    per = bootstrap_sums(long, key, F.col("s"), 0.5, n_boot, seed, {s: (size["pos"] or 0, size["neg"] or 0) for s in ("a", "b")}).where("pos > 0 and neg > 0")
+    m = per.select("draw", F.col("g").alias("s"), (F.col("auc") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.col("ap").alias("average_precision"))
     pick = lambda c, s: F.max(F.when(F.col("s") == s, F.col(c)))
     d = m.groupBy("draw").agg(*[(pick(c, "a") - pick(c, "b")).alias(c) for c in ("auroc", "average_precision")])
     long = d.unpivot([F.col("draw")], ["auroc", "average_precision"], "metric", "delta")

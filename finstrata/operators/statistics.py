@@ -1,19 +1,21 @@
 """Descriptive statistics, association, correlation, drift, missingness.
 
 Quantiles, ranks, AUC, KS and PSI all start from one row per distinct (feature, value), so that no feature's values are
-gathered in one task however many rows there are.
+gathered in one task however many rows there are. Tables with one row per feature are bounded by the columns of the input: they are broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_PAIRS
 from ..functions.ordered import at_least_quantile, bucket_count, position, quantile_agg, quantile_columns, running_totals
 from ..functions.tails import chi2_one_df, kolmogorov, student_two_sided
+from ..session import ship
 
 
 def normalized_entropy(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -68,7 +70,7 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
         F.sum((F.col(value) == 0).cast("int")).alias("n_zero"), F.sum((F.col(value) < 0).cast("int")).alias("n_neg"))
     counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     # distinct count, top share and all quantiles in one pass over the ordered distinct values
-    q = running_totals(counts, value, ["n"], [key]).groupBy(key).agg(
+    q = running_totals(counts, value, ["n"], [key], few=True).groupBy(key).agg(
         F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"),
         *[quantile_agg(p, value).alias(a) for a, p in {"p1": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}.items()])
     # outliers need the quartiles, so they are a second look at the distinct values, not at the rows
@@ -76,7 +78,7 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
     iqr = F.col("q3") - F.col("q1")
     fence = stats.select(key, "mean", "std", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col(value)
-    out = counts.join(fence, key).groupBy(key).agg(
+    out = counts.join(F.broadcast(fence), key).groupBy(key).agg(
         F.sum(F.when((v < F.col("lo")) | (v > F.col("hi")), F.col("n")).otherwise(0)).alias("iqr_outlier_n"),
         F.sum(F.when((F.col("std") > 0) & (F.abs(v - F.col("mean")) / F.col("std") > 3.0), F.col("n")).otherwise(0)).alias("z3_n"))
     k = F.col("m").cast("double")
@@ -110,7 +112,7 @@ def target_association(long: DataFrame, key: str = "feature", value: str = "valu
     """Per feature: AUC, rank-biserial effect, direction, point-biserial r with p and q, lift of the top decile."""
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
-    t = running_totals(counts, value, ["n", "n_pos"], [key])
+    t = running_totals(counts, value, ["n", "n_pos"], [key], few=True)
     neg = F.col("n") - F.col("n_pos")
     below = (F.col("n_cum") - F.col("n_pos_cum")) - neg
     top = at_least_quantile(0.9)
@@ -135,7 +137,7 @@ def mutual_information(long: DataFrame, bins: int = 20, key: str = "feature", va
     """Plug-in mutual information (nats) with the label over quantile bins; a binned estimator, not a kNN one."""
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
-    t = running_totals(counts, value, ["n"], [key])
+    t = running_totals(counts, value, ["n"], [key], few=True)
     b = F.least(F.lit(bins - 1), F.floor((F.col("n_cum") - F.col("n")) * bins / F.col("n_tot")))
     cells = t.groupBy(key, b.alias("b")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("p"))
     tot = cells.groupBy(key).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
@@ -160,16 +162,44 @@ def _named(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
     return pairs.withColumn("a", F.get(lit, F.col("i"))).withColumn("b", F.get(lit, F.col("j"))).drop("i", "j")
 
 
-def _correlate(p: DataFrame, min_pairs: int) -> DataFrame:
-    g = p.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"))
-    ok = (F.col("n") >= min_pairs) & (F.col("sa") > 0) & (F.col("sb") > 0)
-    return g.select("i", "j", "n", F.when(ok, F.col("r")).alias("r"))
+def _correlate(arrays: DataFrame, k: int, min_pairs: int, arr: str = "v") -> DataFrame:
+    """(i, j, n, r) of every pair of columns of an array column, over rows where both are known.
+
+    Columns are centred and scaled first, from one aggregate; then each Arrow batch is two matrices, values with 0 for missing and a 0/1 mask,
+    and all sums that a correlation needs are products of them. A task returns one row per pair, whatever its rows.
+    """
+    ship(arrays.sparkSession)
+    one = lambda fn: F.array(*[fn(F.get(F.col(arr), F.lit(i))) for i in range(k)])
+    scale = arrays.agg(one(F.avg).alias("m"), one(F.stddev_pop).alias("s")).first()
+    mean = np.array([x if x is not None else 0.0 for x in scale["m"]])
+    sd = np.array([x if x else 1.0 for x in scale["s"]])
+    i, j = np.triu_indices(k, 1)
+    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(i)))
+        for batch in batches:
+            flat = batch[arr].flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, k)
+            known = ~np.isnan(x)
+            m, z = known.astype(float), np.where(known, (x - mean) / sd, 0.0)
+            by_other, squares = z.T @ m, (z * z).T @ m
+            total += np.stack([(m.T @ m)[i, j], by_other[i, j], by_other[j, i], squares[i, j], squares[j, i], (z.T @ z)[i, j]])
+        yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, total)], names=["i", "j", *names])
+
+    parts = arrays.select(arr).mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in names))
+    g = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    spread = lambda x: F.col("n") * F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}")
+    varies = lambda x: spread(x) > 1e-12 * F.col("n") * F.greatest(F.col(f"s{x}{x}"), F.lit(1e-12))  # noqa: E731  rounding is not variation
+    r = (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(spread("a") * spread("b"))
+    ok = (F.col("n") >= min_pairs) & varies("a") & varies("b")
+    return g.where("n > 0").select("i", "j", F.col("n").cast("bigint").alias("n"), F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
 
 
 def pearson(df: DataFrame, names: Sequence[str], min_pairs: int = MIN_PAIRS) -> DataFrame:
     """(a, b, n, r) over rows where both columns are known."""
     arrays = df.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
-    return _named(_correlate(_pairs(arrays, names), min_pairs), names)
+    return _named(_correlate(arrays, len(names), min_pairs), names)
 
 
 def rank_arrays(df: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -177,7 +207,7 @@ def rank_arrays(df: DataFrame, ids: Sequence[str], names: Sequence[str]) -> Data
     order = F.array(*[F.lit(n) for n in names])
     long = df.unpivot([F.col(i) for i in ids], [F.col(n).cast("double").alias(n) for n in names], "_f", "_v").where("_v is not null")
     counts = long.groupBy("_f", "_v").agg(F.count(F.lit(1)).alias("n"))
-    t = running_totals(counts, "_v", ["n"], ["_f"]).select("_f", "_v", (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias("rank"))
+    t = running_totals(counts, "_v", ["n"], ["_f"], few=True).select("_f", "_v", (F.col("n_cum") - (F.col("n") - 1) / 2.0).alias("rank"))
     ranked = long.join(t, ["_f", "_v"])
     cell = F.map_from_entries(F.collect_list(F.struct("_f", "rank")))
     per = ranked.groupBy(*ids).agg(cell.alias("m"))
@@ -185,7 +215,7 @@ def rank_arrays(df: DataFrame, ids: Sequence[str], names: Sequence[str]) -> Data
 
 
 def spearman(df: DataFrame, ids: Sequence[str], names: Sequence[str], min_pairs: int = MIN_PAIRS) -> DataFrame:
-    return _named(_correlate(_pairs(rank_arrays(df, ids, names), names), min_pairs), names)
+    return _named(_correlate(rank_arrays(df, ids, names), len(names), min_pairs), names)
 
 
 def correlation_report(p: DataFrame, s: DataFrame, limit: int = 20) -> DataFrame:
@@ -215,7 +245,7 @@ def correlation_clusters(p: DataFrame, threshold: float = 0.9) -> DataFrame:
 def median_fill(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Missing values of every column replaced by its median (0 when nothing is known)."""
     long = df.unpivot([], [F.col(n).cast("double").alias(n) for n in names], "feature", "value")
-    med = quantile_columns(long, "value", {"median": 0.5}, ["feature"])
+    med = quantile_columns(long, "value", {"median": 0.5}, ["feature"], few=True)
     m = med.agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))).alias("m")).scalar()
     rest = [c for c in df.columns if c not in names]
     return df.withColumn("_m", m).select(*rest, *[
@@ -226,7 +256,7 @@ def correlation_matrix(filled: DataFrame, names: Sequence[str]) -> np.ndarray:
     """k x k Pearson matrix of complete columns. Sums of products per pair are distributed; only k*k numbers return."""
     arrays = filled.select(F.array(*[F.col(n).cast("double") for n in names]).alias("v"))
     out = np.eye(len(names))
-    for r in _correlate(_pairs(arrays, names), 2).collect():
+    for r in _correlate(arrays, len(names), 2).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["r"] if r["r"] is not None else 0.0
     return out
 
@@ -269,11 +299,11 @@ def _drift_core(long: DataFrame, is_ref: str, key: str, value: str, bins: int) -
     unordered one counts the bins. Bins are open at both ends; PSI is NULL for too few values or edges."""
     known = long.where(F.col(value).isNotNull())
     counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("n"), F.sum(1 - F.col(is_ref)).alias("w"))
-    t = running_totals(counts, value, ["n", "w"], [key])
+    t = running_totals(counts, value, ["n", "w"], [key], few=True)
     share = lambda c: F.try_divide(F.col(f"{c}_cum").cast("double"), F.col(f"{c}_tot"))
     edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*[quantile_agg(i / bins, value) for i in range(bins + 1)]))))
     core = t.groupBy(key).agg(F.max(F.abs(share("n") - share("w"))).alias("ks"), F.max("n_tot").alias("n_r"), F.max("w_tot").alias("n_c"), edges.alias("e"))
-    cells = counts.join(core.where(F.size("e") >= 3).select(key, "n_r", "n_c", F.slice("e", 2, F.size("e") - 2).alias("_inner")), key)
+    cells = counts.join(F.broadcast(core.where(F.size("e") >= 3).select(key, "n_r", "n_c", F.slice("e", 2, F.size("e") - 2).alias("_inner"))), key)
     # bin k holds edges[k] <= v < edges[k+1]
     cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n_r").alias("n_r"), F.max("n_c").alias("n_c"))

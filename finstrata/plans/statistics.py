@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import FEATURE_GROUPS, FEATURES
+from ..constants import FEATURE_GROUPS, FEATURES, N_BOOT
 from ..functions.draws import poisson_bounds
 from ..operators import features as X
 from ..operators import inference as N
@@ -298,7 +298,7 @@ def n34(spark, sf):
     return N.placements(scores_long(spark, sf)).drop("n_pos", "n_neg")
 
 
-B = 60
+B = N_BOOT
 POIS = " + ".join(f"CAST(u >= {round(b * 1e12):d}e-12 AS INT)" for b in poisson_bounds())
 
 
