@@ -5,18 +5,20 @@ A document is its set of distinct 5-word shingles, as 64-bit hashes. Two link if
 connected components of all links; no link between different texts is lost.
 
 1. Equal sets are one class. Only classes take part from here on.
-2. Shingles are counted over the corpus. The frequent ones (``RARE`` classes or more) come last in the order of every set; the rest are ordered by hash.
+2. Shingles are counted over the corpus. The frequent ones (more than ``limit`` classes) come last in the order of every set; the rest are ordered by hash.
    The first ``n - ceil(0.8 n) + 1`` shingles of a set in that order are its prefix: two sets that link share one.
-3. Classes with the same prefix and size are one group. Groups meet where prefixes share a shingle, if their sizes allow a link. The pairs of groups
-   are expanded into pairs of members, and those are verified on the whole texts.
-4. Where more than ``RARE`` groups meet at one shingle, or a group has more members than that, pairs would grow with the square of their number.
+3. Classes with the same prefix and size are one group. Groups meet where prefixes share a shingle. A pair of groups is dropped there if the sizes, or
+   the shingles that follow in both orders, are too few for a link; a pair that links passes at the first shingle it shares. Pairs of groups are
+   expanded into pairs of members, and those are verified on the whole texts.
+4. Where more than ``limit`` groups meet at one shingle, or a group has more than ``RARE`` members, pairs would grow with the square of their number.
    Such places are dealt with last, and only if their members are not all linked by then: places that overlap form a cluster, a cluster is split
    into blocks of ``BLOCK`` documents, each pair of blocks is one task that compares all its sets through an inverted index and returns a
    spanning forest of the links. Nothing is capped.
 
 What is exchanged in bulk are arrays of numbers, one row per task and target partition, not a row per shingle. The list of frequent shingles is
-broadcast: fewer than ``MOST_FREQUENT`` of them exceed ``max(RARE, all shingles / MOST_FREQUENT)``, 4 bytes each. Any list gives exact results; it only
-decides where pairs meet.
+broadcast: fewer than ``MOST_FREQUENT`` of them exceed ``limit = max(RARE, all shingles / MOST_FREQUENT)``, 4 bytes each. Any list gives exact results; it
+only decides where pairs meet. (Over 270 million shingles the limit, and with it the pairs at a shingle, grow with the corpus; raise MOST_FREQUENT with the
+executors' memory.)
 
 Defined results: a null or blank text has no shingles, n_shingles 0, and is its own component; fewer than five words are one shingle; repeated
 rows are in one class; a component's id is its smallest doc_id (null only if all are); an empty table gives an empty result.
@@ -40,9 +42,9 @@ from finstrata.sources.landing import land
 N = 5
 PERCENT = 80
 RARE = 16
-MOST_FREQUENT = 1 << 22
+MOST_FREQUENT = 1 << 24
 BLOCK = 512
-FLUSH = 1 << 20  # numbers a task gathers before it sends them
+FLUSH = 1 << 18  # numbers a task gathers before it sends them
 MEMBER, PAIR, PLACE = 0, 1, 2
 _ODD = 0x9E3779B97F4A7C15
 
@@ -115,11 +117,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"))
 
 
-def frequent(docs: DataFrame, total: int) -> np.ndarray:
-    """Sorted upper halves of the hashes that more than max(RARE, total / MOST_FREQUENT) classes have. Halves are enough: a clash makes a shingle count as frequent."""
+def frequent(docs: DataFrame, limit: int) -> np.ndarray:
+    """Sorted upper halves of the hashes that more than ``limit`` classes have. Halves are enough: a clash makes a shingle count as frequent."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(RARE, total // MOST_FREQUENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _part_bounds(parts, 32)
@@ -161,7 +162,7 @@ def _is_frequent(values: np.ndarray, listed: np.ndarray, slots: np.ndarray) -> n
     return out
 
 
-def meet(docs: DataFrame, listed: np.ndarray) -> DataFrame:
+def meet(docs: DataFrame, listed: np.ndarray, limit: int) -> DataFrame:
     """kind, a, b: members (group, class), pairs of groups with few others at their shingle, and crowded places (shingle, group)."""
     spark = docs.sparkSession
     ship(spark)
@@ -174,19 +175,20 @@ def meet(docs: DataFrame, listed: np.ndarray) -> DataFrame:
         slots = np.zeros(1 << 22, bool)
         slots[listed >> np.uint32(10)] = True
 
-        def flush(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            order = np.argsort(a)
-            a, b, n = a[order], b[order], n[order]
-            cuts = [0, *np.searchsorted(a, bounds), len(a)]
+        def flush(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(columns[0])
+            columns = [c[order] for c in columns]
+            cuts = [0, *np.searchsorted(columns[0], bounds), len(order)]
             full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            packed = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()) for x in (a, b, n)]
-            return pa.record_batch([pa.array(full, pa.int32()), pa.array([kind] * len(full), pa.int32()), *packed], names=["part", "kind", "a", "b", "n"])
+            packed = [pa.array([c[cuts[p] : cuts[p + 1]].tobytes() for p in full], pa.binary()) for c in columns]
+            return pa.record_batch([pa.array(full, pa.int32()), pa.array([kind] * len(full), pa.int32()), *packed], names=["part", "kind", *"abni"])
 
         def both(shingles: list[np.ndarray], groups: list[int], sigs: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
             g, s, n = np.array(groups, np.uint64), np.array(sigs, np.uint64), np.array(sizes, np.uint32)
             each = list(map(len, shingles))
-            yield flush(PLACE, np.concatenate(shingles), np.repeat(g, each), np.repeat(n, each))
-            yield flush(MEMBER, g, s, n)
+            place = np.concatenate([np.minimum(np.arange(k), 65535).astype(np.uint16) for k in each])  # never above the real one: the filter only gets weaker
+            yield flush(PLACE, np.concatenate(shingles), np.repeat(g, each), np.repeat(n, each), place)
+            yield flush(MEMBER, g, s, n, np.zeros(len(g), np.uint16))
 
         held: tuple[list, ...] = ([], [], [], [])
         size = 0
@@ -205,41 +207,47 @@ def meet(docs: DataFrame, listed: np.ndarray) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[tuple]] = {MEMBER: [], PLACE: []}
         for batch in batches:
-            for kind, a, b, n in zip(*(batch[c].to_pylist() for c in ("kind", "a", "b", "n"))):
-                got[kind].append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(n, np.uint32)))
+            for kind, *packed in zip(*(batch[c].to_pylist() for c in ("kind", *"abni"))):
+                got[kind].append(tuple(np.frombuffer(x, t) for x, t in zip(packed, (np.uint64, np.uint64, np.uint32, np.uint16))))
 
         def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
         def sorted_once(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-            a, b, n = (np.concatenate(c) for c in zip(*rows))
+            a, b, n, i = (np.concatenate(c) for c in zip(*rows))
             order = np.lexsort((b, n, a))
-            a, b, n = a[order], b[order], n[order]
+            a, b, n, i = a[order], b[order], n[order], i[order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return a[new], b[new], n[new]
+            return a[new], b[new], n[new], i[new]
 
         if got[MEMBER]:
-            g, s, _ = sorted_once(got.pop(MEMBER))
+            g, s, *_ = sorted_once(got.pop(MEMBER))
             yield out(MEMBER, g, s)
         if got[PLACE]:
-            w, g, n = sorted_once(got.pop(PLACE))
+            w, g, n, i = sorted_once(got.pop(PLACE))
             first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
             crowd = np.repeat(np.diff(np.append(first, len(w))), np.diff(np.append(first, len(w))))
-            crowded = crowd > RARE
+            crowded = crowd > limit
             yield out(PLACE, w[crowded], g[crowded])
             some = (crowd > 1) & ~crowded
             w, g, n = w[some], g[some], n[some].astype(np.int64)
+            left = n - i[some]  # shingles from here on
             pairs = []
-            for step in range(1, RARE):
-                meets = np.flatnonzero((w[step:] == w[:-step]) & (100 * n[:-step] >= PERCENT * n[step:])) if step < len(w) else np.empty(0, np.int64)
-                x, y = g[meets], g[meets + step]
+            for step in range(1, min(limit, len(w))):
+                meets = np.flatnonzero((w[step:] == w[:-step]) & (100 * n[:-step] >= PERCENT * n[step:]))
+                if not len(meets) and not (w[step:] == w[:-step]).any():
+                    break  # no place has more than ``step`` groups
+                # sets that link share at least PERCENT / (100 + PERCENT) of both sizes together
+                far = meets + step
+                enough = (100 + PERCENT) * np.minimum(left[meets], left[far]) >= PERCENT * (n[meets] + n[far])
+                x, y = g[meets[enough]], g[far[enough]]
                 pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
             if pairs:
                 once = np.unique(np.concatenate(pairs), axis=0)
                 yield out(PAIR, np.ascontiguousarray(once[:, 0]), np.ascontiguousarray(once[:, 1]))
 
-    sent_out = _texts(docs).mapInArrow(send, "part int, kind int, a binary, b binary, n binary")
+    sent_out = _texts(docs).mapInArrow(send, "part int, kind int, a binary, b binary, n binary, i binary")
     return sent_out.repartitionById(parts, F.col("part")).mapInArrow(join, "kind int, a bigint, b bigint")
 
 
@@ -346,7 +354,8 @@ def find_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     """Links (a, b) of classes that join everything that links."""
     spark = docs.sparkSession
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    met = land(meet(docs, frequent(docs, total)), "met")
+    limit = max(RARE, total // MOST_FREQUENT)
+    met = land(meet(docs, frequent(docs, limit), limit), "met")
     where = described.where("n_shingles > 0").groupBy("sig").agg(F.min(F.struct("_did", "_tid")).alias("row")).select("sig", "row.*")
     of_kind = lambda kind, a, b: met.where(F.col("kind") == kind).select(F.col("a").alias(a), F.col("b").alias(b))
     members = of_kind(MEMBER, "g", "sig")
