@@ -111,13 +111,14 @@ class Encoder:
         """The ids of each text, in order; a null is empty."""
         batch: list[str] = []
         size = 0
-        for text in column.to_pylist():
-            text = text or ""
-            if size and size + len(text) > CHARS:
-                yield from self._encode_some(batch)
-                batch, size = [], 0
-            batch.append(text)
-            size += len(text)
+        for at in range(0, len(column), 64):
+            for text in column.slice(at, 64).to_pylist():
+                text = text or ""
+                if size and size + len(text) > CHARS:
+                    yield from self._encode_some(batch)
+                    batch, size = [], 0
+                batch.append(text)
+                size += len(text)
         yield from self._encode_some(batch)
 
     def _whole(self, text: str) -> np.ndarray:

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21  # bytes hashed at a time
-CHUNK = 1 << 22  # bytes of text handled at a time, or one text
+SEGMENT = 1 << 19  # bytes hashed at a time
+CHUNK = 1 << 20  # bytes of text handled at a time, or one text
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -102,16 +102,18 @@ def hash_words(data: bytes, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray,
 
 def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first row, texts as bytes) of so many rows that ``most`` bytes are not passed, one at least; a null is empty."""
-    values = column.cast(pa.large_binary()).to_pylist()
+    held: list[bytes] = []
     first, size = 0, 0
-    for i, v in enumerate(values):
-        n = len(v) if v is not None else 0
-        if size and size + n > most:
-            yield first, [x or b"" for x in values[first:i]]
-            first, size = i, 0
-        size += n + 1
-    if first < len(values):
-        yield first, [x or b"" for x in values[first:]]
+    for at in range(0, len(column), 64):
+        for value in column.slice(at, 64).cast(pa.large_binary()).to_pylist():
+            value = value or b""
+            if size and size + len(value) > most:
+                yield first, held
+                first, held, size = first + len(held), [], 0
+            held.append(value)
+            size += len(value) + 1
+    if held:
+        yield first, held
 
 
 def words_of(texts: list[bytes], alphabet: Alphabet) -> Words:
