@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -188,9 +188,13 @@ def accounting_rules(shift: int = 0) -> dict[str, Column]:
     }
 
 
-def rule_agreement(labelled: DataFrame, label: str = "label") -> DataFrame:
-    """Share of samples where a simple rule equals the label, on the target quarter and on the quarter before it."""
-    now, before = accounting_rules(), accounting_rules(1)
+Rules = Callable[[int], dict[str, Column]]
+
+
+def rule_agreement(labelled: DataFrame, label: str = "label", rules: Rules = accounting_rules) -> DataFrame:
+    """Share of samples where a rule equals the label, on the target quarter and on the quarter before it. ``rules`` gives named conditions for
+    a shift of 0 or 1 quarters; any can be passed."""
+    now, before = rules(0), rules(1)
     names = list(now)
     t = labelled.select(
         F.row_number().over(entity_rows()).alias("rn"), F.col(label).alias("y"), "n_signals",

@@ -120,10 +120,8 @@ def n14(spark, sf):
 
 @query("n15_holdout_method")
 def n15(spark, sf):
-    v = L.materialize(L.vectorized(V.stratified_holdout(vectors(spark, sf))))
-    m = L.fit_technique("random_under", v.where("part = 'train'").drop("part"), maxIter=20)
-    s = L.score(m, v.where("part = 'test'"), ["y"])
-    return M.evaluate(s, operating=0.5)
+    v = L.materialize(V.stratified_holdout(vectors(spark, sf)))
+    return V.evaluate_on_holdout(v.where("part = 'train'"), v.where("part = 'test'"), "random_under", lambda oof: 0.5, k=2, maxIter=20).drop("fit_seconds", "score_seconds")
 
 
 @query("n16_method_cv")
@@ -139,6 +137,15 @@ def n17(spark, sf):
     return V.evaluate_techniques(vectors(spark, sf), ["random_under", "smote"], k=2, maxIter=20)
 
 
+@query("n17_technique_on_holdout")
+def n17b(spark, sf):
+    """Two techniques with tuned thresholds, timings, one scoring of the holdout and the leak checks."""
+    v = L.materialize(V.stratified_holdout(vectors(spark, sf)))
+    train, test = v.where("part = 'train'"), v.where("part = 'test'")
+    one, two = (V.evaluate_on_holdout(train, test, key, V.best_f1_threshold, k=2, maxIter=20) for key in ("random_under", "class_weight"))
+    return one.unionByName(two)
+
+
 @query("n18_tuned_thresholds_on_oof")
 def n18(spark, sf):
     v = L.materialize(L.vectorized(V.stratified_folds(vectors(spark, sf), 2)))
@@ -149,9 +156,8 @@ def n18(spark, sf):
 @query("n19_group_fold_technique")
 def n19(spark, sf):
     t = table_of_samples(spark, sf)
-    filled = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in FEW])
-    t = L.materialize(t.join(V.group_folds(t, "entity", 2), "entity").select("id", "fold", "y", filled.alias("x")))
-    oof = V.out_of_fold(L.vectorized(t), lambda tr: L.fit_technique("random_under", tr.drop("fold"), maxIter=20), ["id"])
+    t = L.materialize(t.join(V.group_folds(t, "entity", 2), "entity").select("id", "fold", "y", *FEW))
+    oof = V.out_of_fold(t, lambda tr: L.fit_panel_technique("random_under", tr, FEW, maxIter=20), ["id"])
     return V.pooled_and_fold(oof)
 
 
