@@ -79,19 +79,29 @@ FOLD = 256  # equal scores in one Arrow batch from which on they are folded befo
 SUMS = ["auc", "ap", "tp", "fp", "fn", "tn"]
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME = 2^31 - 1, for 0 <= x < 2^62: the upper bits are worth as much as the lower ones."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return x - PRIME * (x >= PRIME)
+
+
 def _mix(key: np.ndarray, seed: int) -> np.ndarray:
-    """``draws.with_mix`` for arrays."""
-    low, high = key % PRIME, key // PRIME % PRIME
-    x = (low * 48271 + (seed * 7919 + 12345)) % PRIME
-    x = (x * (x + 1) + 1013904223 + high) % PRIME
-    x = (x * (x + 3) + 374761393) % PRIME
-    return x * 16807 % PRIME
+    """``draws.with_mix`` for arrays of non-negative keys."""
+    x = _mod((key % PRIME) * 48271 + (seed * 7919 + 12345))
+    x = _mod(x * (x + 1) + 1013904223 + key // PRIME % PRIME)
+    x = _mod(x * (x + 3) + 374761393)
+    return _mod(x * 16807)
 
 
 def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
     """Counts of each key in each draw (keys x draws), the same as ``poisson_one`` of ``with_pair_uniform(draw, key)``."""
     pair = _mix(np.arange(n_boot, dtype=np.int64), 17)[None, :] * 40503 + keys.astype(np.int64)[:, None]
-    return np.searchsorted(np.array(poisson_bounds()), _mix(pair, seed) / float(PRIME), side="right").astype(np.int32)
+    u = _mix(pair, seed) / float(PRIME)
+    out = np.zeros(u.shape, np.int32)
+    for bound in poisson_bounds():
+        out += u >= bound
+    return out
 
 
 def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
