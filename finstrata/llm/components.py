@@ -12,6 +12,9 @@ from finstrata.session import ship
 from finstrata.sources.landing import drop, land_at, new_folder
 
 
+HOT = 1000
+
+
 def _contract(edges: DataFrame) -> DataFrame:
     """Each task replaces its edges by stars of the same components: long chains within a task are gone before the first exchange."""
 
@@ -35,11 +38,18 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(stars, "a bigint, b bigint")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the smallest of the node and its neighbours.
+
+    The middle of a large star would send all its edges to one task. Nodes with more than ``most`` edges are fewer than 2 n / most, a million at
+    most: they are broadcast, and their edges stay where they are.
+    """
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
+    most = max(HOT, n // 500_000)
+    hot = F.broadcast(least.where(F.col("degree") > most).select("a", "m"))
+    rest = both.join(hot, "a", "left_anti").join(least.where(F.col("degree") <= most).select("a", "m"), "a")
+    return both.join(hot, "a").unionByName(rest).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -62,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(current)
     while True:
         following = new_folder(spark, "edges")
-        current = land_at(_small_star(_large_star(current)), following)
+        current = land_at(_small_star(_large_star(current, seen[0])), following)
         drop(spark, path)
         path, now = following, state(current)
         if now == seen:

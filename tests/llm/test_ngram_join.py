@@ -98,7 +98,11 @@ def test_one_row_of_each_component_stays(spark):
     assert j.keep_one(docs.limit(0)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [1000, 20, 1])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot):
+    import finstrata.llm.components as c
+
+    monkeypatch.setattr(c, "HOT", hot)
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (2000, 1999), (1999, 2000)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()))
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1100), 1000), 1999: 1999, 2000: 1999}
