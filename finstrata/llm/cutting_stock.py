@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from finstrata.llm.encoding import encoder_for
+from finstrata.llm.lean import lean
 from finstrata.llm.numbering import numbered
 from finstrata.session import ship
 from finstrata.sources.landing import land
@@ -49,7 +50,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype)
-        for batch in batches:
+        for batch in lean(batches):
             out: list[tuple] = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"])):
                 ids = np.concatenate([ids, end]).astype("<u4")

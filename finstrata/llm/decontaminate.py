@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from finstrata.llm.lean import lean
 from finstrata.llm.words import LETTERS_DIGITS, Words, chunks, words_of
 from finstrata.session import ship
 
@@ -226,7 +227,7 @@ def _find(docs: DataFrame, index: Index | None) -> DataFrame:
     hit = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             n = batch.num_rows
             words, longest, hits, names = np.zeros(n, np.int64), np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
             for first, texts in chunks(batch["text"]):
@@ -276,7 +277,7 @@ def _clean(docs: DataFrame, index: Index, max_coverage: float) -> DataFrame:
         return CUT.join([*out, w.data[at : w.texts[t] + len(text)]])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             new: dict[int, bytes | None] = {}
             for first, texts in chunks(batch["text"]):
                 w = words_of(texts, LETTERS_DIGITS)

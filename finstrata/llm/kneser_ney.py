@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from finstrata.llm.lean import lean
 from finstrata.llm.words import BLANK_CUT_CASED, Words, chunks, words_of
 from finstrata.session import ship
 from finstrata.sources.landing import land
@@ -76,7 +77,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in lean(batches):
             for _, texts in chunks(batch["text"]):
                 w = words_of(texts, BLANK_CUT_CASED)
                 if len(w.starts):

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finstrata.llm.components import components
+from finstrata.llm.lean import lean
 from finstrata.llm.numbering import numbered
 from finstrata.llm.rows import NO_ID, keyed, sent
 from finstrata.llm.words import BLANK_CUT, chunks, mix, shingle_hashes, words_of
@@ -86,7 +87,7 @@ def describe(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             sizes, sigs = [], []
             for _, texts in chunks(batch["text"]):
                 for s in sets_of(texts):
@@ -101,7 +102,7 @@ def describe(docs: DataFrame) -> DataFrame:
 def _sets_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     """(signature, set) of the non-empty sets of a task, each once."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in lean(batches):
         for _, texts in chunks(batch["text"]):
             for s in sets_of(texts):
                 if len(s) and (sig := signature(s)) not in seen:
@@ -269,7 +270,7 @@ def verify(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in lean(batches):
             keys, roles, sigs = (batch[c].to_pylist() for c in ("key", "role", "sig"))
             a, b = [], []
             for first, texts in chunks(batch["text"]):
@@ -328,7 +329,7 @@ def verify_clusters(docs: DataFrame, clusters: DataFrame, where: DataFrame) -> D
             links = _forest(sets, sigs, np.array(roles) == 0) if sets else []
             return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in lean(batches):
             columns = [batch[c].to_pylist() for c in ("cluster", "i", "j", "role", "sig")]
             for first, texts in chunks(batch["text"]):
                 for at, s in enumerate(sets_of(texts), first):

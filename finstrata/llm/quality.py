@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finstrata.llm.kneser_ney import distinct_words, fit, grams_of, quantiles
+from finstrata.llm.lean import lean
 from finstrata.llm.rows import NO_ID, keyed, sent
 from finstrata.llm.words import BLANK_CUT_CASED, Words, chunks, mix, shingle_hashes, words_of
 from finstrata.session import ship
@@ -66,7 +67,7 @@ def measure(docs: DataFrame, model=None) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             got: list[list[np.ndarray]] = []
             for _, texts in chunks(batch["text"]):
                 w = words_of(texts, BLANK_CUT_CASED)

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from finstrata.llm.encoding import encoder_for
 from finstrata.llm.files import system, task_name
+from finstrata.llm.lean import lean
 from finstrata.session import ship
 from finstrata.sources.landing import land, new_folder
 
 BLOCK = 1 << 22  # ids of a block
-FILE = "file string, n_docs bigint, n_ids bigint, width int"
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int) -> DataFrame:
@@ -35,9 +35,7 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int) ->
         end = np.array([separator], encoder.dtype).tobytes()
         found, root = system(folder)
         name, sink, n = task_name(), None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in lean(batches):
             sink = sink or found.open_output_stream(f"{root}/{name}.bin")
             for ids in encoder.encode(batch["text"]):
                 sink.write(ids.tobytes() + end)

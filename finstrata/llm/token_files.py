@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from finstrata.llm.encoding import encoder_for
 from finstrata.llm.files import open_mapped, system, task_name
+from finstrata.llm.lean import lean
 from finstrata.session import ship
 from finstrata.sources.landing import land, new_folder
 
@@ -95,9 +96,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.dtype)
         out = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in lean(batches):
             if out is None:
                 name = task_name()
                 out = _Writer(folder, name, encoder.dtype, length)
