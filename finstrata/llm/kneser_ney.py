@@ -91,7 +91,7 @@ def count(docs: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def _discounts(n: list[int]) -> list[float]:
+def discounts(n: list[int]) -> list[float]:
     """Chen and Goodman's three discounts from the numbers of n-grams seen once to four times; 0.75 where they are not defined."""
     if min(n) == 0:
         return [0.75] * 3
@@ -139,7 +139,7 @@ def fit(docs: DataFrame) -> Model:
     for n in range(1, ORDER + 1):
         table = counted[n]
         times = {r["c"]: r["n"] for r in table.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-        d = _discounts([times.get(k, 0) for k in range(1, 5)])
+        d = discounts([times.get(k, 0) for k in range(1, 5)])
         discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         context = F.shiftright("gram", BITS).alias("context")
         weights = table.groupBy(context).agg(F.sum("c").alias("total"), F.sum(discount).alias("taken")).withColumn("back_off", F.col("taken") / F.col("total"))

@@ -1,9 +1,10 @@
-"""Quality rules: counts that speak for themselves, and a perplexity band for each language.
+"""Quality rules: counts that speak for themselves, and perplexity bands for each language.
 
 A text fails outright if it has fewer than ``MIN_WORDS`` words or if more than half of its words lie in repeated 3-word windows. Of the others, a text
-is kept if the perplexity of its words under the corpus's own n-gram model lies within its language's band: median plus or minus ``WIDTH`` times
-the spread between the quartiles, and at least ``FLOOR`` (in nats a character) away from the median. Both bounds matter: noise scores high, stock
-phrases over and over score low.
+is kept if its perplexity under the corpus's own models of characters and of word pairs, in nats a character, lies within its language's bands: at most
+``HIGH`` times the spread between the quartiles above the median for both, at most ``LOW`` times below it for the characters, and ``FLOOR`` is always
+within reach. Noise and word salad score high, stock phrases over and over score low. The lower bound is wider, since plain prose with a small
+vocabulary has a long tail there; the word pairs have none, since what copies share scores low, and copies are another operator's work.
 
 Defined results: a null or blank text has no words and fails; a null language is a language of its own; repeated rows are judged alike; an
 empty table gives an empty result; ``filter_documents`` keeps every column.
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from finstrata.llm import word_model
 from finstrata.llm.kneser_ney import distinct_words, fit, grams_of, quantiles
 from finstrata.llm.lean import lean
 from finstrata.llm.rows import NO_ID, keyed, sent
@@ -25,7 +27,8 @@ from finstrata.session import ship
 from finstrata.sources.landing import land
 
 MIN_WORDS = 50
-WIDTH = 6.5
+HIGH = 6.5
+LOW = 6.5
 FLOOR = 0.1
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -90,23 +93,31 @@ def measure(docs: DataFrame, model=None) -> DataFrame:
     return rows.mapInArrow(one, f"_did bigint, _tid bigint, lang string, {', '.join(f'{c} bigint' for c in COUNTS)}, log_p double, n_grams bigint")
 
 
-def judge(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
-    """_did, _tid, _lang (names of the row), the counts, base_failed, log_perplexity, low, high, kept for every row."""
+def judge(docs: DataFrame, high: float = HIGH, low: float = LOW, floor: float = FLOOR) -> DataFrame:
+    """_did, _tid, _lang (names of the row), the counts, base_failed, kept, log_perplexity (of word pairs), char_log_perplexity, low, high, word_high for
+    every row."""
     docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = measure(docs, fit(docs)).withColumns({"base_failed": failed, "log_perplexity": F.when(F.col("n_grams") > 0, -F.col("log_p") / F.col("n_grams")), "_lang": F.coalesce("lang", F.lit(""))})
+    model = fit(docs)
+    words = word_model.scores(docs, word_model.fit(docs, model))
+    scored = measure(docs, model).join(words, ["_did", "_tid"], "left").withColumns({
+        "base_failed": failed, "char_log_perplexity": F.when(F.col("n_grams") > 0, -F.col("log_p") / F.col("n_grams")),
+        "log_perplexity": F.when(F.col("n_grams") > 0, -F.col("word_log_p") / F.col("n_grams")), "_lang": F.coalesce("lang", F.lit("")),
+    })
     scored = land(scored, "quality-scores")
-    q = quantiles(scored.where("not base_failed"), "_lang", "log_perplexity", [0.25, 0.5, 0.75])
-    reach = F.greatest(width * (F.col("q2") - F.col("q0")), F.lit(floor))
-    bands = q.select("_lang", (F.col("q1") - reach).alias("low"), (F.col("q1") + reach).alias("high"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return scored.join(bands, "_lang", "left").select("_did", "_tid", "_lang", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "low", "high")
+    q, r = [quantiles(scored.where("not base_failed"), "_lang", c, [0.25, 0.5, 0.75]) for c in ("char_log_perplexity", "log_perplexity")]
+    reach = lambda width: F.greatest(width * (F.col("q2") - F.col("q0")), F.lit(floor))
+    bands = q.select("_lang", (F.col("q1") - reach(low)).alias("low"), (F.col("q1") + reach(high)).alias("high"))
+    bands = bands.join(r.select("_lang", (F.col("q1") + reach(high)).alias("word_high")), "_lang")
+    inside = F.coalesce(F.col("char_log_perplexity").between(F.col("low"), F.col("high")) & (F.col("log_perplexity") <= F.col("word_high")), F.lit(False))
+    kept = (~F.col("base_failed") & inside).alias("kept")
+    return scored.join(bands, "_lang", "left").select("_did", "_tid", "_lang", *COUNTS, "base_failed", kept, "log_perplexity", "char_log_perplexity", "low", "high", "word_high")
 
 
-def filter_documents(docs: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
+def filter_documents(docs: DataFrame, high: float = HIGH, low: float = LOW, floor: float = FLOOR) -> DataFrame:
     """The rows of ``docs`` that are kept, every column as it was."""
     row = ["_did", "_tid", "_lang"]
-    gone = land(judge(docs, width, floor).where("not kept").select(row).distinct(), "rejected")
+    gone = land(judge(docs, high, low, floor).where("not kept").select(row).distinct(), "rejected")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     return keyed(docs).withColumn("_lang", lang).join(sent(gone), row, "left_anti").select(docs.columns)
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from finstrata.llm import kneser_ney, quality
+from finstrata.llm import kneser_ney, quality, word_model
 from finstrata.llm.rows import NO_ID
 
 SCHEMA = "doc_id bigint, lang string, text string, kept int, gram string"
@@ -84,3 +84,35 @@ def test_model_is_modified_kneser_ney(spark):
         assert math.isclose(math.exp(model.log_p(code)[0]), p(g), rel_tol=1e-4)
     context = np.array([60 << 18 | 60 << 12 | 1 << 6 | s for s in range(64)], np.uint32)
     assert math.isclose(np.exp(model.log_p(context)).sum(), 1, rel_tol=1e-4)
+
+
+def test_word_order_counts(spark):
+    line = "the cat sat on the mat and the dog lay by the door".split()
+    shuffled = sorted(line, key=lambda x: (len(x), x[::-1]))
+    docs = spark.createDataFrame([(i, "en", " ".join(line), 1, "") for i in range(4)] + [(None, "en", " ".join(shuffled), 1, ""), (None, "en", " ".join(shuffled), 1, ""), (9, "en", "", 1, ""), (10, "en", None, 1, "")], SCHEMA)
+    model = kneser_ney.fit(docs)
+    table = word_model.fit(docs, model)
+    counted = Counter()
+    for text in [line] * 4 + [shuffled] * 2:
+        counted.update(zip([None, *text], text))
+    spell = {w: model.log_p(kneser_ney.grams_of([w.encode()])[0]).sum() for w in line}
+    kinds = Counter(w for _, w in counted)
+
+    def cuts(c):
+        n = [Counter(c.values())[k] for k in range(1, 5)]
+        d = kneser_ney.discounts(n)
+        return {k: d[min(v, 3) - 1] for k, v in c.items()}
+
+    d1, d2 = cuts(kinds), cuts(counted)
+    p1 = {w: (kinds[w] - d1[w] + sum(d1.values()) * math.exp(spell[w])) / len(counted) for w in kinds}
+
+    def p2(a, w):
+        same = [k for k in counted if k[0] == a]
+        return (counted[a, w] - d2[a, w] + sum(d2[k] for k in same) * p1[w]) / sum(counted[k] for k in same)
+
+    assert table.count() == len(counted)
+    want = {name: sum(math.log(p2(a, w)) for a, w in zip([None, *text], text)) for name, text in (("line", line), ("shuffled", shuffled))}
+    got = {r._did: r.word_log_p for r in word_model.scores(docs, table).collect()}
+    assert abs(want["line"] - want["shuffled"]) > 1
+    assert all(math.isclose(got[i], want["line"], rel_tol=1e-5) for i in range(4)) and math.isclose(got[NO_ID], want["shuffled"], rel_tol=1e-5)
+    assert got[9] == got[10] == 0
