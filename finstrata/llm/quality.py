@@ -27,8 +27,8 @@ from finstrata.session import ship
 from finstrata.sources.landing import land
 
 MIN_WORDS = 50
-HIGH = 6.5
-LOW = 6.5
+HIGH = 4.0
+LOW = 6.0
 FLOOR = 0.1
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)

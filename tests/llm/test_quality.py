@@ -1,6 +1,7 @@
 """Quality counts against plain Python; the smoothed model against a direct computation; bands that keep ordinary text."""
 
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -116,3 +117,10 @@ def test_word_order_counts(spark):
     assert abs(want["line"] - want["shuffled"]) > 1
     assert all(math.isclose(got[i], want["line"], rel_tol=1e-5) for i in range(4)) and math.isclose(got[NO_ID], want["shuffled"], rel_tol=1e-5)
     assert got[9] == got[10] == 0
+
+
+def test_most_labelled_junk_goes(spark, sf):
+    larger = os.path.join(os.path.dirname(sf), "sf0.1")  # the small tables have too few labels
+    got = quality.op5_quality(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    junk, clean = [[r.kept for r in got if r.quality == k] for k in (0, 1)]
+    assert len(junk) > 200 and sum(junk) <= 0.1 * len(junk) and sum(clean) >= 0.99 * len(clean)
