@@ -20,11 +20,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from finstrata.llm.lean import lean
+from finstrata.llm.rows import NO_ID, keyed, sent
 from finstrata.llm.words import LETTERS_DIGITS, Words, chunks, words_of
 from finstrata.session import ship
+from finstrata.sources.landing import land
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
@@ -221,9 +224,8 @@ def indexes(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WOR
         yield Index.of(block, window)
 
 
-def _find(docs: DataFrame, index: Index | None) -> DataFrame:
+def _find(docs: DataFrame, block: Broadcast | None) -> DataFrame:
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(index) if index else None
     hit = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +235,7 @@ def _find(docs: DataFrame, index: Index | None) -> DataFrame:
             for first, texts in chunks(batch["text"]):
                 w = words_of(texts, LETTERS_DIGITS)
                 words[first : first + len(texts)] = np.diff(w.rows)
-                for t, runs, found, most in sent.value.matches(w) if sent else ():
+                for t, runs, found, most in block.value.matches(w) if block else ():
                     hits[first + t] = [{"first": a, "past": b} for a, b in runs]
                     names[first + t], longest[first + t] = sorted(found), most
             columns = [batch["doc_id"], batch["tie"], pa.array(words), pa.array(longest), pa.array(hits, hit), pa.array(names, pa.list_(pa.string()))]
@@ -253,7 +255,7 @@ def _covered(hits: Column) -> Column:
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, longest, hits (runs of word numbers), items (sorted names) for every row of ``docs``."""
-    passes = [_find(docs, i) for i in indexes(items, window, block_words)] or [_find(docs, None)]
+    passes = [_find(docs, docs.sparkSession.sparkContext.broadcast(i)) for i in indexes(items, window, block_words)] or [_find(docs, None)]
     found = passes[0]
     if len(passes) > 1:
         # equal rows have equal hits: they are united as one and dealt out again
@@ -265,57 +267,93 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     return found.select("doc_id", "n_words", _covered(F.col("hits")).alias("n_hit"), "longest", "hits", "items")
 
 
-def _clean(docs: DataFrame, index: Index, max_coverage: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-    has_length = "n_chars" in docs.columns
+def _without(text: bytes, w: Words, t: int, runs: list[tuple[int, int]]) -> bytes:
+    """Text ``t`` of ``w`` with these runs of its words cut out."""
+    at, out = int(w.texts[t]), []
+    for a, b in runs:
+        out.append(w.data[at : w.starts[w.rows[t] + a]])
+        at = int(w.ends[w.rows[t] + b - 1])
+    return CUT.join([*out, w.data[at : w.texts[t] + len(text)]])
 
-    def remove(text: bytes, w: Words, t: int, runs: list[tuple[int, int]]) -> bytes:
-        at, out = int(w.texts[t]), []
-        for a, b in runs:
-            out.append(w.data[at : w.starts[w.rows[t] + a]])
-            at = int(w.ends[w.rows[t] + b - 1])
-        return CUT.join([*out, w.data[at : w.texts[t] + len(text)]])
+
+def _replaced(batch: pa.RecordBatch, new: dict[int, bytes | None]) -> pa.RecordBatch:
+    """The batch with new texts in these rows, without the rows whose new text is None."""
+    keep = np.ones(batch.num_rows, bool)
+    keep[[i for i, x in new.items() if x is None]] = False
+    has_length = "n_chars" in batch.schema.names
+    texts = batch["text"].to_pylist()
+    lengths = batch["n_chars"].to_pylist() if has_length else None
+    for i, x in new.items():
+        if x is not None:
+            texts[i] = x.decode("utf-8", "replace")
+            if lengths:
+                lengths[i] = len(texts[i])
+    columns = {"text": texts} | ({"n_chars": lengths} if has_length else {})
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else batch[f.name] for f in batch.schema]
+    return pa.record_batch(arrays, names=batch.schema.names).filter(pa.array(keep))
+
+
+def _clean(docs: DataFrame, block: Broadcast, max_coverage: float) -> DataFrame:
+    """One block: each text is cut until nothing is hit, where it is read."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lean(batches):
             new: dict[int, bytes | None] = {}
             for first, texts in chunks(batch["text"]):
                 w = words_of(texts, LETTERS_DIGITS)
-                for t, runs, _, _ in sent.value.matches(w):
+                for t, runs, _, _ in block.value.matches(w):
                     n = int(w.rows[t + 1] - w.rows[t])
-                    left = None if sum(b - a for a, b in runs) > max_coverage * n else remove(texts[t], w, t, runs)
+                    left = None if sum(b - a for a, b in runs) > max_coverage * n else _without(texts[t], w, t, runs)
                     while left is not None:  # what a cut brings together may be a hit again
                         again = words_of([left], LETTERS_DIGITS)
-                        more = next(iter(sent.value.matches(again)), None)
+                        more = next(iter(block.value.matches(again)), None)
                         if more is None:
                             break
-                        left = remove(left, again, 0, more[1])
+                        left = _without(left, again, 0, more[1])
                     new[first + t] = left
-            if new:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[i for i, x in new.items() if x is None]] = False
-                texts = batch["text"].to_pylist()
-                lengths = batch["n_chars"].to_pylist() if has_length else None
-                for i, x in new.items():
-                    if x is not None:
-                        texts[i] = x.decode("utf-8", "replace")
-                        if lengths:
-                            lengths[i] = len(texts[i])
-                columns = {"text": texts} | ({"n_chars": lengths} if has_length else {})
-                arrays = [pa.array(columns[f.name], f.type) if f.name in columns else batch[f.name] for f in batch.schema]
-                batch = pa.record_batch(arrays, names=batch.schema.names).filter(pa.array(keep))
-            yield batch
+            yield _replaced(batch, new) if new else batch
 
     return docs.mapInArrow(clean, docs.schema)
 
 
+def _cut(docs: DataFrame, hits: DataFrame, max_coverage: float) -> DataFrame:
+    """The rows of ``docs`` that ``hits`` names, cut once; those that consist of hits to more than ``max_coverage`` go."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches):
+            new: dict[int, bytes | None] = {}
+            hit = batch["_hits"]
+            batch = batch.select([n for n in batch.schema.names if n != "_hits"])
+            for first, texts in chunks(batch["text"]):
+                w = words_of(texts, LETTERS_DIGITS)
+                for t, text in enumerate(texts):
+                    runs = united([(r["first"], r["past"]) for r in hit[first + t].as_py()])
+                    gone = sum(b - a for a, b in runs) > max_coverage * int(w.rows[t + 1] - w.rows[t])
+                    new[first + t] = None if gone else _without(text, w, t, runs)
+            yield _replaced(batch, new)
+
+    return keyed(docs).join(sent(hits), ["_did", "_tid"]).select(*docs.columns, "_hits").mapInArrow(cut, docs.schema)
+
+
+def _hits(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """_did, _tid (names of the row), _hits: the hit runs by all blocks, landed; rows that nothing hits are left out."""
+    passes = [_find(docs, b).where(F.size("hits") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.col("tie").alias("_tid"), "hits") for b in blocks]
+    return land(reduce(DataFrame.unionAll, passes).groupBy("_did", "_tid").agg(F.flatten(F.collect_set("hits")).alias("_hits")), "hits")
+
+
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the spans that hold ``window`` consecutive words of an item or a whole shorter one; documents that consist of them to more
-    than ``max_coverage`` go. n_chars follows where it exists."""
+    than ``max_coverage`` go. n_chars follows where it exists. With several blocks, what all of them hit is decided on and cut at once, and the texts
+    that were cut are searched by all of them again until nothing is hit."""
     ship(docs.sparkSession)
-    for index in indexes(items, window, block_words):
-        docs = _clean(docs, index, max_coverage)
-    return docs
+    blocks = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(items, window, block_words)]
+    if len(blocks) < 2:
+        return _clean(docs, blocks[0], max_coverage) if blocks else docs
+    done, rest, most = [], docs, max_coverage
+    while not (hits := _hits(rest, blocks)).isEmpty():
+        done.append(keyed(rest).join(sent(hits), ["_did", "_tid"], "left_anti").select(docs.columns))
+        rest, most = land(_cut(rest, hits, most), "cut"), 1.0  # the share counts on the text as it came
+    return reduce(DataFrame.unionAll, [*done, rest])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit) for r in d.find(docs, items).collect()] == [(2, 0)]
     assert d.clean(docs, items).collect() == docs.collect()
     assert d.find(docs.limit(0), spark.createDataFrame([(1, "a", 1)], ITEMS)).count() == 0
+
+
+def test_many_blocks_clean_as_one(spark):
+    run = lambda c, n=10: " ".join(f"{c}{i}" for i in range(n))
+    items = spark.createDataFrame([(1, run("a")), (2, run("b")), (3, run("c"))], "item_id bigint, text string")
+    rows = [
+        (1, run("a") + " x " + run("b") + " y " + run("z", 10)),  # 20 of 32 words, 10 by each block
+        (2, run("a", 5) + " " + run("b") + " a5 a6 a7 a8 a9 " + run("z", 40)),  # a cut by block 2 joins a window of block 1
+        (None, run("c") + " " + run("z", 30)), (None, run("c") + " " + run("z", 30)), (3, run("z", 20)), (4, None), (5, run("c")),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t or ""), 1, "clash", 2) for i, t in rows], DOCS)
+    one, many = [sorted(map(repr, d.clean(docs, items, block_words=n).collect())) for n in (200_000, 10)]
+    assert many == one and len(one) == 5
+    assert all(r.n_hit == 0 for r in d.find(d.clean(docs, items, block_words=10), items).collect())
