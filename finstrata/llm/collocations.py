@@ -262,7 +262,7 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents),
-lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), w -> w <> '') AS ws FROM pieces),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
 grams AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS f FROM (
     SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
