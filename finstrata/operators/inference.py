@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import N_BOOT, SEED
 from ..functions.draws import PRIME, poisson_bounds
@@ -71,10 +71,12 @@ def delong(wide: DataFrame, systems: Sequence[str], y: str = "y") -> DataFrame:
 # ---- bootstraps ---------------------------------------------------------------------------------------------
 #
 # Rows are dealt once by ranges of the score; what is exchanged does not depend on the number of draws. Tasks compute the weights of all draws
-# for a few hundred rows at a time, as a matrix, and keep sums per draw. A first pass gives the totals of each range (ranges x draws numbers, which
-# are broadcast), a second one adds up AUROC, average precision and the confusion counts, since it then knows what lies below its range.
+# for a few rows at a time, as a matrix of rows x draws, and add it up by runs of equal scores, so the rest is matrix arithmetic. A first pass gives the
+# totals of each range. Spark adds them up over the ranges below (a window over ranges, for each draw apart) and hands every range its own sums as one
+# more row, first in its order; a second pass then adds up AUROC, average precision and the confusion counts. Neither the driver nor a broadcast
+# holds anything that grows with ranges x draws.
 
-BLOCK = 256  # rows whose weights are held at a time
+BLOCK = 64  # rows whose weights are held at a time
 FOLD = 256  # equal scores in one Arrow batch from which on they are folded before the exchange
 SUMS = ["auc", "ap", "tp", "fp", "fn", "tn"]
 
@@ -83,24 +85,40 @@ def _mod(x: np.ndarray) -> np.ndarray:
     """x modulo PRIME = 2^31 - 1, for 0 <= x < 2^62: the upper bits are worth as much as the lower ones."""
     x = (x & PRIME) + (x >> 31)
     x = (x & PRIME) + (x >> 31)
-    return x - PRIME * (x >= PRIME)
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def _parted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quotient and remainder by PRIME, for 0 <= key < 2^62, without a division."""
+    high = key >> 31
+    rest = (key & PRIME) + high
+    over = (rest >= PRIME).astype(np.int64) + (rest >= 2 * PRIME)
+    return high + over, rest - PRIME * over
 
 
 def _mix(key: np.ndarray, seed: int) -> np.ndarray:
     """``draws.with_mix`` for arrays of non-negative keys."""
-    x = _mod((key % PRIME) * 48271 + (seed * 7919 + 12345))
-    x = _mod(x * (x + 1) + 1013904223 + key // PRIME % PRIME)
+    times, rest = _parted(key)
+    x = _mod(rest * 48271 + (seed * 7919 + 12345))
+    x = _mod(x * (x + 1) + 1013904223 + _mod(times))
     x = _mod(x * (x + 3) + 374761393)
     return _mod(x * 16807)
 
 
+#: The smallest number in [0, PRIME) that counts once, twice, ...; and the counts by the upper 16 bits, -1 where a limit lies between.
+_LIMITS = np.array([next(x for x in range(int(b * PRIME) - 2, int(b * PRIME) + 3) if x / float(PRIME) >= b) for b in poisson_bounds()], np.int64)
+_FIRST = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.int64) << 15, "right")
+_COUNTS = np.where(_FIRST == np.searchsorted(_LIMITS, ((np.arange(1 << 16, dtype=np.int64) + 1) << 15) - 1, "right"), _FIRST, -1).astype(np.int8)
+
+
 def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
     """Counts of each key in each draw (keys x draws), the same as ``poisson_one`` of ``with_pair_uniform(draw, key)``."""
     pair = _mix(np.arange(n_boot, dtype=np.int64), 17)[None, :] * 40503 + keys.astype(np.int64)[:, None]
-    u = _mix(pair, seed) / float(PRIME)
-    out = np.zeros(u.shape, np.int32)
-    for bound in poisson_bounds():
-        out += u >= bound
+    x = _mix(pair, seed)
+    out = _COUNTS[x >> 15].astype(np.int32)
+    near = out < 0
+    out[near] = np.searchsorted(_LIMITS, x[near], "right")
     return out
 
 
@@ -134,97 +152,126 @@ def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "g string, p double, k bigint, y int, w1 array<bigint>, w0 array<bigint>")
 
 
-def _scores(batches: Iterator[pa.RecordBatch], n_boot: int, seed: int) -> Iterator[tuple[str, float, np.ndarray, np.ndarray]]:
-    """(group, score, positives per draw, negatives per draw) of sorted rows, one by one in ascending order."""
-    name, score, w1, w0 = None, None, None, None
-    for batch in batches:
-        g, p, y = batch["g"].to_pylist(), batch["p"].to_numpy(), batch["y"].to_numpy()
-        folded = batch["w1"].is_valid().to_numpy(zero_copy_only=False)
-        for at in range(0, batch.num_rows, BLOCK):
-            to = min(at + BLOCK, batch.num_rows)
-            weights = poisson_weights(batch["k"].slice(at, to - at).to_numpy(), n_boot, seed)
-            for i in range(at, to):
-                if g[i] != name or p[i] != score:
-                    if name is not None:
-                        yield name, score, w1, w0
-                    name, score = g[i], p[i]
-                    w1, w0 = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
-                if folded[i]:
-                    w1 += batch["w1"][i].values.to_numpy()
-                    w0 += batch["w0"][i].values.to_numpy()
-                elif y[i] == 1:
-                    w1 += weights[i - at]
-                else:
-                    w0 += weights[i - at]
-    if name is not None:
-        yield name, score, w1, w0
+def _weights(batch: pa.RecordBatch, at: int, to: int, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the positives and of the negatives among rows ``at`` to ``to``: two matrices of rows x draws. Folded rows bring theirs along."""
+    weights = poisson_weights(batch["k"].slice(at, to - at).to_numpy(), n_boot, seed)
+    rare = (batch["y"].slice(at, to - at).to_numpy() == 1)[:, None]
+    w1, w0 = weights * rare, weights * ~rare
+    for i in np.flatnonzero(batch["w1"].slice(at, to - at).is_valid().to_numpy(zero_copy_only=False)):
+        w1[i], w0[i] = batch["w1"][at + int(i)].values.to_numpy(), batch["w0"][at + int(i)].values.to_numpy()
+    return w1, w0
+
+
+class _Range:
+    """Sums of one group within one range of scores, run after run in ascending order."""
+
+    def __init__(self, below: tuple[np.ndarray, np.ndarray], whole: tuple[np.ndarray, np.ndarray], size: tuple[int, int] | None, threshold: float):
+        self.low1, self.low0 = (x.astype(float) for x in below)
+        self.pos, self.neg = (x.astype(float) for x in whole)
+        with np.errstate(divide="ignore", invalid="ignore"):  # a draw may hold one class only
+            self.scale1, self.scale0 = (size[0] / self.pos, size[1] / self.neg) if size else (1.0, 1.0)
+        self.threshold = threshold
+        self.sums = np.zeros((len(SUMS), len(self.pos)))
+
+    def add(self, scores: np.ndarray, w1: np.ndarray, w0: np.ndarray) -> None:
+        """Runs x draws."""
+        under1, under0 = self.low1 + (w1.cumsum(axis=0) - w1), self.low0 + (w0.cumsum(axis=0) - w0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tp, fp = (self.pos - under1) * self.scale1, (self.neg - under0) * self.scale0
+            self.sums[1] += np.where(w1 > 0, w1 / self.pos * (tp / (tp + fp)), 0.0).sum(axis=0)
+        self.sums[0] += (w1 * (under0 + w0 / 2.0)).sum(axis=0)
+        high = scores >= self.threshold
+        for at, w in ((2, w1), (3, w0)):
+            called = w[high].sum(axis=0)
+            self.sums[at] += called
+            self.sums[at + 2] += w.sum(axis=0) - called
+        self.low1 += w1.sum(axis=0)
+        self.low0 += w0.sum(axis=0)
+
+
+def _totals(ranged: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """(part, g, w1, w0): weights per draw of each range, as one task sees them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, str], np.ndarray] = {}
+        for batch in batches:
+            keys = list(zip(batch["part"].to_pylist(), batch["g"].to_pylist()))
+            for at in range(0, batch.num_rows, BLOCK):
+                to = min(at + BLOCK, batch.num_rows)
+                both = _weights(batch, at, to, n_boot, seed)
+                some = keys[at:to]
+                for key in dict.fromkeys(some):
+                    rows = np.array([k == key for k in some])
+                    held = found.setdefault(key, np.zeros((2, n_boot), np.int64))
+                    for i, w in enumerate(both):
+                        held[i] += w[rows].sum(axis=0)
+        columns = [pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.string()), *[pa.array([h[i] for h in found.values()], pa.list_(pa.int64())) for i in (0, 1)]]
+        yield pa.record_batch(columns, names=["part", "g", "w1", "w0"])
+
+    return ranged.mapInArrow(run, "part int, g string, w1 array<bigint>, w0 array<bigint>")
+
+
+def _below(totals: DataFrame) -> DataFrame:
+    """(part, g, w1, w0, pos, neg): weights per draw in the ranges below, and in all ranges."""
+    each = totals.select("part", "g", F.posexplode(F.arrays_zip("w1", "w0")).alias("draw", "w")).groupBy("part", "g", "draw").agg(F.sum("w.w1").alias("a"), F.sum("w.w0").alias("b"))
+    whole = W.partitionBy("g", "draw")  # as many rows as there are ranges
+    before = whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = {"w1": F.coalesce(F.sum("a").over(before), F.lit(0)), "w0": F.coalesce(F.sum("b").over(before), F.lit(0)), "pos": F.sum("a").over(whole), "neg": F.sum("b").over(whole)}
+    listed = each.select("part", "g", "draw", *[c.alias(n) for n, c in sums.items()]).groupBy("part", "g").agg(F.array_sort(F.collect_list(F.struct("draw", *sums))).alias("s"))
+    return listed.select("part", "g", *[F.col(f"s.{n}").alias(n) for n in sums])
 
 
 def bootstrap_sums(df: DataFrame, key: str, group: Column, threshold: float, n_boot: int, seed: int, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """(g, draw, pos, neg, auc, ap, tp, fp, fn, tn): sums over all rows with their weights. ``sizes``: positives and negatives to which each
     draw's weights are scaled for average precision."""
-    spark = df.sparkSession
-    ship(spark)
+    ship(df.sparkSession)
     rows = df.select(group.cast("string").alias("g"), F.col("p").cast("double").alias("p"), F.col(key).cast("bigint").alias("k"), F.col("y").cast("int").alias("y")).where("p is not null and y is not null")
-    ranged = land(_fold(rows, n_boot, seed).repartitionByRange("g", "p").withColumn("part", F.spark_partition_id()), "ranged-scores")
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small rows are much work here and must not be coalesced
+    ranged = land(_fold(rows, n_boot, seed).repartitionByRange(ranges, "g", "p").withColumn("part", F.spark_partition_id()), "ranged-scores")
     parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
-    dealt = ranged.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "g", "p")
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[np.ndarray]] = {}
-        part = 0
-
-        def tapped() -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            for batch in batches:
-                part = batch["part"][0].as_py() if batch.num_rows else part
-                yield batch
-
-        for g, _, w1, w0 in _scores(tapped(), n_boot, seed):
-            held = found.setdefault(g, [np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)])
-            held[0] += w1
-            held[1] += w0
-        columns = [pa.array([part] * len(found), pa.int32()), pa.array(list(found), pa.string()), *[pa.array([h[i] for h in found.values()], pa.list_(pa.int64())) for i in (0, 1)]]
-        yield pa.record_batch(columns, names=["part", "g", "w1", "w0"])
-
-    below: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    whole: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in sorted(dealt.mapInArrow(totals, "part int, g string, w1 array<bigint>, w0 array<bigint>").collect(), key=lambda r: r["part"]):  # ranges x draws numbers
-        w1, w0 = whole.get(r["g"], (np.zeros(n_boot, np.int64),) * 2)
-        below[r["g"], r["part"]] = w1, w0
-        whole[r["g"]] = w1 + np.array(r["w1"]), w0 + np.array(r["w0"])
-    known = spark.sparkContext.broadcast((below, whole, sizes))
+    offsets = land(_below(_totals(ranged, n_boot, seed)), "score-offsets")
+    dealt = ranged.unionByName(offsets, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "g", F.asc_nulls_first("p"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below, whole, sizes = known.value
-        part = 0
-        sums: dict[str, np.ndarray] = {}
-        under: dict[str, list[np.ndarray]] = {}
-
-        def tapped() -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            for batch in batches:
-                part = batch["part"][0].as_py() if batch.num_rows else part
-                yield batch
-
-        for g, p, w1, w0 in _scores(tapped(), n_boot, seed):
-            if g not in sums:
-                sums[g], under[g] = np.zeros((len(SUMS), n_boot)), [x.copy() for x in below[g, part]]
-            low1, low0 = under[g]
-            pos, neg = whole[g]
-            tp, fp = (pos - low1).astype(float), (neg - low0).astype(float)
-            if sizes:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    tp, fp = tp * (sizes[g][0] / pos), fp * (sizes[g][1] / neg)
-            out = sums[g]
-            out[0] += w1 * (low0 + w0 / 2.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[1] += np.where(w1 > 0, w1 / pos * (tp / (tp + fp)), 0.0)
-            out[2 if p >= threshold else 4] += w1
-            out[3 if p >= threshold else 5] += w0
-            low1 += w1
-            low0 += w0
-        columns = [pa.array(list(sums), pa.string()), *[pa.array([x[i] for x in sums.values()], pa.list_(pa.float64())) for i in range(len(SUMS))]]
+        done: list[tuple[str, np.ndarray]] = []
+        name: str | None = None
+        now: _Range | None = None
+        held: tuple[float, np.ndarray, np.ndarray] | None = None  # a run that may go on in the next block
+
+        def close() -> None:
+            if held is not None:
+                now.add(np.array([held[0]]), held[1], held[2])
+
+        for batch in batches:
+            g, p = np.array(batch["g"].to_pylist(), object), batch["p"].to_numpy(zero_copy_only=False)
+            heads = batch["pos"].is_valid().to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                if heads[at]:
+                    close()
+                    held, name = None, g[at]
+                    read = lambda c: batch[c][at].values.to_numpy()  # noqa: B023, E731
+                    now = _Range((read("w1"), read("w0")), (read("pos"), read("neg")), sizes[name] if sizes else None, threshold)
+                    done.append((name, now.sums))
+                    at += 1
+                    continue
+                to = min(at + BLOCK, batch.num_rows)
+                following = np.flatnonzero(heads[at:to])
+                to = at + int(following[0]) if len(following) else to
+                w1, w0 = _weights(batch, at, to, n_boot, seed)
+                scores = p[at:to]
+                starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
+                scores, w1, w0 = scores[starts], np.add.reduceat(w1, starts, axis=0), np.add.reduceat(w0, starts, axis=0)
+                if held is not None and held[0] == scores[0]:
+                    w1[0] += held[1][0]
+                    w0[0] += held[2][0]
+                elif held is not None:
+                    close()
+                now.add(scores[:-1], w1[:-1], w0[:-1])
+                held = (scores[-1], w1[-1:], w0[-1:])
+                at = to
+        close()
+        columns = [pa.array([n for n, _ in done], pa.string()), *[pa.array([x[i] for _, x in done], pa.list_(pa.float64())) for i in range(len(SUMS))]]
         yield pa.record_batch(columns, names=["g", *SUMS])
 
     measured = dealt.mapInArrow(measure, "g string, " + ", ".join(f"{c} array<double>" for c in SUMS))

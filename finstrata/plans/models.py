@@ -18,7 +18,6 @@ from .profiles import auc_sql, sample_features
 from .registry import query
 from .views import SQL, panel, scores_long, vectors
 
-QUICK = {"logistic": {"maxIter": 20}, "random_forest": {"numTrees": 10, "maxDepth": 4}, "gradient_boosting": {"maxIter": 5, "maxDepth": 2}, "mlp": {"maxIter": 20, "hidden": 8}}
 CLIP = ["current_ratio_latest", "net_margin_latest", "receivables_to_sales_latest", "net_income_yoy_growth"]
 
 
@@ -84,12 +83,12 @@ def _family(name):
     @query(f"l5_model_{name}")
     def run(spark, sf):
         t = L.materialize(table_of_samples(spark, sf))
-        model = L.fit_model(name, t.where("split = 'train'"), FEATURES, winsorize="p1p99", **QUICK[name])
+        model = L.fit_model(name, t.where("split = 'train'"), FEATURES, winsorize="p1p99")
         s = L.score(model, t.where("split <> 'train'"), ["split", "y"])
         return M.rank_metrics(s, ["split"]).withColumn("model", F.lit(name))
 
 
-for _n in QUICK:
+for _n in L.HYPERPARAMS:
     _family(_n)
 
 
@@ -98,14 +97,14 @@ def b9(spark, sf):
     """Fit, then score with the stages reordered to the stored feature order (saving and loading is covered by the tests)."""
     t = L.materialize(table_of_samples(spark, sf))
     order = list(reversed(FEATURES))
-    model = L.fit_model("logistic", t.where("split = 'train'"), order, **QUICK["logistic"])
+    model = L.fit_model("logistic", t.where("split = 'train'"), order)
     return M.rank_metrics(L.score(model, t, ["split", "y"]), ["split"])
 
 
 @query("l6_positive_probability")
 def l6(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    model = L.fit_model("logistic", t.where("split = 'train'"), FEATURES, **QUICK["logistic"])
+    model = L.fit_model("logistic", t.where("split = 'train'"), FEATURES)
     return L.score(model, t.where("split = 'test'"), ["id", "y"])
 
 
@@ -143,7 +142,7 @@ def l10(spark, sf):
 @query("l11_train_and_validation_gap")
 def l11(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    model = L.fit_model("random_forest", t.where("split = 'train'"), FEATURES, **QUICK["random_forest"])
+    model = L.fit_model("random_forest", t.where("split = 'train'"), FEATURES)
     s = L.score(model, t.where(F.col("split").isin("train", "validation")), ["split", "y"]).withColumn("model", F.lit("random_forest"))
     m = M.rank_metrics(s, ["model", "split"])
     return M.overfit_table(m.where("split = 'train'"), m.where("split = 'validation'"), ["auroc", "average_precision"])
@@ -153,8 +152,8 @@ def l11(spark, sf):
 def l12(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
     out = None
-    for n in QUICK:
-        model = L.fit_model(n, t.where("split = 'train'"), FEATURES, **QUICK[n])
+    for n in L.HYPERPARAMS:
+        model = L.fit_model(n, t.where("split = 'train'"), FEATURES)
         one = L.score(model, t.where("split = 'validation'"), ["y"]).withColumn("model", F.lit(n))
         out = one if out is None else out.unionByName(one)
     return P.select_model(M.evaluate(out, ["model"]), [("average_precision", True), ("best_f1", True), ("auroc", True)])
@@ -163,17 +162,24 @@ def l12(spark, sf):
 @query("l13_calibrated_linear_svm")
 def l13(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    m = L.fit_linear_svm(t.where("split = 'train'"), FEATURES, balanced=True, maxIter=20)
+    m = L.fit_linear_svm(t.where("split = 'train'"), FEATURES, balanced=True)
     return M.rank_metrics(L.score(m, t.where("split <> 'train'"), ["split", "y"]), ["split"])
 
 
 @query("l14_boosted_reference")
 def l14(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    m = L.fit_model("gradient_boosting", t.where("split = 'train'"), FEATURES, weights="ratio", **QUICK["gradient_boosting"])
+    m = L.fit_boosted_reference(t.where("split = 'train'"), FEATURES, weights="ratio")
     return M.evaluate(L.score(m, t.where("split = 'test'"), ["y"]))
 
 
+@query("l14_boosted_reference_early_stopping")
+def l14b(spark, sf):
+    """The number of rounds is chosen on the validation rows."""
+    t = L.materialize(table_of_samples(spark, sf))
+    m = L.fit_boosted_reference(t.where("split = 'train'"), FEATURES, weights="ratio", held=t.where("split = 'validation'"))
+    trees = m.stages[-1]
+    return M.evaluate(L.score(m, t.where("split = 'test'"), ["y"])).withColumns({"rounds": F.lit(len(trees.learned())), "held_loss": F.lit(min(trees.getOrDefault("losses")))})
 
 
 @query("l15_scale_pos_weight", "SELECT CAST(y AS BIGINT) AS y, round(CASE WHEN y = 1 THEN (t - n) / CAST(n AS DOUBLE) ELSE 1 END, 6) AS w FROM (SELECT is_distressed AS y, count(*) AS n, sum(count(*)) OVER () AS t FROM f_split WHERE split = 'train' GROUP BY 1)", ["f_split"])
@@ -191,7 +197,7 @@ def l16(spark, sf):
 @query("l17_isotonic_calibration")
 def l17(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    m = L.fit_isotonic("logistic", t.where("split = 'train'"), FEATURES, folds=3, **QUICK["logistic"])
+    m = L.fit_isotonic("logistic", t.where("split = 'train'"), FEATURES)
     s = L.score(m, t.where("split = 'test'"), ["y"]).withColumn("split", F.lit("test"))
     return M.rank_metrics(s, ["split"]).join(M.brier(s, ["split"]), "split")
 
@@ -225,7 +231,7 @@ def _vector_model(name, fit):
         return M.rank_metrics(s, ["part"])
 
 
-_vector_model("l20_focal_boosting", lambda t: L.fit_focal_boosting(t, rounds=5, depth=3))
+_vector_model("l20_focal_boosting", lambda t: L.fit_focal_boosting(t, maxIter=100))
 _vector_model("l21_rusboost", lambda t: L.fit_rusboost(t, rounds=4))
 _vector_model("l22_rusboost_technique", lambda t: L.fit_technique("rusboost", t, rounds=5))
 _vector_model("l23_balanced_forest", lambda t: L.fit_balanced_bags(t, "balanced_forest", 2, numTrees=5))
@@ -235,7 +241,16 @@ _vector_model("l25_strategy_calibrated", lambda t: L.fit_technique(L.STRATEGIES[
 _vector_model("l26_technique_smote", lambda t: L.fit_technique("smote", t, maxIter=20))
 _vector_model("l27_technique_random_under", lambda t: L.fit_technique("random_under", t, maxIter=20))
 _vector_model("l28_balanced_bagging", lambda t: L.fit_technique("balanced_bagging", t, bags=5))
-_vector_model("l29_panel_technique_smote_enn", lambda t: L.fit_technique("smote_enn", t, maxIter=20))
+
+
+@query("l29_panel_technique_smote_enn")
+def l29(spark, sf):
+    """Missing values take training medians, then the technique resamples and fits on the panel's samples."""
+    t = L.materialize(table_of_samples(spark, sf))
+    m = L.fit_panel_technique("smote_enn", t.where("split = 'train'"), FEATURES, maxIter=20)
+    return M.rank_metrics(L.score(m, t.where("split <> 'train'"), ["split", "y"]), ["split"])
+
+
 _vector_model("m9_sampler_inside_model", lambda t: L.SampledEstimator(L.make_sampler("random_under", ratio=0.5), L._gbt(maxIter=5)).fit(t))
 _vector_model("m13_smote_with_weights", lambda t: L.fit_technique("smote_weights", t, maxIter=20))
 
@@ -252,7 +267,7 @@ def e30(spark, sf):
 @query("j32_one_shot_test")
 def j32(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    model = L.fit_model("random_forest", t.where("split = 'train'"), FEATURES, **QUICK["random_forest"])
+    model = L.fit_model("random_forest", t.where("split = 'train'"), FEATURES)
     val = L.score(model, t.where("split = 'validation'"), ["y"])
     best = M.best_f1(M.ladder(val)).select("threshold").scalar()
     test = L.score(model, t.where("split = 'test'"), ["id", "entity", "y"]).withColumn("threshold", F.coalesce(best, F.lit(0.5)))
@@ -270,6 +285,6 @@ def j33(spark, sf):
 @query("j34_score_batch")
 def j34(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    model = L.fit_model("logistic", t.where("split = 'train'"), FEATURES, **QUICK["logistic"])
+    model = L.fit_model("logistic", t.where("split = 'train'"), FEATURES)
     s = L.score(model, t, ["id", "entity", "split", "y"])
     return s.withColumn("decision", (F.col("p") >= 0.5).cast("int")).withColumn("correct", (F.col("decision") == F.col("y")).cast("int"))

@@ -11,7 +11,7 @@ from ..operators import preprocess as Q
 from ..operators import samples as S
 from ..operators import validate as V
 from .features import samples2
-from .models import CLIP, QUICK, table_of_samples
+from .models import CLIP, table_of_samples
 from .profiles import auc_sql, sample_features
 from .registry import query
 from .views import SQL, panel, scores_long, sql_pair, sql_uniform, table, vectors
@@ -29,7 +29,7 @@ def n1_folds(spark, sf):
 
 @query("n1_grouped_cv")
 def n1(spark, sf):
-    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic", "random_forest"], FEATURES, k=3, options=QUICK)
+    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic", "random_forest"], FEATURES, k=3)
     return V.pooled_and_fold(oof, by=["model"])
 
 
@@ -43,7 +43,7 @@ def with_region(spark, sf):
 def _loco(spark, sf, cols):
     t = L.materialize(with_region(spark, sf))
     groups = [r["region"] for r in t.select("region").distinct().orderBy("region").collect()]
-    return V.group_metrics(V.leave_one_group_out(t, groups, "logistic", cols, group="region", **QUICK["logistic"]), ["held_out"])
+    return V.group_metrics(V.leave_one_group_out(t, groups, "logistic", cols, group="region"), ["held_out"])
 
 
 @query("n2_leave_one_group_out")
@@ -74,12 +74,12 @@ def g8(spark, sf):
 @query("n4_walk_forward_metrics")
 def n4(spark, sf):
     t = table_of_samples(spark, sf).withColumn("label_available_on", F.date_add("target_period_end", 40))
-    return V.summarize(V.walk_forward_metrics(t, ["logistic"], FEW, options=QUICK))
+    return V.summarize(V.walk_forward_metrics(t, ["logistic"], FEW))
 
 
 @query("n8_cross_group_selection_metric")
 def n8(spark, sf):
-    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic"], FEW, k=3, options=QUICK)
+    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic"], FEW, k=3)
     return V.pooled_and_fold(oof, by=["model"]).where("scope = 'pooled'")
 
 
@@ -114,7 +114,7 @@ def n13(spark, sf):
 @query("n14_refit_and_score_thresholds")
 def n14(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    m = L.fit_model("logistic", t.where(F.col("split").isin("train", "validation")), FEW, **QUICK["logistic"])
+    m = L.fit_model("logistic", t.where(F.col("split").isin("train", "validation")), FEW)
     return M.metrics_at(L.score(m, t.where("split = 'test'"), ["y"]), [0.3, 0.5, 0.7])
 
 
@@ -167,7 +167,7 @@ def n20(spark, sf):
     out = None
     for w in ("none", "iqr"):
         for scaler in ("standard", "robust"):
-            m = L.fit_model("logistic", t.where("split = 'train'"), FEW, winsorize=w, scaler=scaler, **QUICK["logistic"])
+            m = L.fit_model("logistic", t.where("split = 'train'"), FEW, winsorize=w, scaler=scaler)
             one = L.score(m, t.where("split = 'validation'"), ["y"]).withColumn("variant", F.lit(f"{w}|{scaler}"))
             out = one if out is None else out.unionByName(one)
     return M.rank_metrics(out, ["variant"])
@@ -225,7 +225,7 @@ def n30(spark, sf):
     t = table_of_samples(spark, sf)
     v = V.ablation_variants(FEATURES)
     pick = {k: v[k] for k in ("all", "minus_path", "minus_growth")}
-    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), pick, "logistic", **QUICK["logistic"])
+    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), pick, "logistic")
 
 
 @query("n31_one_ablation_variant")
@@ -233,7 +233,7 @@ def n31(spark, sf):
     """Only samples with enough history, without the trajectory features."""
     t = S.filter_by_history(table_of_samples(spark, sf), 5)
     cols = V.ablation_variants(FEATURES)["minus_path"]
-    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), {"minus_path_long_history": cols}, "logistic", **QUICK["logistic"])
+    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), {"minus_path_long_history": cols}, "logistic")
 
 
 @query("n9_cross_group_ap")
@@ -256,7 +256,7 @@ def n23(spark, sf):
 
 @query("n32_learning_curve")
 def n32(spark, sf):
-    return V.learning_curve(table_of_samples(spark, sf), "logistic", FEW, fractions=(0.4, 1.0), k=2, **QUICK["logistic"])
+    return V.learning_curve(table_of_samples(spark, sf), "logistic", FEW, fractions=(0.4, 1.0), k=2)
 
 
 @query("n37_systems_table", "SELECT system, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM f_long WHERE row_id IN (SELECT row_id FROM f_long GROUP BY row_id HAVING count(DISTINCT system) = 2) GROUP BY system", ["f_long"])
@@ -275,7 +275,7 @@ def d22(spark, sf):
         p = S.label_by_rule(rule, panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(entity_rows())).withColumn("target_period_end", F.lead("period_end").over(entity_rows()))
         t = S.time_split(feature_table(p, ["is_distressed", "target_period_end"]).where("target_period_end is not null")).withColumn("y", F.col("is_distressed"))
         t = L.materialize(t)
-        m = L.fit_model("logistic", t.where("split = 'train'"), FEW, **QUICK["logistic"])
+        m = L.fit_model("logistic", t.where("split = 'train'"), FEW)
         one = L.score(m, t.where("split = 'test'"), ["y"]).withColumn("rule", F.lit(rule))
         out = one if out is None else out.unionByName(one)
     return M.rank_metrics(out, ["rule"])

@@ -177,3 +177,26 @@ def test_evaluation_reports_errors_and_goes_on(spark):
     finally:
         del L.TECHNIQUES["broken"]
     assert got.pop("broken").startswith("error: TypeError: ") and got == {"random_under": "ok"}
+
+
+def test_bootstrap_sums_do_not_depend_on_blocks(spark, monkeypatch):
+    from finstrata.operators import inference as N
+
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(400), 2)
+    p[::3] = 0.37  # a third of the rows have one score
+    df = spark.createDataFrame([(i, float(v), int(rng.random() < v)) for i, v in enumerate(p)], "row_id long, p double, y int").repartition(5)
+    run = lambda: {r["draw"]: r.asDict() for r in N.bootstrap_sums(df, "row_id", F.lit("g"), 0.5, 12, 7).collect()}
+    one = run()
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "FOLD", 5)
+    two = run()
+    weights = N.poisson_weights(np.arange(400), 12, 7)
+    y = np.array([r["y"] for r in df.orderBy("row_id").collect()])
+    for d in range(12):
+        w1, w0 = weights[:, d] * y, weights[:, d] * (1 - y)
+        auc = sum(w1[p == v].sum() * (w0[p < v].sum() + w0[p == v].sum() / 2) for v in np.unique(p))
+        ap = sum(w1[p == v].sum() / w1.sum() * w1[p >= v].sum() / (w1[p >= v].sum() + w0[p >= v].sum()) for v in np.unique(p) if w1[p == v].sum())
+        for got in (one[d], two[d]):
+            assert got["auc"] == pytest.approx(auc) and got["ap"] == pytest.approx(ap)
+            assert (got["tp"], got["fn"], got["fp"]) == (w1[p >= 0.5].sum(), w1[p < 0.5].sum(), w0[p >= 0.5].sum())
