@@ -10,6 +10,7 @@ from ..operators import models as L
 from ..operators import preprocess as Q
 from ..operators import samples as S
 from ..operators import validate as V
+from ..operators.leave_out import leave_one_entity_out
 from .features import samples2
 from .models import CLIP, table_of_samples
 from .profiles import auc_sql, sample_features
@@ -33,27 +34,22 @@ def n1(spark, sf):
     return V.pooled_and_fold(oof, by=["model"])
 
 
-def with_region(spark, sf):
-    """Samples with the region of their supplier: few groups, every row used."""
-    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), "s_nationkey")
-    nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("region"))
-    return table_of_samples(spark, sf).join(sup.join(nat, "s_nationkey").drop("s_nationkey"), "entity")
-
-
-def _loco(spark, sf, cols):
-    t = L.materialize(with_region(spark, sf))
-    groups = [r["region"] for r in t.select("region").distinct().orderBy("region").collect()]
-    return V.group_metrics(V.leave_one_group_out(t, groups, "logistic", cols, group="region"), ["held_out"])
+def _left_out(spark, sf):
+    """Every entity in turn is held out: one row per entity, metrics on its validation and test rows."""
+    scored = L.materialize(leave_one_entity_out(table_of_samples(spark, sf), FEATURES))
+    m = V.group_metrics(scored.where("not skipped"), ["entity"]).drop("n_test")
+    heads = scored.groupBy("entity").agg(F.first("skipped").alias("skipped"), F.first("n_test").alias("n_test"))
+    return heads.join(m, "entity", "left").withColumnRenamed("entity", "held_out")
 
 
 @query("n2_leave_one_group_out")
 def n2(spark, sf):
-    return _loco(spark, sf, FEW)
+    return _left_out(spark, sf)
 
 
 @query("n29_leave_one_group_out_auroc")
 def n29(spark, sf):
-    return _loco(spark, sf, FEATURE_GROUPS["path"]).select("held_out", "auroc")
+    return _left_out(spark, sf).where("not skipped and single_class = 0").select("held_out", "auroc")
 
 
 SQL["wf"] = (["f_split"], """SELECT k AS fold, (SELECT target_period_end FROM (SELECT target_period_end, row_number() OVER (ORDER BY target_period_end, sample_id) - 1 AS pos FROM f_split) WHERE pos = least(k * n // 5, n - 1)) AS cut,
