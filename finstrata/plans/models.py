@@ -14,6 +14,7 @@ from ..operators import preprocess as Q
 from ..operators import profiles as P
 from ..operators import samples as S
 from ..operators.validate import stratified_holdout
+from ..sources.landing import new_folder
 from .profiles import auc_sql, sample_features
 from .registry import query
 from .views import SQL, panel, scores_long, vectors
@@ -94,11 +95,12 @@ for _n in L.HYPERPARAMS:
 
 @query("b9_model_with_metadata")
 def b9(spark, sf):
-    """Fit, then score with the stages reordered to the stored feature order (saving and loading is covered by the tests)."""
+    """Fit, save with feature order and threshold, load, score with what was loaded."""
     t = L.materialize(table_of_samples(spark, sf))
-    order = list(reversed(FEATURES))
-    model = L.fit_model("logistic", t.where("split = 'train'"), order)
-    return M.rank_metrics(L.score(model, t, ["split", "y"]), ["split"])
+    path = new_folder(spark, "model")
+    L.save_model(L.fit_model("logistic", t.where("split = 'train'"), list(reversed(FEATURES))), path, list(reversed(FEATURES)), 0.5)
+    model, order, threshold = L.load_model(spark, path)
+    return M.rank_metrics(L.score(model, t, ["split", "y"]), ["split"]).withColumns({"n_features": F.lit(len(order)), "threshold": F.lit(threshold)})
 
 
 @query("l6_positive_probability")
@@ -150,13 +152,13 @@ def l11(spark, sf):
 
 @query("l12_train_all_select_best")
 def l12(spark, sf):
+    """All families, measured on validation; the winner is saved, loaded again and scores the test rows."""
     t = L.materialize(table_of_samples(spark, sf))
-    out = None
-    for n in L.HYPERPARAMS:
-        model = L.fit_model(n, t.where("split = 'train'"), FEATURES)
-        one = L.score(model, t.where("split = 'validation'"), ["y"]).withColumn("model", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return P.select_model(M.evaluate(out, ["model"]), [("average_precision", True), ("best_f1", True), ("auroc", True)])
+    path = new_folder(spark, "winner")
+    table = L.train_all(t.where("split = 'train'"), t.where("split = 'validation'"), FEATURES, path)
+    model, _, threshold = L.load_model(spark, path)
+    test = M.evaluate(L.score(model, t.where("split = 'test'"), ["y"]), operating=threshold).select(F.lit(1).alias("kept"), F.col("auroc").alias("test_auroc"), F.col("average_precision").alias("test_average_precision"))
+    return table.join(test, "kept", "left")
 
 
 @query("l13_calibrated_linear_svm")
