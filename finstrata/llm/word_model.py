@@ -1,159 +1,240 @@
-"""A modified Kneser-Ney model of word pairs over all documents, kept as a table and joined: nothing of it is collected or broadcast.
+"""A modified Kneser-Ney model of word pairs over all documents, counted, asked and answered in sorted arrays: no row per pair, no join on a word.
 
-A pair is a word and the word before it in its text (``START`` for the first), both as 64-bit hashes, case kept. Tasks count the pairs of the texts they
-read, Spark adds them up. Below the pairs lie the words by the number of different words before them, and below those the words as the character
-model spells them, so that every word has a probability. The order of words matters, and no script is folded.
+Words that make up 2^-16 of the corpus or more have a number each (at most 2^16 of them, whatever the corpus); all rarer ones share the number ``RARE``,
+since how they are spelled is the character model's concern. A pair is a word's number after that of the word before it (``START`` for the first).
+Everything about single numbers is bounded and may be collected; the pairs, up to 2^32, grow with the corpus and stay in Spark.
 
-Texts are scored by pieces: the pairs of a piece of the documents, one entry for each text and pair, are dealt to buckets by pair; a bucket looks them
-up in its part of the table and gives one sum for each text back. Buckets grow in number with the table, not in size.
+Texts are numbered once and kept as pieces of ``PIECE`` words. A piece asks: one row for each bucket with its different pairs, sorted, and how often it has
+them. A bucket adds up what all pieces have and answers each piece in the order it was asked. A piece then scores its texts.
+
+A text is scored by what the rest of the corpus holds: its own pairs are taken off the counts first, so a pair that no other text has falls back on the
+word alone. The discounts and the weight of the fall-back stay those of the whole corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from finstrata.llm.kneser_ney import Model, discounts, distinct_words, grams_of
+from finstrata.llm.kneser_ney import discounts
 from finstrata.llm.lean import lean
-from finstrata.llm.rows import keyed
-from finstrata.llm.words import BLANK_CUT_CASED, Words, chunks, mix, words_of
+from finstrata.llm.words import BLANK_CUT_CASED, chunks, mix, words_of
 from finstrata.session import ship
 from finstrata.sources.landing import land
 
-START = np.uint64(0)
-HELD = 1_000_000  # pairs that a task gathers before it adds them up
-BUCKET = 500_000  # pairs of the table in a bucket
-_PRIME = np.uint64(0xD6E8FEB86659FD93)
+SHARE = 2.0**-16  # of all words: so common a word has a number of its own
+RARE = 0
+START = 1
+BITS = 17  # of a number: 2^16 words, RARE and START
+PIECE = 2_000_000  # words of a piece, and different words held by a counting task
+BUCKET = 8_000_000  # words of the corpus for each bucket
+_LOW = np.uint64((1 << BITS) - 1)
 
 
-def before(w: Words) -> np.ndarray:
-    """Hash of the word before each word in its text."""
-    out = np.empty_like(w.hashes)
-    out[1:] = w.hashes[:-1]
-    out[w.rows[:-1][np.diff(w.rows) > 0]] = START
-    return out
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: what is always 0 takes no room."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def pair_hash(first: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return first << np.uint64(1) ^ word
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def spelled(w: Words, model: Model) -> np.ndarray:
-    """Log probability of every word by its characters, its end included."""
-    words, which, _ = distinct_words(w)
-    grams, sizes = grams_of(words)
-    some, back = np.unique(grams, return_inverse=True)
-    return np.add.reduceat(model.log_p(some)[back].astype(np.float64), np.cumsum(sizes) - sizes)[which]
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    first, word, c, log_p = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((word, first))
-    first, word, c, log_p = first[order], word[order], c[order], log_p[order]
-    at = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (word[1:] != word[:-1])]))
-    return first[at], word[at], np.add.reduceat(c, at), log_p[at]
+def _dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has some of the sorted keys, with their places in order."""
+    bucket = mix(keys) % np.uint64(n)
+    order = np.argsort(bucket, kind="stable")
+    some, at = np.unique(bucket[order], return_index=True)
+    yield from zip(some.tolist(), np.split(order, at[1:]))
 
 
-def count(docs: DataFrame, model: Model) -> DataFrame:
-    """before, word, c, spelled: every pair of words of every text."""
-    ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Vocabulary:
+    hashes: np.ndarray  # sorted
+    numbers: np.ndarray  # of each hash; small for common words
+    n_words: int  # in the corpus
 
-    def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        first, word, c, log_p = _added(parts)
-        return pa.record_batch([pa.array(first.view(np.int64)), pa.array(word.view(np.int64)), pa.array(c), pa.array(log_p)], names=["before", "word", "c", "spelled"])
+    def __len__(self) -> int:
+        return START + 1 + len(self.hashes)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in lean(batches):
-            for _, texts in chunks(batch["text"]):
-                w = words_of(texts, BLANK_CUT_CASED)
-                if len(w.starts):
-                    held.append(_added([(before(w), w.hashes, np.ones(len(w.hashes), np.int64), spelled(w, sent.value))]))
-            if sum(len(x[0]) for x in held) > HELD:
-                yield rows(held)
-                held = []
-        if held:
-            yield rows(held)
-
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "before bigint, word bigint, c bigint, spelled double")
-    return counted.groupBy("before", "word").agg(F.sum("c").alias("c"), F.max("spelled").alias("spelled"))
-
-
-def _discount(table: DataFrame):
-    times = {r["c"]: r["n"] for r in table.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    d = discounts([times.get(k, 0) for k in range(1, 5)])
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-
-
-def fit(docs: DataFrame, model: Model) -> DataFrame:
-    """before, word, pair, log_p of every pair that occurs."""
-    pairs = land(count(docs, model), "word-pairs")
-    words = land(pairs.groupBy("word").agg(F.count("*").alias("c"), F.max("spelled").alias("spelled")), "words")
-    d = _discount(words)
-    total, taken = words.agg(F.sum("c"), F.sum(d)).first()
-    single = words.select("word", ((F.col("c") - d + (taken or 0.0) * F.exp("spelled")) / (total or 1)).alias("p_word"))
-    d = _discount(pairs)
-    contexts = pairs.groupBy("before").agg(F.sum("c").alias("total"), F.sum(d).alias("taken"))
-    p = (F.col("c") - d + F.col("taken") * F.col("p_word")) / F.col("total")
-    made = pairs.select("before", "word", "c").join(contexts, "before").join(single, "word")
-    pair = F.shiftleft("before", 1).bitwiseXOR(F.col("word"))
-    return land(made.select("before", "word", pair.alias("pair"), F.log(p).cast("float").alias("log_p")), "word-model")
-
-
-def scores(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """_did, _tid (names of the row), word_log_p: the sum of log probabilities of the text's words, each after the word before it."""
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), RARE, np.uint32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], RARE).astype(np.uint32)
+
+
+def vocabulary(docs: DataFrame, share: float = SHARE) -> Vocabulary:
     spark = docs.sparkSession
     ship(spark)
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BUCKET + 1)
-    names = ["bucket", "piece", "pairs", "texts", "times", "n_texts", "dids", "tids"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        got = [(b, pack(np.diff(keys[i], prepend=np.uint64(0))), pack(counts[i])) for b, i in _dealt(keys, n)]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in lean(batches):
-            dids, tids = batch["_did"].to_numpy(), batch["_tid"].to_numpy()
-            for at, texts in chunks(batch["text"]):
-                did, tid = dids[at : at + len(texts)], tids[at : at + len(texts)]
-                # a name by content: the same when the task runs again; pieces with equal rows are told by their number
-                name = int((mix(mix(did.view(np.uint64)) + tid.view(np.uint64)) * mix(np.arange(1, len(did) + 1, dtype=np.uint64))).sum().view(np.int64))
-                w = words_of(texts, BLANK_CUT_CASED)
-                pair = pair_hash(before(w), w.hashes)
-                text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(w.rows))
-                bucket = (pair.view(np.int64) % n_buckets).astype(np.int32)
-                order = np.lexsort((pair, text, bucket))
-                pair, text, bucket = pair[order], text[order], bucket[order]
-                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])) if len(pair) else np.empty(0, np.int64)
-                times = np.diff(np.append(first, len(pair))).astype(np.int32)
-                pair, text, bucket = pair[first], text[first], bucket[first]
-                home = name % n_buckets
-                some = np.union1d(bucket, [home])
-                a, b = np.searchsorted(bucket, some), np.searchsorted(bucket, some, "right")
-                parts = [[x[i:j].tobytes() for i, j in zip(a, b)] for x in (pair, text, times)]
-                own = [[x.tobytes() if k == home else None for k in some] for x in (did, tid)]
-                columns = [pa.array(some.astype(np.int32)), pa.array([name] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in parts], pa.array([len(texts)] * len(some), pa.int32()), *[pa.array(x, pa.binary()) for x in own]]
-                yield pa.record_batch(columns, names=names)
-
-    def look_up(dealt: pa.Table, table: pa.Table) -> pa.Table:
-        keys, values = table["pair"].to_numpy(), table["log_p"].to_numpy().astype(np.float64)
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        sums = []
-        for row in dealt.select(["pairs", "texts", "times", "n_texts"]).to_pylist():
-            pair, text, times = np.frombuffer(row["pairs"], np.int64), np.frombuffer(row["texts"], np.int32), np.frombuffer(row["times"], np.int32)
-            log_p = values[np.searchsorted(keys, pair)] if len(pair) else np.empty(0)
-            sums.append(np.bincount(text, log_p * times, row["n_texts"]).tobytes())
-        return pa.table([dealt["piece"], pa.array(sums, pa.binary()), dealt["dids"], dealt["tids"]], names=["piece", "sums", "dids", "tids"])
+            for _, texts in chunks(batch["text"]):
+                more = np.unique(words_of(texts, BLANK_CUT_CASED).hashes, return_counts=True)
+                keys, counts = _added(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
+                if len(keys) > PIECE:
+                    yield rows(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield rows(keys, counts)
 
     def unite(part: pa.Table) -> pa.Table:
-        own = [(a, b) for a, b in zip(part["dids"].to_pylist(), part["tids"].to_pylist()) if a is not None]
-        total = np.sum([np.frombuffer(x, np.float64) for x in part["sums"].to_pylist()], axis=0) / len(own)
-        return pa.table([pa.array(np.frombuffer(own[0][0], np.int64)), pa.array(np.frombuffer(own[0][1], np.int64)), pa.array(np.round(total, 6))], names=["_did", "_tid", "word_log_p"])
-
-    rows = keyed(docs).select("_did", "_tid", F.col("text").cast("string").alias("text"))
-    dealt = rows.mapInArrow(deal, "bucket int, piece bigint, pairs binary, texts binary, times binary, n_texts int, dids binary, tids binary")
-    table = pairs.select(F.pmod("pair", F.lit(n_buckets)).cast("int").alias("bucket"), "pair", "log_p")
-    sums = dealt.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, "piece bigint, sums binary, dids binary, tids binary")
-    united = sums.groupBy("piece").applyInArrow(unite, "_did bigint, _tid bigint, word_log_p double")
-    return united.groupBy("_did", "_tid").agg(F.max("word_log_p").alias("word_log_p"))
+        """The bucket's number of words, and those of its words that may be common enough: they are so in the bucket."""
+        keys, counts = _added(
+            np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in part["words"].to_pylist()]), np.concatenate([unpack(x) for x in part["counts"].to_pylist()]).astype(np.int64)
+        )
+        some = counts >= share * counts.sum()
+        return pa.table([pa.array([None, *keys[some].view(np.int64).tolist()], pa.int64()), pa.array([int(counts.sum()), *counts[some].tolist()], pa.int64())], names=["word", "c"])
+
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "bucket int, words binary, counts binary")
+    table = land(dealt.groupBy("bucket").applyInArrow(unite, "word bigint, c bigint"), "words")
+    total = table.where("word is null").agg(F.sum("c")).first()[0] or 0
+    common = table.where(F.col("word").isNotNull() & (F.col("c") >= share * total)).toArrow()  # at most 1 / share rows
+    hashes, counts = common["word"].to_numpy().view(np.uint64), common["c"].to_numpy()
+    rank = np.empty(len(hashes), np.uint32)
+    rank[np.lexsort((hashes, -counts))] = np.arange(START + 1, START + 1 + len(hashes))
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], rank[order], total)
+
+
+def piece_of(dids: np.ndarray, tids: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[int, bytes]:
+    """(name, payload): the name depends on the rows alone, so that it is the same when a task runs again."""
+    name = (mix(mix(dids.view(np.uint64)) + tids.view(np.uint64)) * mix(np.arange(1, len(dids) + 1, dtype=np.uint64))).sum(dtype=np.uint64)
+    parts = [pack(x) for x in (dids.view(np.uint64), tids.view(np.uint64), sizes, numbers)]
+    return int(name.view(np.int64)), b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _opened(payload: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(payload):
+        size = int.from_bytes(payload[at : at + 8], "little")
+        out.append(unpack(payload[at + 8 : at + 8 + size]))
+        at += 8 + size
+    return out
+
+
+def _pairs(sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair of every word, text of every word)"""
+    earlier = np.concatenate([[np.uint64(START)], numbers[:-1]])[: len(numbers)]
+    places = np.cumsum(sizes.astype(np.int64)) - sizes.astype(np.int64)
+    earlier[places[sizes > 0]] = START
+    return earlier << np.uint64(BITS) | numbers, np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+
+
+def buckets(docs: DataFrame, known: Vocabulary) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known.n_words // BUCKET + 1)
+
+
+def answers(pieces: DataFrame, n: int) -> DataFrame:
+    """From piece, payload: for every piece and bucket the corpus's counts of the pairs it asked for, and for every bucket (piece null) its figures:
+    the number of pairs seen once to four times; for each number the pairs it begins (once, twice, more often, occurrences) and those it ends."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lean(batches, 1):
+            _, _, sizes, numbers = _opened(batch["payload"][0].as_py())
+            keys, counts = np.unique(_pairs(sizes, numbers)[0], return_counts=True)
+            got = [(b, batch["piece"][0].as_py(), pack(np.diff(keys[i], prepend=np.uint64(0))), pack(counts[i])) for b, i in _dealt(keys, n)]
+            if got:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "piece", "pairs", "counts"])
+
+    def answer(part: pa.Table) -> pa.Table:
+        asked = [np.cumsum(unpack(x), dtype=np.uint64) for x in part["pairs"].to_pylist()]
+        had = [unpack(x).astype(np.int64) for x in part["counts"].to_pylist()]
+        keys, totals = _added(np.concatenate(asked), np.concatenate(had))
+        back = [pack(totals[np.searchsorted(keys, x)]) for x in asked]
+        first, last = keys >> np.uint64(BITS), keys & _LOW
+        begins, at = np.unique(first, return_inverse=True)
+        held = [np.bincount(at, w, len(begins)) for w in (totals == 1, totals == 2, totals > 2, totals)]
+        ends, of = np.unique(last, return_counts=True)
+        times = [int((totals == k).sum()) for k in range(1, 5)]
+        bucket = part["bucket"][0].as_py()
+        none = [None] * len(back)
+        return pa.table({
+            "bucket": pa.array([bucket] * (len(back) + 1), pa.int32()), "piece": pa.array([*part["piece"].to_pylist(), None], pa.int64()), "totals": pa.array([*back, None], pa.binary()),
+            "times": pa.array([*none, times], pa.list_(pa.int64())), "begins": pa.array([*none, [pack(x) for x in (begins, *held)]], pa.list_(pa.binary())), "ends": pa.array([*none, [pack(ends), pack(of)]], pa.list_(pa.binary())),
+        })
+
+    asked = pieces.mapInArrow(ask, "bucket int, piece bigint, pairs binary, counts binary")
+    return land(asked.groupBy("bucket").applyInArrow(answer, "bucket int, piece bigint, totals binary, times array<bigint>, begins array<binary>, ends array<binary>"), "pair-answers")
+
+
+@dataclass
+class Pairs:
+    """What is known of each number; the pairs themselves come with the answers."""
+
+    cut: np.ndarray  # discount of a pair seen 0, 1, 2, more often
+    total: np.ndarray  # occurrences as the word before
+    back_off: np.ndarray  # share of them taken by the discounts
+    p: np.ndarray  # probability of the number whatever comes before
+
+
+def fit(answered: DataFrame, size: int) -> Pairs:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["number", "once", "twice", "more", "total", "ends"]
+        for batch in lean(batches, 1):
+            begins, ends = [[unpack(x).astype(np.int64) for x in batch[c][0].as_py()] for c in ("begins", "ends")]
+            yield pa.record_batch([*map(pa.array, begins), pa.array(np.zeros(len(begins[0]), np.int64))], names=names)
+            zero = pa.array(np.zeros(len(ends[0]), np.int64))
+            yield pa.record_batch([pa.array(ends[0]), zero, zero, zero, zero, pa.array(ends[1])], names=names)
+
+    figures = answered.where("piece is null")
+    times = figures.agg(*[F.sum(F.col("times")[k]) for k in range(4)]).first()
+    sums = ["once", "twice", "more", "total", "ends"]
+    table = figures.select("begins", "ends").mapInArrow(spread, "number bigint, once bigint, twice bigint, more bigint, total bigint, ends bigint")
+    rows = table.groupBy("number").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()  # one for each number
+    once, twice, more, total, ends = np.zeros((5, size))
+    for to, name in zip((once, twice, more, total, ends), sums):
+        to[rows["number"].to_numpy()] = rows[name].to_numpy()
+    d = discounts([t or 0 for t in times])
+    e = np.array([0.0, *discounts([int((ends == k).sum()) for k in range(1, 5)])])[np.minimum(ends, 3).astype(int)]
+    p = (ends - e + e.sum() / size) / max(ends.sum(), 1)
+    return Pairs(np.array([0.0, *d]), total, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(total, 1), p)
+
+
+def scores(pieces: DataFrame, answered: DataFrame, model: Pairs, n: int) -> DataFrame:
+    """_did, _tid (names of the row), word_log_p: the sum of log probabilities of the numbers of the text's words, each after the one before it."""
+    sent = pieces.sparkSession.sparkContext.broadcast(model)
+
+    def score(own: pa.Table, got: pa.Table) -> pa.Table:
+        m, out = sent.value, []
+        totals_of = dict(zip(got["bucket"].to_pylist(), got["totals"].to_pylist()))
+        for payload in own["payload"].to_pylist():
+            dids, tids, sizes, numbers = _opened(payload)
+            pair, text = _pairs(sizes, numbers)
+            keys, at = np.unique(pair, return_inverse=True)
+            totals = np.zeros(len(keys), np.int64)
+            for b, i in _dealt(keys, n):
+                totals[i] = unpack(totals_of[b])
+            held, mine = np.unique(text * len(keys) + at, return_counts=True)  # each text's different pairs
+            text, at = np.divmod(held, max(len(keys), 1))
+            first, last = (keys[at] >> np.uint64(BITS)).astype(np.int64), (keys[at] & _LOW).astype(np.int64)
+            _, run = np.unique(text << BITS | first, return_inverse=True)
+            others = m.total[first] - np.bincount(run, mine)[run] if len(run) else np.empty(0)
+            rest = totals[at] - mine
+            p = m.back_off[first] * m.p[last] + (rest - m.cut[np.minimum(rest, 3)]) / np.maximum(others, 1)
+            log_p = np.log(np.where(others > 0, p, m.p[last]))
+            out.append([dids.view(np.int64), tids.view(np.int64), np.round(np.bincount(text, log_p * mine, len(sizes)), 6)])
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 3
+        return pa.table([pa.array(c).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["_did", "_tid", "word_log_p"])
+
+    sums = pieces.groupBy("piece").cogroup(answered.where("piece is not null").select("piece", "bucket", "totals").groupBy("piece")).applyInArrow(score, "_did bigint, _tid bigint, word_log_p double")
+    return sums.groupBy("_did", "_tid").agg(F.max("word_log_p").alias("word_log_p"))
