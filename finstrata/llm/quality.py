@@ -29,7 +29,7 @@ from finstrata.sources.landing import land
 MIN_WORDS = 50
 HIGH = 4.0
 LOW = 6.0
-WORD_LOW = 3.0
+WORD_LOW = 4.0
 FLOOR = 0.1
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)

@@ -7,8 +7,9 @@ Everything about single numbers is bounded and may be collected; the pairs, up t
 Texts are numbered once and kept as pieces of ``PIECE`` words. A piece asks: one row for each bucket with its different pairs, sorted, and how often it has
 them. A bucket adds up what all pieces have and answers each piece in the order it was asked. A piece then scores its texts.
 
-A text is scored by what the rest of the corpus holds: its own pairs are taken off the counts first, so a pair that no other text has falls back on the
-word alone. The discounts and the weight of the fall-back stay those of the whole corpus.
+A text is scored by the counts of the whole corpus, its own among them. That makes every text a little likelier than it is: by little in a large
+corpus, since numbered words occur often; in a small one by as much as texts are short. Taking a text's own counts off was tried: it made copies, which
+see each other's pairs, stand apart from single texts, and clean copies fell out of the band.
 """
 
 from __future__ import annotations
@@ -224,15 +225,9 @@ def scores(pieces: DataFrame, answered: DataFrame, model: Pairs, n: int) -> Data
             totals = np.zeros(len(keys), np.int64)
             for b, i in _dealt(keys, n):
                 totals[i] = unpack(totals_of[b])
-            held, mine = np.unique(text * len(keys) + at, return_counts=True)  # each text's different pairs
-            text, at = np.divmod(held, max(len(keys), 1))
-            first, last = (keys[at] >> np.uint64(BITS)).astype(np.int64), (keys[at] & _LOW).astype(np.int64)
-            _, run = np.unique(text << BITS | first, return_inverse=True)
-            others = m.total[first] - np.bincount(run, mine)[run] if len(run) else np.empty(0)
-            rest = totals[at] - mine
-            p = m.back_off[first] * m.p[last] + (rest - m.cut[np.minimum(rest, 3)]) / np.maximum(others, 1)
-            log_p = np.log(np.where(others > 0, p, m.p[last]))
-            out.append([dids.view(np.int64), tids.view(np.int64), np.round(np.bincount(text, log_p * mine, len(sizes)), 6)])
+            first, last = (keys >> np.uint64(BITS)).astype(np.int64), (keys & _LOW).astype(np.int64)
+            log_p = np.log(m.back_off[first] * m.p[last] + (totals - m.cut[np.minimum(totals, 3)]) / np.maximum(m.total[first], 1))
+            out.append([dids.view(np.int64), tids.view(np.int64), np.round(np.bincount(text, log_p[at], len(sizes)), 6)])
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 3
         return pa.table([pa.array(c).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["_did", "_tid", "word_log_p"])
 

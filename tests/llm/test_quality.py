@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from finstrata.llm import kneser_ney, quality, word_model
 from finstrata.llm.rows import NO_ID
+from finstrata.sources.landing import land
 
 SCHEMA = "doc_id bigint, lang string, text string, kept int, gram string"
 
@@ -87,36 +88,88 @@ def test_model_is_modified_kneser_ney(spark):
     assert math.isclose(np.exp(model.log_p(context)).sum(), 1, rel_tol=1e-4)
 
 
+def word_scores(docs, known, n):
+    model = kneser_ney.fit(docs)
+    measured = land(quality.measure(docs, model, known), "t")
+    pieces = measured.where("piece is not null").select("piece", "payload")
+    answered = word_model.answers(pieces, n)
+    return {(r._did, r._tid): r.word_log_p for r in word_model.scores(pieces, answered, word_model.fit(answered, len(known)), n).collect()}, pieces.count()
+
+
+def direct_scores(texts, share):
+    """Every text's sum of log probabilities, the numbers computed one by one from the definition."""
+    times = Counter(w for t in texts for w in t)
+    common = {w for w, c in times.items() if c >= share * sum(times.values())}
+    coded = [[w if w in common else "" for w in t] for t in texts]
+    pairs = Counter(p for t in coded for p in zip([None, *t], t))
+    size = len(common) + 2  # with the rare words and the start
+    cut = lambda c: dict(zip((0, 1, 2, 3), (0.0, *kneser_ney.discounts([Counter(c.values())[k] for k in range(1, 5)]))))
+    ends = Counter(w for _, w in pairs)
+    d1, d2 = cut(ends), cut(pairs)
+    spared = sum(d1[min(c, 3)] for c in ends.values())
+    p1 = {w: (ends[w] - d1[min(ends[w], 3)] + spared / size) / len(pairs) for w in ends}
+    total, taken = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        total[a] += c
+        taken[a] += d2[min(c, 3)]
+    out = []
+    for t in coded:
+        sum_ = 0.0
+        for a, w in zip([None, *t], t):
+            sum_ += math.log((pairs[a, w] - d2[min(pairs[a, w], 3)] + taken[a] * p1[w]) / total[a])
+        out.append(sum_)
+    return out, size
+
+
+def test_word_scores(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    line = "the cat sat on the mat and the dog lay by the door".split()
+    lists = [line, line, sorted(line), ["the"] * 90, ["once"], [], line[:1], *[[f"w{int(k)}" for k in rng.zipf(1.5, 60)] for _ in range(40)]]
+    docs = spark.createDataFrame([(None if i == 2 else i, "en", " ".join(t), 1, "") for i, t in enumerate(lists)] + [(99, "en", None, 1, "")], SCHEMA).repartition(3, "doc_id")
+    for share, n in ((0.0, 3), (0.01, 1), (0.5, 7)):
+        known = word_model.vocabulary(docs, share)
+        want, size = direct_scores(lists, share)
+        assert len(known) == size and known.n_words == sum(map(len, lists))
+        got, n_pieces = word_scores(docs, known, n)
+        by_id = {did: v for (did, _), v in got.items()}
+        assert all(math.isclose(by_id[NO_ID if i == 2 else i], w, rel_tol=1e-5, abs_tol=1e-5) for i, w in enumerate(want)) and by_id[99] == 0 and len(by_id) == len(lists) + 1
+    assert by_id[0] == by_id[1]
+    full = word_model.vocabulary(docs, 0.0)
+    one = word_scores(docs, full, 2)[0]
+    monkeypatch.setattr(word_model, "PIECE", 100)  # the same however the texts are cut into pieces, and in however many buckets
+    many, n_pieces = word_scores(docs.repartition(2), full, 5)
+    assert n_pieces >= 2 and many.keys() == one.keys() and all(math.isclose(many[k], one[k], abs_tol=2e-6) for k in one)
+    empty = docs.limit(0)
+    none = word_model.vocabulary(empty)
+    assert len(none) == 2 and word_scores(empty, none, 2) == ({}, 0)
+
+
 def test_word_order_counts(spark):
     line = "the cat sat on the mat and the dog lay by the door".split()
-    shuffled = sorted(line, key=lambda x: (len(x), x[::-1]))
-    docs = spark.createDataFrame([(i, "en", " ".join(line), 1, "") for i in range(4)] + [(None, "en", " ".join(shuffled), 1, ""), (None, "en", " ".join(shuffled), 1, ""), (9, "en", "", 1, ""), (10, "en", None, 1, "")], SCHEMA)
-    model = kneser_ney.fit(docs)
-    table = word_model.fit(docs, model)
-    counted = Counter()
-    for text in [line] * 4 + [shuffled] * 2:
-        counted.update(zip([None, *text], text))
-    spell = {w: model.log_p(kneser_ney.grams_of([w.encode()])[0]).sum() for w in line}
-    kinds = Counter(w for _, w in counted)
-
-    def cuts(c):
-        n = [Counter(c.values())[k] for k in range(1, 5)]
-        d = kneser_ney.discounts(n)
-        return {k: d[min(v, 3) - 1] for k, v in c.items()}
-
-    d1, d2 = cuts(kinds), cuts(counted)
-    p1 = {w: (kinds[w] - d1[w] + sum(d1.values()) * math.exp(spell[w])) / len(counted) for w in kinds}
-
-    def p2(a, w):
-        same = [k for k in counted if k[0] == a]
-        return (counted[a, w] - d2[a, w] + sum(d2[k] for k in same) * p1[w]) / sum(counted[k] for k in same)
-
-    assert table.count() == len(counted)
-    want = {name: sum(math.log(p2(a, w)) for a, w in zip([None, *text], text)) for name, text in (("line", line), ("shuffled", shuffled))}
-    got = {r._did: r.word_log_p for r in word_model.scores(docs, table).collect()}
-    assert abs(want["line"] - want["shuffled"]) > 1
-    assert all(math.isclose(got[i], want["line"], rel_tol=1e-5) for i in range(4)) and math.isclose(got[NO_ID], want["shuffled"], rel_tol=1e-5)
-    assert got[9] == got[10] == 0
+    texts = [line] * 4 + [sorted(line, key=lambda x: (len(x), x[::-1]))] * 2  # repeated rows, two of them without an id
+    docs = spark.createDataFrame([(None if i > 3 else i, "en", " ".join(t), 1, "") for i, t in enumerate(texts)], SCHEMA)
+    got, _ = word_scores(docs, word_model.vocabulary(docs), 3)
+    want, _ = direct_scores(texts, word_model.SHARE)
+    assert len(got) == 5 and abs(want[0] - want[4]) > 1
+    assert all(math.isclose(v, want[4 if did == NO_ID else 0], rel_tol=1e-5) for (did, _), v in got.items())
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(5)
+    for a in (np.empty(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)):
+        assert (word_model.unpack(word_model.pack(a)) == a).all()
+
+
+def test_bands_against_numpy(spark, sf):
+    """``kept`` again, from the scores alone: quartiles of the texts that pass the base rules, to a thousandth, by language."""
+    got = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    judged = got[~got.base_failed]
+    for _, g in judged.groupby("_lang"):
+        inside = np.ones(len(g), bool)
+        for c, low in (("char_log_perplexity", quality.LOW), ("log_perplexity", quality.WORD_LOW)):
+            q0, q1, q2 = [sorted(np.floor(g[c] * 1000) / 1000)[math.ceil(s * len(g)) - 1] for s in (0.25, 0.5, 0.75)]
+            inside &= g[c].between(q1 - max(low * (q2 - q0), quality.FLOOR), q1 + max(quality.HIGH * (q2 - q0), quality.FLOOR)).to_numpy()
+        assert (inside == g.kept.to_numpy()).all()
 
 
 def test_most_labelled_junk_goes(spark, sf):
