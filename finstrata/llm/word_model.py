@@ -83,8 +83,9 @@ def vocabulary(docs: DataFrame, share: float = SHARE) -> Vocabulary:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        got = [(b, pack(np.diff(keys[i], prepend=np.uint64(0))), pack(counts[i])) for b, i in _dealt(keys, n)]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "words", "counts"])
+        got = [(b, pack(np.diff(keys[i], prepend=np.uint64(0))), pack(counts[i]), int(counts[i].sum())) for b, i in _dealt(keys, n)]
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*got), types)], names=["bucket", "words", "counts", "n_words"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -99,17 +100,17 @@ def vocabulary(docs: DataFrame, share: float = SHARE) -> Vocabulary:
             yield rows(keys, counts)
 
     def unite(part: pa.Table) -> pa.Table:
-        """The bucket's number of words, and those of its words that may be common enough: they are so in the bucket."""
+        """The bucket's words that are common enough."""
         keys, counts = _added(
             np.concatenate([np.cumsum(unpack(x), dtype=np.uint64) for x in part["words"].to_pylist()]), np.concatenate([unpack(x) for x in part["counts"].to_pylist()]).astype(np.int64)
         )
-        some = counts >= share * counts.sum()
-        return pa.table([pa.array([None, *keys[some].view(np.int64).tolist()], pa.int64()), pa.array([int(counts.sum()), *counts[some].tolist()], pa.int64())], names=["word", "c"])
+        some = counts >= share * total
+        return pa.table([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["word", "c"])
 
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "bucket int, words binary, counts binary")
-    table = land(dealt.groupBy("bucket").applyInArrow(unite, "word bigint, c bigint"), "words")
-    total = table.where("word is null").agg(F.sum("c")).first()[0] or 0
-    common = table.where(F.col("word").isNotNull() & (F.col("c") >= share * total)).toArrow()  # at most 1 / share rows
+    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "bucket int, words binary, counts binary, n_words bigint")
+    dealt = land(dealt, "word-counts")  # their sum decides what is common
+    total = dealt.agg(F.sum("n_words")).first()[0] or 0
+    common = dealt.groupBy("bucket").applyInArrow(unite, "word bigint, c bigint").toArrow()  # at most 1 / share rows
     hashes, counts = common["word"].to_numpy().view(np.uint64), common["c"].to_numpy()
     rank = np.empty(len(hashes), np.uint32)
     rank[np.lexsort((hashes, -counts))] = np.arange(START + 1, START + 1 + len(hashes))
