@@ -1,25 +1,31 @@
-"""Exact k-nearest-neighbour join in two pruned passes.
+"""Exact k-nearest-neighbour join over two levels of pivots.
 
-1. A bounded set of pivots (a hash sample of the base) splits the space; every row goes to its nearest pivot's cell.
+1. About sqrt(n) pivots, a hash sample of the base, split the space; about sqrt(pivots) of them are centres of groups of pivots. A row goes to the
+   nearest group, then to the group's nearest pivot: 2 * n^(1/4) distances a row. The assignment need not be the nearest of all pivots, because
+   what is pruned by are the radii measured afterwards.
 2. Each query searches the nearest cells that together hold enough rows; the k-th distance found bounds its radius.
-3. Only cells that the triangle inequality cannot rule out within that radius are searched as well.
+3. Only cells that the triangle inequality cannot rule out within that radius, group first, are searched as well.
 
-Large cells are cut into chunks on both sides, so a cell with a third of all rows is many tasks. A task sees one chunk of
-queries and one chunk of base rows as arrays and returns at most k candidates per query: pairs are never rows.
+Tables of all sizes take this path. Large cells are cut into chunks on both sides, so a cell with a third of all rows is many tasks. A task sees
+one chunk of queries and one chunk of base rows as arrays and returns at most k candidates per query: pairs are never rows. The best k of a
+query are a ranking limited before and after the exchange, so no list of candidates is gathered.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.draws import with_mix
+from ..sources.landing import land
 
-MAX_PIVOTS, LOTS = 256, 64
+MAX_PIVOTS, LEAST_CELL = 1 << 16, 256
+SLACK = 1e-12  # rounding of distances
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,10 +37,81 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Pivots:
+    """Pivots in the order of their groups: group g holds the pivots first[g] to first[g + 1]."""
+
+    groups: np.ndarray
+    pivots: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> Pivots:
+        heads = points[:max(1, math.isqrt(len(points)))]
+        home = _distances(points, heads).argmin(axis=1)
+        used, sizes = np.unique(home, return_counts=True)
+        return cls(heads[used], points[np.argsort(home, kind="stable")], np.append(0, sizes.cumsum()))
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's cell, its distance to the cell's pivot and to the group's centre."""
+        far = _distances(x, self.groups)
+        group = far.argmin(axis=1)
+        cell, near = np.empty(len(x), np.int64), np.empty(len(x))
+        for g in np.unique(group):
+            rows = np.flatnonzero(group == g)
+            d = _distances(x[rows], self.pivots[self.first[g]:self.first[g + 1]])
+            cell[rows], near[rows] = self.first[g] + d.argmin(axis=1), d.min(axis=1)
+        return cell, near, far[np.arange(len(x)), group]
+
+    def cells_of(self, groups: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.first[g], self.first[g + 1]) for g in groups]) if len(groups) else np.empty(0, np.int64)
+
+
+@dataclass
+class Cells:
+    """Rows and radius of every cell, and of every group."""
+
+    at: Pivots
+    sizes: np.ndarray
+    radii: np.ndarray
+    group_sizes: np.ndarray
+    group_radii: np.ndarray
+
+    @classmethod
+    def of(cls, at: Pivots, rows: list) -> Cells:
+        sizes, radii, reach = np.zeros(len(at.pivots), np.int64), np.zeros(len(at.pivots)), np.zeros(len(at.pivots))
+        for r in rows:
+            sizes[r["cell"]], radii[r["cell"]], reach[r["cell"]] = r["n"], r["near"], r["far"]
+        return cls(at, sizes, radii, np.add.reduceat(sizes, at.first[:-1]), np.maximum.reduceat(reach, at.first[:-1]))
+
+    def nearest_to(self, x: np.ndarray, need: int) -> list[np.ndarray]:
+        """For each row the closest cells that hold ``need`` rows together (all if there are fewer), taken from the closest groups that do."""
+        far = _distances(x, self.at.groups)
+        out = []
+        for row, d in zip(x, far):
+            order = np.argsort(d, kind="stable")
+            groups = order[:int(np.searchsorted(self.group_sizes[order].cumsum(), need)) + 1]
+            cells = self.at.cells_of(groups)
+            cells = cells[self.sizes[cells] > 0]
+            cells = cells[np.argsort(_distances(row[None, :], self.at.pivots[cells])[0], kind="stable")]
+            out.append(cells[:int(np.searchsorted(self.sizes[cells].cumsum(), need)) + 1])
+        return out
+
+    def within(self, x: np.ndarray, limits: np.ndarray) -> list[np.ndarray]:
+        """For each row the cells that may hold a row at most ``limit`` away."""
+        far = _distances(x, self.at.groups)
+        out = []
+        for row, d, limit in zip(x, far, limits):
+            cells = self.at.cells_of(np.flatnonzero((self.group_sizes > 0) & (d * (1 - SLACK) - self.group_radii <= limit * (1 + SLACK))))
+            near = _distances(row[None, :], self.at.pivots[cells])[0]
+            out.append(cells[(self.sizes[cells] > 0) & (near * (1 - SLACK) - self.radii[cells] <= limit * (1 + SLACK))])
+        return out
+
+
 def _search(k: int, exclude_self: bool):
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64"), "lot": pd.Series(dtype="int32")})
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "nid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
         right = right.sort_values("nid")
         q, n = left["qid"].to_numpy(), right["nid"].to_numpy()
         d = _distances(np.stack(left["qx"].to_numpy()), np.stack(right["x"].to_numpy()))
@@ -44,90 +121,66 @@ def _search(k: int, exclude_self: bool):
         best = np.take_along_axis(d, top, axis=1)
         keep = np.isfinite(best)
         rows = np.repeat(np.arange(len(q)), top.shape[1]).reshape(top.shape)
-        return pd.DataFrame({"qid": q[rows[keep]], "nid": n[top[keep]], "dist": best[keep], "lot": np.int32((key[0] * 31 + key[1]) % LOTS)})
+        return pd.DataFrame({"qid": q[rows[keep]], "nid": n[top[keep]], "dist": best[keep]})
 
     return run
 
 
-def _best(cands: DataFrame, k: int, wide: bool) -> DataFrame:
-    """Merge candidates per query. With many chunks (``wide``) a first merge inside ``LOTS`` groups of chunks keeps every list
-    short, so the last one holds at most k * LOTS candidates times the chunks of one lot."""
-    pair = F.struct("dist", "nid")
-    if not wide:
-        return cands.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("best"))
-    part = cands.groupBy("qid", "lot").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("b"))
-    return part.groupBy("qid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("best"))
+def _best(cands: DataFrame, k: int) -> DataFrame:
+    """The k closest candidates of each query, ties by id, with their rank. Spark limits the ranks in every task before it exchanges rows."""
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "nid"))
+    return cands.select("qid", "nid", "dist").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def nearest(query: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block: int = 4096, pivots: int | None = None) -> DataFrame:
     """(id, nid, rank, dist) for the k nearest base rows of every query row; both have ``id`` and ``x`` (array<double>).
 
-    Ties by id. The driver holds pivots and one count and radius per cell, at most 256 of each.
+    Ties by id. The result is landed: samplers read it several times. The driver holds the pivots with a count and two radii of each cell: sqrt(n) of them, at most ``MAX_PIVOTS``.
     """
     spark = query.sparkSession
     n = base.count()
-    p = pivots or min(MAX_PIVOTS, max(1, math.ceil(n / block)))
+    p = pivots or max(1, min(math.isqrt(n), n // LEAST_CELL, MAX_PIVOTS))
     picked = with_mix(base.select("id", "x"), "_h", F.col("id"), 23).orderBy("_h", "id").limit(p).collect()
     if not picked:
         return spark.createDataFrame([], "id long, nid long, rank int, dist double")
-    centers = np.array([r["x"] for r in picked], dtype=float)
-    shared = spark.sparkContext.broadcast(centers)
+    at = spark.sparkContext.broadcast(Pivots.of(np.array([r["x"] for r in picked], dtype=float)))
 
-    @pandas_udf("cell int, d double")
+    @pandas_udf("cell int, near double, far double")
     def home(x: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(x.to_numpy()), shared.value)
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype("int32"), "d": d[np.arange(len(c)), c]})
-
-    placed = base.select(F.col("id").alias("nid"), "x", home("x").alias("h")).select("nid", "x", "h.cell", "h.d")
-    stats = {r["cell"]: (r["n"], r["r"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect()}
-    sizes = np.array([stats.get(i, (0, 0.0))[0] for i in range(len(centers))])
-    radii = np.array([stats.get(i, (0, 0.0))[1] for i in range(len(centers))])
+        cell, near, far = at.value.home(np.stack(x.to_numpy()))
+        return pd.DataFrame({"cell": cell.astype("int32"), "near": near, "far": far})
+
+    placed = land(base.select(F.col("id").alias("nid"), "x", home("x").alias("h")).select("nid", "x", "h.*"), "placed-rows")
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("near"), F.max("far").alias("far")).collect()
+    cells = spark.sparkContext.broadcast(Cells.of(at.value, stats))
     need = k + (1 if exclude_self else 0)
 
     @pandas_udf("array<int>")
     def first_cells(x: pd.Series) -> pd.Series:
-        d = _distances(np.stack(x.to_numpy()), shared.value)
-        order = np.argsort(d, axis=1, kind="stable")
-        enough = np.cumsum(sizes[order], axis=1) >= need
-        stop = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, len(sizes))
-        return pd.Series([o[:s].astype("int32").tolist() for o, s in zip(order, stop)])
+        return pd.Series([c.astype("int32") for c in cells.value.nearest_to(np.stack(x.to_numpy()), need)])
 
     @pandas_udf("array<int>")
     def further_cells(x: pd.Series, seen: pd.Series, radius: pd.Series) -> pd.Series:
-        d = _distances(np.stack(x.to_numpy()), shared.value)
-        out = []
-        for row, s, r in zip(d, seen, radius):
-            limit = np.inf if r is None or np.isnan(r) else r * (1 + 1e-12)
-            ok = (sizes > 0) & (row - radii <= limit)
-            ok[list(s)] = False
-            out.append(np.flatnonzero(ok).astype("int32").tolist())
-        return pd.Series(out)
+        found = cells.value.within(np.stack(x.to_numpy()), radius.astype(float).fillna(np.inf).to_numpy())
+        return pd.Series([np.setdiff1d(c, s).astype("int32") for c, s in zip(found, seen)])
 
-    chunks = F.array(*[F.lit(int(max(1, math.ceil(s / block)))) for s in sizes])
-    right = with_mix(placed, "_m", F.col("nid"), 29).withColumn("chunk", (F.col("_m") % F.get(chunks, F.col("cell"))).cast("int"))
+    parts_of = lambda rows: F.ceil(rows / F.lit(block)).cast("int")
+    chunks = spark.createDataFrame([(r["cell"], r["n"]) for r in stats], "cell int, n long").select("cell", parts_of(F.col("n")).alias("chunks"))
 
     def search(asked: DataFrame) -> DataFrame:
-        """``asked``: qid, x, cell."""
-        load = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = F.array(*[F.lit(int(max(1, math.ceil(load.get(i, 0) / block)))) for i in range(len(sizes))])
-        left = with_mix(asked, "_m", F.col("qid"), 31).withColumn("part", (F.col("_m") % F.get(parts, F.col("cell"))).cast("int"))
-        left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("cell")) - 1)))
-        # fresh names: both sides may stem from the same table
-        left = left.select("qid", F.col("x").alias("qx"), F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.col("part").alias("qpart"))
-        base_side = right.where(F.col("cell").isin([int(c) for c in load])).withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1))).select("nid", "x", "cell", "chunk", "part")
-        return left.groupBy("qcell", "qchunk", "qpart").cogroup(base_side.groupBy("cell", "chunk", "part")).applyInPandas(_search(k, exclude_self), "qid long, nid long, dist double, lot int")
-
-    wide = int(sum(max(1, math.ceil(s / block)) for s in sizes)) > LOTS
-    q = query.select(F.col("id").alias("qid"), F.col("x").alias("x"))
-    if len(centers) == 1:
-        found = _best(search(q.withColumn("cell", F.lit(0))), k, wide)
-    else:
-        q = q.withColumn("seen", first_cells("x"))
-        near = search(q.select("qid", "x", F.explode("seen").alias("cell")))
-        bound = _best(near, k, wide).select("qid", F.when(F.size("best") >= k, F.element_at("best", -1)["dist"]).alias("radius"))
-        more = q.join(bound, "qid", "left").withColumn("cells", further_cells("x", "seen", "radius"))
-        found = _best(near.unionByName(search(more.select("qid", "x", F.explode("cells").alias("cell")))), k, wide)
-    return found.select(F.col("qid").alias("id"), F.posexplode("best").alias("pos", "b")).select(
-        "id", F.col("b.nid").alias("nid"), (F.col("pos") + 1).alias("rank"), F.col("b.dist").alias("dist"))
+        """``asked``: qid, qx, cell."""
+        load = asked.groupBy("cell").agg(parts_of(F.count(F.lit(1))).alias("parts"))
+        grid = F.broadcast(chunks.join(load, "cell"))  # one row a cell
+        cut = lambda side, key, seed, name, n: with_mix(side.join(grid, "cell"), "_m", F.col(key), seed).withColumn(name, (F.col("_m") % F.col(n)).cast("int"))
+        left = cut(asked, "qid", 31, "part", "parts").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        right = cut(placed.select("nid", "x", "cell"), "nid", 29, "chunk", "chunks").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        left = left.select("qid", "qx", F.col("cell").alias("qcell"), F.col("chunk").alias("qchunk"), F.col("part").alias("qpart"))
+        right = right.select("nid", "x", "cell", "chunk", "part")
+        return left.groupBy("qcell", "qchunk", "qpart").cogroup(right.groupBy("cell", "chunk", "part")).applyInPandas(_search(k, exclude_self), "qid long, nid long, dist double")
+
+    asked = land(query.select(F.col("id").alias("qid"), F.col("x").alias("qx"), first_cells("x").alias("seen")), "asked-rows")
+    near = land(_best(search(asked.select("qid", "qx", F.explode("seen").alias("cell"))), k), "near-rows")
+    bound = near.where(F.col("rank") == k).select("qid", F.col("dist").alias("radius"))
+    more = land(asked.join(bound, "qid", "left").select("qid", "qx", F.explode(further_cells("qx", "seen", "radius")).alias("cell")), "asked-further")
+    found = _best(near.drop("rank").unionByName(search(more)), k)
+    return land(found.select(F.col("qid").alias("id"), "nid", "rank", "dist"), "neighbours")

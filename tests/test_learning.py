@@ -42,12 +42,38 @@ def test_nearest_equals_brute_force(spark, block, pivots):
     assert np.allclose(got, want)
 
 
-def test_two_level_merge_gives_the_same(spark, monkeypatch):
+def test_chunks_do_not_change_the_neighbours(spark):
     df, _, _ = cloud(spark, 300)
-    rows = lambda: {(r["id"], r["rank"]): r["nid"] for r in nearest(df, df, 3, block=60, pivots=8).collect()}
-    one = rows()
-    monkeypatch.setattr(neighbours, "LOTS", 3)
-    assert rows() == one
+    rows = lambda block: {(r["id"], r["rank"]): r["nid"] for r in nearest(df, df, 3, block=block, pivots=8).collect()}
+    assert rows(7) == rows(4096)
+
+
+def test_many_cells_at_default_settings(spark):
+    """More rows than one chunk holds, a third of them at one place, queries that are not in the base: ids and ranks as in a full search."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5200, 3))
+    x[:1700] = [4.0, 4.0, 4.0]
+    asked = np.vstack([rng.normal(size=(40, 3)) * 2, x[1690:1710]])
+    table = lambda points, first: spark.createDataFrame([(first + i, [float(v) for v in p]) for i, p in enumerate(points)], "id long, x array<double>")
+    got = {(r["id"], r["rank"]): r["nid"] for r in nearest(table(asked, 10_000), table(x, 0), 5).collect()}
+    d = neighbours._distances(asked, x)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got == {(10_000 + i, j + 1): int(want[i, j]) for i in range(len(asked)) for j in range(5)}
+
+
+def test_no_base_or_no_query(spark):
+    df, _, _ = cloud(spark, 50)
+    assert nearest(df, df.where("id < 0"), 3).count() == 0
+    assert nearest(df.where("id < 0"), df, 3).count() == 0
+
+
+def test_pivots_group_every_point(spark):
+    points = np.vstack([np.zeros((30, 2)), np.random.default_rng(1).normal(size=(70, 2))])
+    p = neighbours.Pivots.of(points)
+    cell, near, far = p.home(points)
+    group = np.searchsorted(p.first, cell, "right") - 1
+    assert len(p.pivots) == 100 and (np.diff(p.first) > 0).all()
+    assert np.allclose(near, np.linalg.norm(points - p.pivots[cell], axis=1)) and np.allclose(far, np.linalg.norm(points - p.groups[group], axis=1))
 
 
 def test_more_neighbours_than_rows(spark):
