@@ -49,3 +49,35 @@ def kolmogorov(x: Column, terms: int = 100) -> Column:
         lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x),
     )
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * total)))
+
+
+def exact_ks_tail(d: float, n: int, m: int) -> float:
+    """P(D >= d) of the two-sample statistic without ties: the share of lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d.
+
+    Step s holds, for every place (i, s - i) within the band, the share of the paths there that have left it before; outside it is 1. The last step
+    of a path to (i, j) came from (i - 1, j) with chance i / s. Shares stay in [0, 1] and are summed without differences, so small tails keep their digits.
+    """
+    reach = round(d * n * m)  # d is a multiple of 1 / (n m)
+    if reach <= 0:
+        return 1.0
+    left = np.ones(n + 2)  # place i + 1
+    left[1] = 0.0
+    for s in range(1, n + m + 1):
+        low = max(0, s - m, (s * n - reach) // (n + m) + 1)
+        high = min(n, s, -((-s * n - reach) // (n + m)) - 1)
+        i = np.arange(low, high + 1)
+        left[low + 1:high + 2] = (i * left[low:high + 1] + (s - i) * left[low + 1:high + 2]) / s
+        left[low] = 1.0
+    return float(left[n + 1])
+
+
+@pandas_udf(DoubleType())
+def _exact_ks(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else exact_ks_tail(x, int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
+
+
+def two_sample_ks_p(d: Column, n: Column, m: Column, exact_up_to: int) -> Column:
+    """Exact tail while both samples hold at most ``exact_up_to`` rows, the limiting one beyond. Null for no statistic."""
+    small = F.greatest(n, m) <= exact_up_to
+    limiting = kolmogorov(d * F.sqrt(n.cast("double") * m / (n + m)))
+    return F.when(d.isNotNull(), F.coalesce(_exact_ks(F.when(small, d), n, m), limiting) if exact_up_to else limiting)

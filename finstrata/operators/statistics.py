@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_PAIRS
 from ..functions.ordered import at_least_quantile, bucket_count, position, quantile_agg, quantile_columns, running_totals
-from ..functions.tails import chi2_one_df, kolmogorov, student_two_sided
+from ..functions.tails import chi2_one_df, student_two_sided, two_sample_ks_p
 from ..session import ship
 
 
@@ -320,8 +320,9 @@ def psi(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: st
     return _drift_core(long, is_ref, key, value, bins).select(key, "psi")
 
 
-def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value") -> DataFrame:
-    """Two-sample KS with asymptotic p, standardized mean difference, PSI, BH q and drift flag per feature."""
+def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", value: str = "value", exact_up_to: int = 10_000) -> DataFrame:
+    """Two-sample KS with its p, standardized mean difference, PSI, BH q and drift flag per feature. The p-value is exact while neither sample
+    holds more than ``exact_up_to`` rows, asymptotic beyond (0: always)."""
     known = long.where(F.col(value).isNotNull())
     at = lambda fn, v: fn(F.when(F.col(is_ref) == v, F.col(value)))
     m = known.groupBy(key).agg(
@@ -329,10 +330,9 @@ def drift_table(long: DataFrame, is_ref: str = "is_ref", key: str = "feature", v
         at(F.var_samp, 1).alias("_v1"), at(F.var_samp, 0).alias("_v0"))
     j = m.join(_drift_core(long, is_ref, key, value, 10), key, "left")
     ok = (F.col("n_ref") >= 3) & (F.col("n_new") >= 3)
-    en = F.col("n_ref").cast("double") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))
     sd = F.sqrt((F.col("_v1") + F.col("_v0")) / 2.0)
     j = j.select(key, "n_ref", "n_new", "mean_ref", "mean_new", F.when(ok, F.col("ks")).alias("ks"),
-                 F.when(ok, kolmogorov(F.col("ks") * F.sqrt(en))).alias("ks_p"),
+                 two_sample_ks_p(F.when(ok, F.col("ks")), F.col("n_ref"), F.col("n_new"), exact_up_to).alias("ks_p"),
                  F.when(ok & (sd > 0), (F.col("mean_new") - F.col("mean_ref")) / sd).alias("smd"), F.when(ok, F.col("psi")).alias("psi"))
     j = bh_of_result(j, "ks_p", key, "q_value")
     hit = (F.coalesce("ks", F.lit(0.0)) >= 0.30) | (F.abs(F.coalesce("smd", F.lit(0.0))) >= 0.50)

@@ -176,6 +176,13 @@ SQL["f_drift"] = (["f_dl", "f_psi"], f"""SELECT *, CASE WHEN x IS NULL THEN NULL
 
 @query("k11_drift_table", f"SELECT feature, n_ref, n_new, round(mean_ref, 5) AS mean_ref, round(mean_new, 5) AS mean_new, round(ks, 5) AS ks, round(ks_p, 5) AS ks_p, round(smd, 5) AS smd, round(psi, 5) AS psi, round(q_value, 5) AS q_value, CAST(coalesce(ks, 0) >= 3e-1 OR coalesce(abs(smd), 0) >= 5e-1 AS BIGINT) AS drifted FROM ({_bh('f_drift', 'ks_p', 'feature')})", ["f_drift"], digits=5)
 def k11(spark, sf):
+    """Asymptotic p-values, as the SQL beside it."""
+    return K.drift_table(drift_long(spark, sf), exact_up_to=0)
+
+
+@query("k11_drift_exact_p")
+def k11b(spark, sf):
+    """Exact p-values wherever the samples are small enough: a count of lattice paths, which SQL has no form for."""
     return K.drift_table(drift_long(spark, sf))
 
 
