@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import FEATURE_GROUPS, FEATURES
+from ..constants import FEATURES
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import preprocess as Q
@@ -17,8 +17,6 @@ from .profiles import auc_sql, sample_features
 from .registry import query
 from .views import SQL, panel, scores_long, sql_pair, sql_uniform, table, vectors
 
-FEW = FEATURE_GROUPS["ratios_latest"]
-
 
 @query("n1_group_folds")
 def n1_folds(spark, sf):
@@ -30,7 +28,7 @@ def n1_folds(spark, sf):
 
 @query("n1_grouped_cv")
 def n1(spark, sf):
-    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic", "random_forest"], FEATURES, k=3)
+    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic", "random_forest"], FEATURES)
     return V.pooled_and_fold(oof, by=["model"])
 
 
@@ -70,12 +68,12 @@ def g8(spark, sf):
 @query("n4_walk_forward_metrics")
 def n4(spark, sf):
     t = table_of_samples(spark, sf).withColumn("label_available_on", F.date_add("target_period_end", 40))
-    return V.summarize(V.walk_forward_metrics(t, ["logistic"], FEW))
+    return V.summarize(V.walk_forward_metrics(t, ["logistic"], FEATURES))
 
 
 @query("n8_cross_group_selection_metric")
 def n8(spark, sf):
-    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic"], FEW, k=3)
+    oof = V.grouped_cv(table_of_samples(spark, sf), ["logistic"], FEATURES)
     return V.pooled_and_fold(oof, by=["model"]).where("scope = 'pooled'")
 
 
@@ -110,7 +108,7 @@ def n13(spark, sf):
 @query("n14_refit_and_score_thresholds")
 def n14(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    m = L.fit_model("logistic", t.where(F.col("split").isin("train", "validation")), FEW)
+    m = L.fit_model("logistic", t.where(F.col("split").isin("train", "validation")), FEATURES)
     return M.metrics_at(L.score(m, t.where("split = 'test'"), ["y"]), [0.3, 0.5, 0.7])
 
 
@@ -152,8 +150,8 @@ def n18(spark, sf):
 @query("n19_group_fold_technique")
 def n19(spark, sf):
     t = table_of_samples(spark, sf)
-    t = L.materialize(t.join(V.group_folds(t, "entity", 2), "entity").select("id", "fold", "y", *FEW))
-    oof = V.out_of_fold(t, lambda tr: L.fit_panel_technique("random_under", tr, FEW, maxIter=20), ["id"])
+    t = L.materialize(t.join(V.group_folds(t, "entity"), "entity").select("id", "fold", "y", *FEATURES))
+    oof = V.out_of_fold(t, lambda tr: L.fit_panel_technique("random_under", tr, FEATURES, maxIter=20), ["id"])
     return V.pooled_and_fold(oof)
 
 
@@ -163,7 +161,7 @@ def n20(spark, sf):
     out = None
     for w in ("none", "iqr"):
         for scaler in ("standard", "robust"):
-            m = L.fit_model("logistic", t.where("split = 'train'"), FEW, winsorize=w, scaler=scaler)
+            m = L.fit_model("logistic", t.where("split = 'train'"), FEATURES, winsorize=w, scaler=scaler)
             one = L.score(m, t.where("split = 'validation'"), ["y"]).withColumn("variant", F.lit(f"{w}|{scaler}"))
             out = one if out is None else out.unionByName(one)
     return M.rank_metrics(out, ["variant"])
@@ -182,12 +180,12 @@ def n21(spark, sf):
 
 @query("n22_grid_search")
 def n22(spark, sf):
-    return V.grid_search(table_of_samples(spark, sf), "logistic", FEW, {"regParam": [0.01, 0.5]}, k=2, base={"maxIter": 15})
+    return V.grid_search(table_of_samples(spark, sf), "logistic", FEATURES, {"regParam": [0.01, 0.5]})
 
 
 @query("n25_random_search")
 def n25(spark, sf):
-    return V.random_search(table_of_samples(spark, sf), "logistic", FEW, n_trials=3, k=2, space={"regParam": ("loguniform", 0.001, 1.0)}, base={"maxIter": 15})
+    return V.random_search(table_of_samples(spark, sf), "logistic", FEATURES, n_trials=3, space={"regParam": ("loguniform", 0.001, 1.0)})
 
 
 @query("n24_trial_dedup", """SELECT count(*) AS n_trials, count(DISTINCT concat(round(p_a, 1), '|', grp % 3)) AS n_distinct FROM f_scores""", ["f_scores"])
@@ -200,14 +198,14 @@ def n24(spark, sf):
 @query("n26_search_vs_grid")
 def n26(spark, sf):
     t = L.materialize(table_of_samples(spark, sf))
-    g = V.grid_search(t, "logistic", FEW, {"regParam": [0.1]}, k=2, base={"maxIter": 10})
-    r = V.random_search(t, "logistic", FEW, n_trials=1, k=2, space={"regParam": ("loguniform", 0.001, 1.0)}, base={"maxIter": 10})
+    g = V.grid_search(t, "logistic", FEATURES, {"regParam": [0.1]})
+    r = V.random_search(t, "logistic", FEATURES, n_trials=1, space={"regParam": ("loguniform", 0.001, 1.0)})
     return V.compare_search(r, g)
 
 
 @query("n27_nested_cv")
 def n27(spark, sf):
-    return M.rank_metrics(V.nested_cv(table_of_samples(spark, sf), "logistic", FEW, {"regParam": [0.01, 0.5]}, outer=2, inner=2, base={"maxIter": 10}), ["fold"])
+    return M.rank_metrics(V.nested_cv(table_of_samples(spark, sf), "logistic", FEATURES, {"regParam": [0.01, 0.5]}), ["fold"])
 
 
 @query("n28_pooled_and_fold", f"SELECT system, concat('fold_', fold) AS scope, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM ({auc_sql('(SELECT system, grp % 5 AS fold, y, p FROM f_long)', 'system', 'fold')}) UNION ALL SELECT system, 'pooled', round(auroc, 6), round(ap, 6) FROM ({auc_sql('f_long', 'system')})", ["f_long"])
@@ -219,9 +217,7 @@ def n28(spark, sf):
 @query("n30_ablation")
 def n30(spark, sf):
     t = table_of_samples(spark, sf)
-    v = V.ablation_variants(FEATURES)
-    pick = {k: v[k] for k in ("all", "minus_path", "minus_growth")}
-    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), pick, "logistic")
+    return V.ablation(t.where("split = 'train'"), t.where("split = 'test'"), V.ablation_variants(FEATURES), "logistic")
 
 
 @query("n31_one_ablation_variant")
@@ -235,8 +231,8 @@ def n31(spark, sf):
 @query("n9_cross_group_ap")
 def n9(spark, sf):
     t = table_of_samples(spark, sf)
-    t = L.materialize(t.join(V.group_folds(t, "entity", 3), "entity"))
-    return spark.createDataFrame([tuple(V.cross_group_ap(t, "logistic", {"regParam": 0.1}, FEW, maxIter=15).values())],
+    t = L.materialize(t.join(V.group_folds(t, "entity"), "entity"))
+    return spark.createDataFrame([tuple(V.cross_group_ap(t, "logistic", {"regParam": 0.1}, FEATURES).values())],
                                  "cv_average_precision double, cv_ap_std double, cv_auroc double, n_folds long")
 
 
@@ -252,7 +248,7 @@ def n23(spark, sf):
 
 @query("n32_learning_curve")
 def n32(spark, sf):
-    return V.learning_curve(table_of_samples(spark, sf), "logistic", FEW, fractions=(0.4, 1.0), k=2)
+    return V.learning_curve(table_of_samples(spark, sf), "logistic", FEATURES)
 
 
 @query("n37_systems_table", "SELECT system, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM f_long WHERE row_id IN (SELECT row_id FROM f_long GROUP BY row_id HAVING count(DISTINCT system) = 2) GROUP BY system", ["f_long"])
@@ -271,7 +267,7 @@ def d22(spark, sf):
         p = S.label_by_rule(rule, panel(spark, sf), 2).withColumn("is_distressed", F.lead("label").over(entity_rows())).withColumn("target_period_end", F.lead("period_end").over(entity_rows()))
         t = S.time_split(feature_table(p, ["is_distressed", "target_period_end"]).where("target_period_end is not null")).withColumn("y", F.col("is_distressed"))
         t = L.materialize(t)
-        m = L.fit_model("logistic", t.where("split = 'train'"), FEW)
+        m = L.fit_model("logistic", t.where("split = 'train'"), FEATURES)
         one = L.score(m, t.where("split = 'test'"), ["y"]).withColumn("rule", F.lit(rule))
         out = one if out is None else out.unionByName(one)
     return M.rank_metrics(out, ["rule"])
