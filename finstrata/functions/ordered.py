@@ -31,6 +31,21 @@ def position(value: Column, bounds: Column, strict: bool = True) -> Column:
     return jump * STEP + F.size(F.filter(rest, below))
 
 
+def with_position(df: DataFrame, name: str, value: Column, bounds: str, most: int, strict: bool = True) -> DataFrame:
+    """Add ``position`` in a sorted array column of at most ``most`` entries (0 where there is no array).
+
+    A binary search, one projection per halving: all of it is compiled, while a filter over an array is interpreted, entry by entry, for every row.
+    The result is never NULL, so that no optimizer rule copies the steps into a test for NULL.
+    """
+    below = (lambda b: b < value) if strict else (lambda b: b <= value)
+    df = df.withColumn(name, F.lit(0))
+    step = 1 << most.bit_length() >> 1
+    while step:  # an entry beyond the end is NULL, hence not below
+        df = df.withColumn(name, F.col(name) + F.when(below(F.get(F.col(bounds), F.col(name) + (step - 1))), step).otherwise(0))
+        step >>= 1
+    return df
+
+
 def scalar(df: DataFrame) -> Column:
     """A one-row, one-column result as an expression (scalar subquery, no join)."""
     return df.scalar()
@@ -40,13 +55,11 @@ def _bucketed(df: DataFrame, by: Sequence[str], order: str, buckets: int, few: b
     probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     cuts = F.array_distinct(F.percentile_approx(F.col(order), probs, F.lit(max(1000, 4 * buckets))))
     if by:
-        bounds = df.groupBy(*by).agg(cuts.alias("_cuts"))
+        bounds = df.groupBy(*by).agg(cuts.alias("_cuts")).where(F.col("_cuts").isNotNull())
         df = df.join(F.broadcast(bounds) if few else bounds, list(by))
-        out = df.withColumn("_b", position(F.col(order), F.col("_cuts"))).drop("_cuts")
     else:
-        df = df.withColumn("_cuts", scalar(df.agg(cuts.alias("_cuts"))))
-        out = df.withColumn("_b", position(F.col(order), F.col("_cuts"))).drop("_cuts")
-    return out
+        df = df.withColumn("_cuts", scalar(df.agg(cuts.alias("_cuts")))).where(F.col("_cuts").isNotNull())
+    return with_position(df, "_b", F.col(order), "_cuts", buckets - 1).drop("_cuts")
 
 
 def running_totals(
@@ -59,12 +72,11 @@ def running_totals(
     values move once, to their buckets. Else both are joined as they come, since the number of groups may grow with the data.
     """
     by, n = list(by), buckets or bucket_count(df)
-    spread = _bucketed(df, by, order, n, few).repartition(*[F.col(c) for c in [*by, "_b"]])
-    # The bucket table has at most n rows per group; min(order) keeps its scan identical to the main
-    # branch, so that both read the same exchange.
-    per_bucket = spread.groupBy(*by, "_b").agg(
-        F.min(order).alias("_lo"), *[F.sum(s).alias(f"_{s}") for s in sums]
-    )
+    bucketed = _bucketed(df, by, order, n, few)
+    spread = bucketed.repartition(*[F.col(c) for c in [*by, "_b"]])
+    # The bucket table has at most n rows per group. It is added up before the exchange: what it reads is narrower than the main branch,
+    # so the two could not share one, and the values would move twice.
+    per_bucket = bucketed.groupBy(*by, "_b").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     ahead = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
     offsets = per_bucket.select(

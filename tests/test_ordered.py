@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from finstrata.functions.draws import with_uniform
-from finstrata.functions.ordered import hash_rank, mid_ranks, position, quantile_grid, quantiles, running_totals, sorted_position, value_counts
+from finstrata.functions.ordered import hash_rank, mid_ranks, position, quantile_grid, quantiles, running_totals, sorted_position, value_counts, with_position
 
 
 def frame(spark, values, group=None):
@@ -80,6 +80,27 @@ def test_position_two_level_search(spark, bounds, v):
     assert r["lt"] == sum(b < v for b in bounds) and r["le"] == sum(b <= v for b in bounds)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 31, 120, 199])
+def test_binary_search_counts_entries(spark, most):
+    rng = random.Random(most)
+    rows = [(sorted(rng.choices(range(-20, 21), k=rng.randint(0, most))), rng.randint(-25, 25)) for _ in range(300)]
+    df = spark.createDataFrame([([float(b) for b in bounds], float(v)) for bounds, v in rows], "bounds array<double>, v double")
+    got = with_position(with_position(df, "lt", F.col("v"), "bounds", most), "le", F.col("v"), "bounds", most, strict=False).collect()
+    assert all(r["lt"] == sum(b < r["v"] for b in r["bounds"]) and r["le"] == sum(b <= r["v"] for b in r["bounds"]) for r in got)
+
+
+def test_running_totals_search_compiled_and_move_values_once(spark):
+    rows = spark.createDataFrame([(i % 3, float(i % 50)) for i in range(500)], "g int, v double")
+    plan = running_totals(value_counts(rows, "v", ["g"]), "v", ["n"], ["g"], buckets=200, few=True)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("REPARTITION_BY_COL") == 1 and len(plan) < 20_000
+
+
+def test_values_of_a_group_without_any_known_order_are_left_out(spark):
+    rows = spark.createDataFrame([(0, 1.0, 1), (0, 2.0, 1), (1, None, 1)], "g int, v double, n int")
+    assert sorted((r["g"], r["n_cum"]) for r in running_totals(rows, "v", ["n"], ["g"]).collect()) == [(0, 1), (0, 2)]
+    assert running_totals(rows.where("g = 1"), "v", ["n"]).count() == 0
+
+
 def test_uniform_draws_are_even(spark):
     u = with_uniform(spark.range(20000), "u", F.col("id"), 3).agg(
         F.avg("u").alias("m"), F.stddev("u").alias("s"), F.countDistinct(F.floor(F.col("u") * 100)).alias("b")).first()
