@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_PAIRS
-from ..functions.ordered import at_least_quantile, bucket_count, position, quantile_agg, quantile_columns, running_totals
+from ..functions.ordered import at_least_quantile, bucket_count, quantile_agg, quantile_columns, running_totals, with_position
 from ..functions.tails import chi2_one_df, student_two_sided, two_sample_ks_p
 from ..session import ship
+from ..sources.landing import land
 
 
 def normalized_entropy(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -58,6 +59,11 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, out: str = "q") -> DataF
 
 # ---- per-column profile -----------------------------------------------------------------------------
 
+def _landed_counts(counts: DataFrame) -> DataFrame:
+    """One row per distinct value, written once: bounds, bucket totals, ordered values and bins then read it, not the rows it was counted from."""
+    return land(counts, "value-counts")
+
+
 def column_profile(long: DataFrame, key: str = "feature", value: str = "value") -> DataFrame:
     """Size, missing, distinct, spread, tails and outliers of every column of a long (key, value) table.
 
@@ -68,13 +74,13 @@ def column_profile(long: DataFrame, key: str = "feature", value: str = "value")
         F.count(F.lit(1)).alias("n"), F.count(value).alias("m"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"),
         F.sum((F.col(value) == 0).cast("int")).alias("n_zero"), F.sum((F.col(value) < 0).cast("int")).alias("n_neg"))
-    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = _landed_counts(known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")))
     # distinct count, top share and all quantiles in one pass over the ordered distinct values
     q = running_totals(counts, value, ["n"], [key], few=True).groupBy(key).agg(
         F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("top_n"),
         *[quantile_agg(p, value).alias(a) for a, p in {"p1": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}.items()])
     # outliers need the quartiles, so they are a second look at the distinct values, not at the rows
-    stats = m.join(q, key, "left")
+    stats = land(m.join(q, key, "left"), "profile-stats")  # a row per column
     iqr = F.col("q3") - F.col("q1")
     fence = stats.select(key, "mean", "std", (F.col("q1") - 1.5 * iqr).alias("lo"), (F.col("q3") + 1.5 * iqr).alias("hi"))
     v = F.col(value)
@@ -111,7 +117,7 @@ def quality_flags(profile: DataFrame, key: str = "feature") -> DataFrame:
 def target_association(long: DataFrame, key: str = "feature", value: str = "value", y: str = "y", min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Per feature: AUC, rank-biserial effect, direction, point-biserial r with p and q, lift of the top decile."""
     known = long.where(F.col(value).isNotNull())
-    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
+    counts = _landed_counts(known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos")))
     t = running_totals(counts, value, ["n", "n_pos"], [key], few=True)
     neg = F.col("n") - F.col("n_pos")
     below = (F.col("n_cum") - F.col("n_pos_cum")) - neg
@@ -136,10 +142,10 @@ def target_association(long: DataFrame, key: str = "feature", value: str = "valu
 def mutual_information(long: DataFrame, bins: int = 20, key: str = "feature", value: str = "value", y: str = "y") -> DataFrame:
     """Plug-in mutual information (nats) with the label over quantile bins; a binned estimator, not a kNN one."""
     known = long.where(F.col(value).isNotNull())
-    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"))
+    counts = _landed_counts(known.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos")))
     t = running_totals(counts, value, ["n"], [key], few=True)
     b = F.least(F.lit(bins - 1), F.floor((F.col("n_cum") - F.col("n")) * bins / F.col("n_tot")))
-    cells = t.groupBy(key, b.alias("b")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("p"))
+    cells = land(t.groupBy(key, b.alias("b")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("p")), "bins")  # ``bins`` rows per column
     tot = cells.groupBy(key).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
     j = cells.join(tot, key)
     term = lambda c, m: F.when(c > 0, c / F.col("all_n") * F.ln(c * F.col("all_n") / (F.col("n") * m))).otherwise(0.0)
@@ -298,14 +304,15 @@ def _drift_core(long: DataFrame, is_ref: str, key: str, value: str, bins: int) -
     """(key, ks, psi, sizes): one ordered pass over distinct values gives KS and the reference bin edges, a second
     unordered one counts the bins. Bins are open at both ends; PSI is NULL for too few values or edges."""
     known = long.where(F.col(value).isNotNull())
-    counts = known.groupBy(key, value).agg(F.sum(is_ref).alias("n"), F.sum(1 - F.col(is_ref)).alias("w"))
+    counts = _landed_counts(known.groupBy(key, value).agg(F.sum(is_ref).alias("n"), F.sum(1 - F.col(is_ref)).alias("w")))
     t = running_totals(counts, value, ["n", "w"], [key], few=True)
     share = lambda c: F.try_divide(F.col(f"{c}_cum").cast("double"), F.col(f"{c}_tot"))
     edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*[quantile_agg(i / bins, value) for i in range(bins + 1)]))))
     core = t.groupBy(key).agg(F.max(F.abs(share("n") - share("w"))).alias("ks"), F.max("n_tot").alias("n_r"), F.max("w_tot").alias("n_c"), edges.alias("e"))
+    core = land(core, "drift-edges")  # a row per column
     cells = counts.join(F.broadcast(core.where(F.size("e") >= 3).select(key, "n_r", "n_c", F.slice("e", 2, F.size("e") - 2).alias("_inner"))), key)
     # bin k holds edges[k] <= v < edges[k+1]
-    cells = cells.withColumn("b", position(F.col(value), F.col("_inner"), strict=False)).groupBy(key, "b").agg(
+    cells = with_position(cells, "b", F.col(value), "_inner", bins - 1, strict=False).groupBy(key, "b").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("n_r").alias("n_r"), F.max("n_c").alias("n_c"))
     eps = F.lit(1e-6)
     r, c = F.greatest(F.col("n") / F.col("n_r"), eps), F.greatest(F.col("w") / F.col("n_c"), eps)

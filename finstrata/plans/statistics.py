@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators import inference as N
 from ..operators import samples as S
 from ..operators import statistics as K
+from ..sources.landing import land
 from .profiles import auc_sql, sample_features
 from .metrics import E
 from .registry import query
@@ -19,8 +20,8 @@ LATEST = FEATURE_GROUPS["ratios_latest"]
 
 
 def labelled_features(spark, sf):
-    """Features of every panel row with the row's own two-signal label and its year."""
-    return X.feature_table(S.stress_label(panel(spark, sf), 2), ["label", "fiscal_year"])
+    """Features of every panel row with the row's own two-signal label and its year; landed, since statistics read it in several passes."""
+    return land(X.feature_table(S.stress_label(panel(spark, sf), 2), ["label", "fiscal_year"]), "labelled-features")
 
 
 def long_features(spark, sf, names=FEATURES):
@@ -252,8 +253,7 @@ _RK = lambda p: f"rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p})
 @query("k18_deep_profile_job")
 def k18(spark, sf):
     """The whole exploration over one materialized feature table: profile, association, drift and missingness side by side."""
-    from ..operators.models import materialize
-    long = materialize(long_features(spark, sf))
+    long = long_features(spark, sf)
     prof = K.column_profile(long).select("feature", "n", "missing_pct", "skew", "iqr_outlier_pct")
     assoc = K.target_association(long).select("feature", "auc", F.col("q_value").alias("auc_q"))
     drift = K.drift_table(long.withColumn("is_ref", (F.col("fiscal_year") < 1996).cast("int"))).select("feature", "ks", "psi", "drifted")
