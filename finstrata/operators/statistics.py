@@ -269,7 +269,7 @@ def correlation_matrix(filled: DataFrame, names: Sequence[str]) -> np.ndarray:
 
 def effective_dimensionality(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Participation ratio, components for 95 % of variance and top share, from the spectrum of the k x k matrix."""
-    filled = median_fill(df, names)
+    filled = land(median_fill(df, names), "filled")  # read three times, and each would compute the medians again
     sd = filled.agg(*[F.stddev_samp(n).alias(n) for n in names]).first()
     corr = correlation_matrix(filled, names)
     for i, n in enumerate(names):
@@ -288,7 +288,7 @@ def variance_inflation(df: DataFrame, names: Sequence[str], min_known: int = MIN
     """1 / (1 - R^2) of each median-filled column on the others, from the k x k correlation matrix (R^2 capped below 1)."""
     stats = df.agg(*[F.count(n).alias(f"c_{n}") for n in names], *[F.stddev_samp(F.col(n).cast("double")).alias(f"s_{n}") for n in names]).first()
     keep = [n for n in names if stats[f"c_{n}"] >= min_known and (stats[f"s_{n}"] or 0) > 0]
-    corr = correlation_matrix(median_fill(df.select(*keep), keep), keep)
+    corr = correlation_matrix(land(median_fill(df.select(*keep), keep), "filled"), keep)
     rows = []
     for i, n in enumerate(keep):
         rest = [j for j in range(len(keep)) if j != i]
