@@ -128,3 +128,15 @@ def test_leaves_are_bounded(spark):
     df, *_ = table(spark, n=300, d=5, seed=2)
     for t in B.HistogramBoosting(maxIter=2, maxDepth=5, maxLeaves=6, key="id").fit(df).learned():
         assert sum(f < 0 for f in t.feature) <= 6
+
+
+def test_a_level_is_added_up_by_as_many_tasks_as_it_needs(spark, monkeypatch):
+    df, *_ = table(spark, n=200, d=5)
+    counts = []
+    plain = B._level
+    monkeypatch.setattr(B, "_level", lambda *a: counts.append((found := plain(*a)).getNumPartitions()) or found)
+    fit = lambda: B.HistogramBoosting(maxIter=2, stepSize=0.3, maxDepth=2, key="id").fit(df).getOrDefault("trees")
+    one = fit()
+    assert set(counts) == {1}
+    monkeypatch.setattr(B, "ADDED", 1)
+    assert fit() == one and counts[-1] == 6
