@@ -226,3 +226,38 @@ def test_bootstrap_sums_do_not_depend_on_blocks(spark, monkeypatch):
         for got in (one[d], two[d]):
             assert got["auc"] == pytest.approx(auc) and got["ap"] == pytest.approx(ap)
             assert (got["tp"], got["fn"], got["fp"]) == (w1[p >= 0.5].sum(), w1[p < 0.5].sum(), w0[p >= 0.5].sum())
+
+
+def test_copies_and_repeated_ids(spark):
+    """Equal vectors under other ids, the same row twice, one id with two vectors: as a full search over all rows, ids equal to the query's left out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    rows = [(i, x[i % 20].tolist()) for i in range(60)] + [(100 + i, x[20 + i].tolist()) for i in range(40)]
+    rows += [(100, x[20].tolist()), (101, x[22].tolist())]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {(r["id"], r["rank"]): (r["nid"], r["dist"]) for r in nearest(df, df, 4, block=9, pivots=6).collect()}
+    want = {}
+    for i in {r[0] for r in rows}:
+        cands = sorted((float(np.sqrt(((np.array(a[1]) - np.array(b[1])) ** 2).sum())), b[0]) for a in rows if a[0] == i for b in rows if b[0] != i)
+        want |= {(i, r + 1): (n, pytest.approx(d)) for r, (d, n) in enumerate(cands[:4])}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [8, 100])
+def test_slices_hold_whole_cells_or_parts_of_one(block):
+    sizes = np.random.default_rng(4).integers(0, 30, 50)
+    first, parts, (owners, at) = neighbours._slices(sizes, block)
+    assert (np.diff(at) >= 0).all() and set(np.diff(at)) <= {0, 1} and at[0] == 0
+    for s in np.unique(at):
+        own = owners[at == s]
+        assert sizes[own].sum() <= block or (len(own) == 1 and parts[own[0]] > 1)
+
+
+def test_rows_go_to_slices_not_to_cells(spark, monkeypatch):
+    """In many dimensions nothing is ruled out: what is exchanged is one row a query and slice."""
+    df, _, _ = cloud(spark, 500, d=12, hot=False)
+    landed = {}
+    plain = neighbours.land
+    monkeypatch.setattr(neighbours, "land", lambda t, name: landed.setdefault(name, plain(t, name)))
+    nearest(df, df, 3, block=250, pivots=40)
+    assert landed["asked-further"].count() <= 500 * 2
