@@ -77,7 +77,8 @@ def delong(wide: DataFrame, systems: Sequence[str], y: str = "y") -> DataFrame:
 # holds anything that grows with ranges x draws.
 
 BLOCK = 64  # rows whose weights are held at a time
-FOLD = 256  # equal scores in one Arrow batch from which on they are folded before the exchange
+FOLD = 256  # equal scores among the rows a task gathers from which on they are folded before the exchange
+GATHER, PIECE = 1 << 20, 1 << 13  # rows, a few bytes each, that a task gathers to fold; rows it hands on at a time
 SUMS = ["auc", "ap", "tp", "fp", "fn", "tn"]
 
 
@@ -123,12 +124,22 @@ def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
 
 
 def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """(g, p, k, y, w1, w0): rows as they are, but scores that fill a batch as one row with its weights per draw, so that a score which a third
-    of all rows have does not send them to one task."""
+    """(g, p, k, y, w1, w0): rows as they are, but scores that many of a task's rows have as one row with its weights per draw, so that a score which a
+    third of all rows have does not send them to one task, and weights of scores that repeat are computed once, not by each pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            t = batch.to_pandas()
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= GATHER:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            t = table.to_pandas()
             size = t.groupby(["g", "p"])["y"].transform("size")
             hot = t[size >= FOLD]
             sums = []
@@ -147,7 +158,7 @@ def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
                 pa.array([*plain["k"], *[0] * len(sums)], pa.int64()), pa.array([*plain["y"], *[0] * len(sums)], pa.int32()),
                 pa.array([*none, *[x[2] for x in sums]], pa.list_(pa.int64())), pa.array([*none, *[x[3] for x in sums]], pa.list_(pa.int64())),
             ]
-            yield pa.record_batch(columns, names=["g", "p", "k", "y", "w1", "w0"])
+            yield from pa.Table.from_arrays(columns, names=["g", "p", "k", "y", "w1", "w0"]).to_batches(max_chunksize=PIECE)
 
     return rows.mapInArrow(run, "g string, p double, k bigint, y int, w1 array<bigint>, w0 array<bigint>")
 

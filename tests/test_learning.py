@@ -261,3 +261,20 @@ def test_rows_go_to_slices_not_to_cells(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "land", lambda t, name: landed.setdefault(name, plain(t, name)))
     nearest(df, df, 3, block=250, pivots=40)
     assert landed["asked-further"].count() <= 500 * 2
+
+
+def test_scores_that_repeat_are_folded_over_a_task(spark):
+    from finstrata.operators import inference as N
+
+    """2,000 rows with 4 scores, in Arrow batches of 100: no batch holds enough equal scores, the task does."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(0, 2000, 1, 1).selectExpr("'a' AS g", "(id % 4) / 4d AS p", "id AS k", "CAST(id % 3 = 0 AS INT) AS y")
+        folded = N._fold(rows, 5, 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(folded) == 4
+    w = N.poisson_weights(np.arange(2000), 5, 1)
+    for r in folded:
+        mine = np.flatnonzero(np.arange(2000) % 4 == r["p"] * 4)
+        assert r["w1"] == w[mine[mine % 3 == 0]].sum(axis=0).tolist() and r["w0"] == w[mine[mine % 3 != 0]].sum(axis=0).tolist()
