@@ -11,6 +11,7 @@ from ..operators import preprocess as Q
 from ..operators import samples as S
 from ..operators import validate as V
 from ..operators.leave_out import leave_one_entity_out
+from ..sources.landing import land
 from .features import samples2
 from .models import CLIP, table_of_samples
 from .profiles import auc_sql, sample_features
@@ -170,7 +171,7 @@ def n20(spark, sf):
 @query("n21_variant_enumeration", "SELECT m AS method, feature, round(CASE WHEN m = 'none' THEN 0e0 ELSE sum(CASE WHEN v < CASE WHEN m = 'iqr' THEN q1 - 15e-1*(q3-q1) ELSE p1 END OR v > CASE WHEN m = 'iqr' THEN q3 + 15e-1*(q3-q1) ELSE p99 END THEN 1e0 ELSE 0e0 END) / count(v) END, 6) AS clip_share FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS v, quantile_cont({c}, 25e-2) OVER () AS q1, quantile_cont({c}, 75e-2) OVER () AS q3, quantile_cont({c}, 1e-2) OVER () AS p1, quantile_cont({c}, 99e-2) OVER () AS p99 FROM f_sf" for c in CLIP) + "), (SELECT unnest(['none', 'iqr', 'p1p99']) AS m) WHERE v IS NOT NULL GROUP BY m, feature", ["f_sf"])
 def n21(spark, sf):
-    t = sample_features(spark, sf)
+    t = land(sample_features(spark, sf).select(*CLIP), "clipped-columns")  # every method reads it twice
     out = None
     for m in Q.WINSOR_METHODS:
         one = Q.Winsorizer(inputCols=CLIP, method=m).fit(t).clip_share(t).withColumn("method", F.lit(m))

@@ -278,3 +278,13 @@ def test_scores_that_repeat_are_folded_over_a_task(spark):
     for r in folded:
         mine = np.flatnonzero(np.arange(2000) % 4 == r["p"] * 4)
         assert r["w1"] == w[mine[mine % 3 == 0]].sum(axis=0).tolist() and r["w0"] == w[mine[mine % 3 != 0]].sum(axis=0).tolist()
+
+
+def test_variants_read_landed_columns(spark, sf, monkeypatch):
+    from __spark_entry__ import queries
+    from finstrata.plans import validation as plans
+
+    names, plain = [], plans.land
+    monkeypatch.setattr(plans, "land", lambda t, name: names.append((name, t.columns)) or plain(t, name))
+    assert queries()["n21_variant_enumeration"](spark, sf).count() == 12
+    assert names == [("clipped-columns", plans.CLIP)]
