@@ -12,6 +12,7 @@ from ..operators import profiles as P
 from ..operators import samples as S
 from ..sources import documents as D
 from ..sources import writers as Wr
+from . import profiles  # noqa: F401  (names views that the SQL here reads)
 from .etl import cells, facts
 from .features import WE, samples2
 from .registry import query

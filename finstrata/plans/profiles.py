@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import profiles as P
 from ..operators import samples as S
 from ..operators import statistics as K
+from . import samples  # noqa: F401  (names views that the SQL here reads)
 from .features import WE, samples2
 from .registry import query
 from .views import SQL, panel, scores, scores_long
