@@ -8,8 +8,10 @@ cluster as key.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -77,8 +79,10 @@ def delong(wide: DataFrame, systems: Sequence[str], y: str = "y") -> DataFrame:
 # holds anything that grows with ranges x draws.
 
 BLOCK = 64  # rows whose weights are held at a time
-FOLD = 256  # equal scores among the rows a task gathers from which on they are folded before the exchange
+FOLD = 8  # equal scores among the rows a task gathers from which on they are folded before the exchange
 GATHER, PIECE = 1 << 20, 1 << 13  # rows, a few bytes each, that a task gathers to fold; rows it hands on at a time
+HELD = 1 << 27  # bytes of sums that a folding task holds: the most frequent scores are folded, others are handed on as rows
+ADDED = 1 << 27  # rows after which a folding task hands on its sums, so that they stay below 2^31
 SUMS = ["auc", "ap", "tp", "fp", "fn", "tn"]
 
 
@@ -113,19 +117,128 @@ _FIRST = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.int64) << 15, "rig
 _COUNTS = np.where(_FIRST == np.searchsorted(_LIMITS, ((np.arange(1 << 16, dtype=np.int64) + 1) << 15) - 1, "right"), _FIRST, -1).astype(np.int8)
 
 
+class _Draws:
+    """Counts of keys in all draws, ``rows`` keys at a time. What depends on the draw or on the key alone is computed once for each; remainders modulo PRIME
+    stay partly reduced as long as products fit into 64 bits. All steps run in place, on arrays that fit into a core's cache."""
+
+    def __init__(self, n_boot: int, seed: int):
+        self.n_boot, self.seed, self.rows = n_boot, seed, max(1, (1 << 15) // n_boot)
+        self.pair = _mix(np.arange(n_boot, dtype=np.int64), 17)[None, :] * 40503
+        times, rest = np.divmod(self.pair, PRIME)
+        self.start = ((rest * 48271 + (seed * 7919 + 12345)) % PRIME).astype(np.uint64)
+        self.times = (((times + 1013904223) << 31) + rest + 1).astype(np.uint64)
+        self.x, self.y, self.t = (np.empty((self.rows, n_boot), np.uint64) for _ in range(3))
+        self.out = np.empty((self.rows, n_boot), np.int32)
+        # from PRIME on, which is worth 0, up to 2^16 more
+        self.counts = np.concatenate([_COUNTS[:-1], [-1, 0, 0, 0]]).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Keys x draws, at most ``rows`` keys; overwritten by the next call."""
+        if keys.min() < 0 or keys.max() >= 1 << 61:
+            return self._any(keys)
+        n, mask, half = len(keys), np.uint64(PRIME), np.uint64(31)
+        x, y, t, out = self.x[:n], self.y[:n], self.t[:n], self.out[:n]
+        times, rest = np.divmod(keys, PRIME)
+        column = lambda v: v.astype(np.uint64)[:, None]
+
+        def reduced() -> None:
+            np.bitwise_and(x, mask, out=t)
+            np.right_shift(x, half, out=x)
+            np.add(x, t, out=x)
+
+        np.add(self.start, column(rest * 48271 % PRIME), out=x)  # below 2^32: its product with its successor fits
+        np.add(self.times, column((times << 31) + rest), out=t)
+        np.right_shift(t, half, out=t)  # one more where the two remainders reach PRIME
+        np.add(x, np.uint64(1), out=y)
+        np.multiply(x, y, out=x)
+        np.add(x, t, out=x)
+        reduced()
+        reduced()
+        np.add(x, np.uint64(3), out=y)
+        np.multiply(x, y, out=x)
+        np.add(x, np.uint64(374761393), out=x)
+        reduced()
+        np.multiply(x, np.uint64(16807), out=x)
+        reduced()
+        np.right_shift(x, np.uint64(15), out=t)
+        np.take(self.counts, t.view(np.int64), out=out, mode="clip")
+        near = np.flatnonzero(out.ravel() < 0)
+        out.ravel()[near] = np.searchsorted(_LIMITS, x.ravel()[near].astype(np.int64) % PRIME, "right")
+        return out
+
+    def _any(self, keys: np.ndarray) -> np.ndarray:
+        x = _mix(self.pair + keys.astype(np.int64)[:, None], self.seed)
+        out = _COUNTS[x >> 15].astype(np.int32)
+        near = out < 0
+        out[near] = np.searchsorted(_LIMITS, x[near], "right")
+        return out
+
+    def all_of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty((len(keys), self.n_boot), np.int32)
+        for at in range(0, len(keys), self.rows):
+            out[at : at + self.rows] = self.of(keys[at : at + self.rows])
+        return out
+
+
 def poisson_weights(keys: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
     """Counts of each key in each draw (keys x draws), the same as ``poisson_one`` of ``with_pair_uniform(draw, key)``."""
-    pair = _mix(np.arange(n_boot, dtype=np.int64), 17)[None, :] * 40503 + keys.astype(np.int64)[:, None]
-    x = _mix(pair, seed)
-    out = _COUNTS[x >> 15].astype(np.int32)
-    near = out < 0
-    out[near] = np.searchsorted(_LIMITS, x[near], "right")
-    return out
+    return _Draws(n_boot, seed).all_of(keys)
+
+
+class _Folded:
+    """Sums of the weights of equal scores, for one of the scores that rows have."""
+
+    def __init__(self, most: int, n_boot: int):
+        self.most, self.n_boot = most, n_boot
+        self.places: dict[tuple[str, float], int] = {}
+        self.sums: list[np.ndarray] = []  # negatives and positives
+
+    def placed(self, g: pa.ChunkedArray, p: pa.ChunkedArray) -> np.ndarray:
+        """The place of each row's sums, -1 if the row stays as it is, -2 if it has no score."""
+        t = pd.DataFrame({"g": g.to_pandas(), "p": p.to_pandas()})
+        known = p.is_valid().to_numpy(zero_copy_only=False) if isinstance(p, pa.Array) else p.is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        code = np.where(known, t.groupby(["g", "p"], sort=False, dropna=False).ngroup().to_numpy(), -1)
+        found, first, sizes = np.unique(code, return_index=True, return_counts=True)
+        place = np.full(int(found.max()) + 2, -1)  # the last one is for rows without a score
+        for at in np.argsort(-sizes, kind="stable"):
+            if found[at] < 0:
+                continue
+            key = (t["g"].iat[first[at]], t["p"].iat[first[at]])
+            if key not in self.places and sizes[at] >= FOLD and len(self.places) < self.most:
+                self.places[key] = len(self.sums)
+                self.sums.append(np.zeros((2, self.n_boot), np.int32))
+            place[found[at]] = self.places.get(key, -1)
+        place[-1] = -2
+        return place[code]
+
+    def add(self, runs: np.ndarray, weights: np.ndarray) -> None:
+        """``runs``: twice the place, and one more for positives; of each row of weights."""
+        starts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        for s, e in zip(starts, np.append(starts[1:], len(runs))):
+            if runs[s] >= 0:
+                held = self.sums[runs[s] >> 1][runs[s] & 1]
+                held += weights[s] if e == s + 1 else np.add.reduce(weights[s:e], axis=0, dtype=np.int32)
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        """All sums, a few megabytes at a time; none is held afterwards."""
+        keys, step = list(self.places), max(1, (1 << 22) // self.n_boot // 16)
+        for at in range(0, len(keys), step):
+            some, sums = keys[at : at + step], self.sums[at : at + step]
+            listed = [pa.array([s[i] for s in sums], pa.list_(pa.int64())) for i in (1, 0)]
+            yield _rows([k[0] for k in some], [k[1] for k in some], [0] * len(some), [0] * len(some), *listed)
+        self.places, self.sums = {}, []
+
+
+def _rows(g: list, p: list, k: list, y: list, w1: pa.Array, w0: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(g, pa.string()), pa.array(p, pa.float64()), pa.array(k, pa.int64()), pa.array(y, pa.int32()), w1, w0]
+    return pa.record_batch(columns, names=["g", "p", "k", "y", "w1", "w0"])
 
 
 def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
     """(g, p, k, y, w1, w0): rows as they are, but scores that many of a task's rows have as one row with its weights per draw, so that a score which a
-    third of all rows have does not send them to one task, and weights of scores that repeat are computed once, not by each pass."""
+    third of all rows have does not send them to one task, and weights of scores that repeat are computed once, not by each pass. Rows may have
+    several scores, (g, p), (g1, p1), ...: their weights are computed once for all of them."""
+    scores = [("g", "p"), *[(f"g{i}", f"p{i}") for i in range(1, len(rows.columns) // 2 - 1)]]
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -138,37 +251,44 @@ def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
             yield pa.Table.from_batches(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, added = _Draws(n_boot, seed), 0
+        folded = [_Folded(max(1, HELD // (8 * n_boot * len(scores))), n_boot) for _ in scores]
         for table in gathered(batches):
-            t = table.to_pandas()
-            size = t.groupby(["g", "p"])["y"].transform("size")
-            hot = t[size >= FOLD]
-            sums = []
-            for (g, p), part in hot.groupby(["g", "p"]):
-                w1, w0 = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
-                for at in range(0, len(part), BLOCK):
-                    some = part.iloc[at : at + BLOCK]
-                    w, y = poisson_weights(some["k"].to_numpy(), n_boot, seed), some["y"].to_numpy()
-                    w1 += w[y == 1].sum(axis=0)
-                    w0 += w[y != 1].sum(axis=0)
-                sums.append((g, p, w1, w0))
-            plain = t[size < FOLD]
-            none = [None] * len(plain)
-            columns = [
-                pa.array([*plain["g"], *[x[0] for x in sums]], pa.string()), pa.array([*plain["p"], *[x[1] for x in sums]], pa.float64()),
-                pa.array([*plain["k"], *[0] * len(sums)], pa.int64()), pa.array([*plain["y"], *[0] * len(sums)], pa.int32()),
-                pa.array([*none, *[x[2] for x in sums]], pa.list_(pa.int64())), pa.array([*none, *[x[3] for x in sums]], pa.list_(pa.int64())),
-            ]
-            yield from pa.Table.from_arrays(columns, names=["g", "p", "k", "y", "w1", "w0"]).to_batches(max_chunksize=PIECE)
+            k, y = table["k"].to_numpy(), table["y"].to_numpy()
+            places = [f.placed(table[g], table[p]) for f, (g, p) in zip(folded, scores)]
+            for place, (g, p) in zip(places, scores):
+                plain = table.filter(pa.array(place == -1)).select([g, p, "k", "y"]).rename_columns(["g", "p", "k", "y"])
+                none = pa.nulls(plain.num_rows, pa.list_(pa.int64()))
+                yield from plain.append_column("w1", none).append_column("w0", none).to_batches(max_chunksize=PIECE)
+            runs = [2 * place + (y == 1) for place in places]
+            hot = np.flatnonzero(np.any([place >= 0 for place in places], axis=0))
+            order = hot[np.lexsort([r[hot] for r in reversed(runs)])]
+            for at in range(0, len(order), draws.rows):
+                some = order[at : at + draws.rows]
+                weights = draws.of(k[some])
+                for f, r in zip(folded, runs):
+                    f.add(r[some], weights)
+            added += len(order)
+            if added >= ADDED:
+                added = 0
+                for f in folded:
+                    yield from f.taken()
+        for f in folded:
+            yield from f.taken()
 
     return rows.mapInArrow(run, "g string, p double, k bigint, y int, w1 array<bigint>, w0 array<bigint>")
 
 
-def _weights(batch: pa.RecordBatch, at: int, to: int, n_boot: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _weights(batch: pa.RecordBatch, at: int, to: int, draws: _Draws) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the positives and of the negatives among rows ``at`` to ``to``: two matrices of rows x draws. Folded rows bring theirs along."""
-    weights = poisson_weights(batch["k"].slice(at, to - at).to_numpy(), n_boot, seed)
-    rare = (batch["y"].slice(at, to - at).to_numpy() == 1)[:, None]
-    w1, w0 = weights * rare, weights * ~rare
-    for i in np.flatnonzero(batch["w1"].slice(at, to - at).is_valid().to_numpy(zero_copy_only=False)):
+    folded = batch["w1"].slice(at, to - at).is_valid().to_numpy(zero_copy_only=False)
+    w1, w0 = np.zeros((to - at, draws.n_boot), np.int64), np.zeros((to - at, draws.n_boot), np.int64)
+    plain = np.flatnonzero(~folded)
+    if len(plain):
+        weights = draws.all_of(batch["k"].slice(at, to - at).to_numpy()[plain])
+        rare = batch["y"].slice(at, to - at).to_numpy()[plain] == 1
+        w1[plain[rare]], w0[plain[~rare]] = weights[rare], weights[~rare]
+    for i in np.flatnonzero(folded):
         w1[i], w0[i] = batch["w1"][at + int(i)].values.to_numpy(), batch["w0"][at + int(i)].values.to_numpy()
     return w1, w0
 
@@ -205,11 +325,12 @@ def _totals(ranged: DataFrame, n_boot: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, str], np.ndarray] = {}
+        draws = _Draws(n_boot, seed)
         for batch in batches:
             keys = list(zip(batch["part"].to_pylist(), batch["g"].to_pylist()))
             for at in range(0, batch.num_rows, BLOCK):
                 to = min(at + BLOCK, batch.num_rows)
-                both = _weights(batch, at, to, n_boot, seed)
+                both = _weights(batch, at, to, draws)
                 some = keys[at:to]
                 for key in dict.fromkeys(some):
                     rows = np.array([k == key for k in some])
@@ -236,15 +357,25 @@ def bootstrap_sums(df: DataFrame, key: str, group: Column, threshold: float, n_b
     """(g, draw, pos, neg, auc, ap, tp, fp, fn, tn): sums over all rows with their weights. ``sizes``: positives and negatives to which each
     draw's weights are scaled for average precision."""
     ship(df.sparkSession)
-    rows = df.select(group.cast("string").alias("g"), F.col("p").cast("double").alias("p"), F.col(key).cast("bigint").alias("k"), F.col("y").cast("int").alias("y")).where("p is not null and y is not null")
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small rows are much work here and must not be coalesced
-    ranged = land(_fold(rows, n_boot, seed).repartitionByRange(ranges, "g", "p").withColumn("part", F.spark_partition_id()), "ranged-scores")
+    rows = df.select(group.cast("string").alias("g"), F.col("p").cast("double").alias("p"), F.col(key).cast("bigint").alias("k"), F.col("y").cast("int").alias("y"))
+    return _sums(rows, threshold, n_boot, seed, sizes)
+
+
+def _sums(rows: DataFrame, threshold: float, n_boot: int, seed: int, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``bootstrap_sums`` of rows (k, y, g, p), with further scores as g1, p1, ..."""
+    scored = reduce(Column.__or__, [F.col(c).isNotNull() for c in rows.columns if c.startswith("p")])
+    rows = rows.where(scored & F.col("y").isNotNull() & F.col("k").isNotNull())  # without a key there is no draw, so no weight
+    tasks = 4 * max(4, rows.sparkSession.sparkContext.defaultParallelism)  # rows are small and much work: files do not say how many tasks they need
+    folded = land(_fold(rows.repartition(tasks, "k", "p"), n_boot, seed), "folded-scores")  # read twice: to find ranges, and to deal them out
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small rows are much work here and must not be coalesced
+    ranged = land(folded.repartitionByRange(ranges, "g", "p").withColumn("part", F.spark_partition_id()), "ranged-scores")
     parts = (ranged.agg(F.max("part")).first()[0] or 0) + 1
     offsets = land(_below(_totals(ranged, n_boot, seed)), "score-offsets")
     dealt = ranged.unionByName(offsets, allowMissingColumns=True).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "g", F.asc_nulls_first("p"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[str, np.ndarray]] = []
+        draws = _Draws(n_boot, seed)
         name: str | None = None
         now: _Range | None = None
         held: tuple[float, np.ndarray, np.ndarray] | None = None  # a run that may go on in the next block
@@ -269,7 +400,7 @@ def bootstrap_sums(df: DataFrame, key: str, group: Column, threshold: float, n_b
                 to = min(at + BLOCK, batch.num_rows)
                 following = np.flatnonzero(heads[at:to])
                 to = at + int(following[0]) if len(following) else to
-                w1, w0 = _weights(batch, at, to, n_boot, seed)
+                w1, w0 = _weights(batch, at, to, draws)
                 scores = p[at:to]
                 starts = np.flatnonzero(np.append(True, scores[1:] != scores[:-1]))
                 scores, w1, w0 = scores[starts], np.add.reduceat(w1, starts, axis=0), np.add.reduceat(w0, starts, axis=0)
@@ -316,22 +447,30 @@ def bootstrap_interval(df: DataFrame, key: str = "row_id", by: Sequence[str] = (
     return interval(draw_metrics(df, key, by, threshold, n_boot, seed), names, by)
 
 
-def paired_bootstrap(wide: DataFrame, a: str, b: str, key: str = "row_id", n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
-    """Difference of AUROC and AP between two systems on the same draws, stratified by class.
+def _system_draws(wide: DataFrame, systems: Sequence[str], key: str, n_boot: int, seed: int) -> DataFrame:
+    """(draw, s, auroc, average_precision) of all systems on the same draws, stratified by class: the weights of a row are computed once.
 
     Stratification: in every draw the weights of each class are scaled back to the size of the class.
     """
-    arr = F.array(F.struct(F.lit("a").alias("s"), F.col(a).cast("double").alias("p")), F.struct(F.lit("b").alias("s"), F.col(b).cast("double").alias("p")))
-    long = wide.select(key, "y", F.explode(arr).alias("q")).select(key, "y", "q.*")
+    ship(wide.sparkSession)
     size = wide.agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg")).first()
-    per = bootstrap_sums(long, key, F.col("s"), 0.5, n_boot, seed, {s: (size["pos"] or 0, size["neg"] or 0) for s in ("a", "b")}).where("pos > 0 and neg > 0")
-    m = per.select("draw", F.col("g").alias("s"), (F.col("auc") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.col("ap").alias("average_precision"))
+    scores = [c for i, s in enumerate(systems) for c in (F.lit(s).alias(f"g{i or ''}"), F.col(s).cast("double").alias(f"p{i or ''}"))]
+    rows = wide.select(F.col(key).cast("bigint").alias("k"), F.col("y").cast("int").alias("y"), *scores)
+    per = _sums(rows, 0.5, n_boot, seed, {s: (size["pos"] or 0, size["neg"] or 0) for s in systems}).where("pos > 0 and neg > 0")
+    return per.select("draw", F.col("g").alias("s"), (F.col("auc") / (F.col("pos") * F.col("neg"))).alias("auroc"), F.col("ap").alias("average_precision"))
+
+
+def _observed(wide: DataFrame, systems: Sequence[str]) -> DataFrame:
+    """(s, auroc, average_precision) of all rows."""
+    arr = F.array(*[F.struct(F.lit(s).alias("s"), F.col(s).cast("double").alias("p")) for s in systems])
+    return rank_metrics(wide.select("y", F.explode(arr).alias("q")).select("y", "q.*"), ["s"])
+
+
+def _difference(draws: DataFrame, observed: DataFrame, a: str, b: str) -> DataFrame:
     pick = lambda c, s: F.max(F.when(F.col("s") == s, F.col(c)))
-    d = m.groupBy("draw").agg(*[(pick(c, "a") - pick(c, "b")).alias(c) for c in ("auroc", "average_precision")])
-    long = d.unpivot([F.col("draw")], ["auroc", "average_precision"], "metric", "delta")
-    both = wide.select("y", F.explode(arr).alias("q")).select("y", "q.*")
-    obs = rank_metrics(both, ["s"])
-    obs = obs.agg(*[(pick(c, "a") - pick(c, "b")).alias(c) for c in ("auroc", "average_precision")]).unpivot([], ["auroc", "average_precision"], "metric", "observed")
+    less = [(pick(c, a) - pick(c, b)).alias(c) for c in ("auroc", "average_precision")]
+    long = draws.where(F.col("s").isin(a, b)).groupBy("draw").agg(*less).unpivot([F.col("draw")], ["auroc", "average_precision"], "metric", "delta")
+    obs = observed.where(F.col("s").isin(a, b)).agg(*less).unpivot([], ["auroc", "average_precision"], "metric", "observed")
     share = lambda c: F.avg(c.cast("double"))
     out = long.join(obs, "metric").groupBy("metric", "observed").agg(
         F.percentile("delta", 0.025).alias("ci_low"), F.percentile("delta", 0.975).alias("ci_high"),
@@ -340,11 +479,14 @@ def paired_bootstrap(wide: DataFrame, a: str, b: str, key: str = "row_id", n_boo
     return out.withColumn("significant", (F.col("p_value") < 0.05).cast("int"))
 
 
+def paired_bootstrap(wide: DataFrame, a: str, b: str, key: str = "row_id", n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
+    """Difference of AUROC and AP between two systems on the same draws, stratified by class."""
+    return _difference(_system_draws(wide, [a, b], key, n_boot, seed), _observed(wide, [a, b]), a, b)
+
+
 def compare_systems(wide: DataFrame, systems: Sequence[str], n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
-    """All pairs: DeLong beside the paired bootstrap of AUROC and AP."""
-    boots = None
-    for i, a in enumerate(systems):
-        for b in systems[i + 1:]:
-            one = paired_bootstrap(wide, a, b, n_boot=n_boot, seed=seed).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "metric", "ci_low", "ci_high", F.col("p_value").alias("boot_p"))
-            boots = one if boots is None else boots.unionByName(one)
-    return delong(wide, systems).join(boots, ["a", "b"])
+    """All pairs: DeLong beside the paired bootstrap of AUROC and AP. A system's draws are computed once, whatever the number of pairs."""
+    draws, observed = land(_system_draws(wide, systems, "row_id", n_boot, seed), "system-draws"), land(_observed(wide, systems), "system-metrics")
+    boots = [_difference(draws, observed, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "metric", "ci_low", "ci_high", F.col("p_value").alias("boot_p"))
+             for i, a in enumerate(systems) for b in systems[i + 1:]]
+    return delong(wide, systems).join(reduce(DataFrame.unionByName, boots), ["a", "b"])

@@ -280,6 +280,39 @@ def test_scores_that_repeat_are_folded_over_a_task(spark):
         assert r["w1"] == w[mine[mine % 3 == 0]].sum(axis=0).tolist() and r["w0"] == w[mine[mine % 3 != 0]].sum(axis=0).tolist()
 
 
+def test_weights_of_a_row_serve_all_systems(spark, monkeypatch):
+    """Three systems, three pairs: rows are weighed and folded once; a missing key or score is left out; each pair is as compared by itself."""
+    from finstrata.operators import inference as N
+
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 50 else None, int(rng.random() < 0.3), *(float(v) for v in np.round(rng.random(3), 1))) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double, c double").withColumn("c", F.when(F.col("c") < 0.9, F.col("c")))
+    names, plain = [], N.land
+    monkeypatch.setattr(N, "land", lambda t, name: names.append(name) or plain(t, name))
+    got = {(r["a"], r["b"], r["metric"]): (r["ci_low"], r["ci_high"], r["boot_p"]) for r in N.compare_systems(df, ["a", "b", "c"], n_boot=15).collect()}
+    assert names.count("folded-scores") == 1 and len(got) == 6
+    weights = np.array([[0] * 15 if r[0] is None else N.poisson_weights(np.array([r[0]]), 15, N.SEED)[0] for r in rows])
+    y = np.array([r[1] for r in rows])
+    data = {"a": np.array([r[2] for r in rows]), "c": np.array([r[4] if r[4] < 0.9 else np.nan for r in rows])}
+
+    def auroc(p, w):
+        w1, w0 = w * y * ~np.isnan(p), w * (1 - y) * ~np.isnan(p)
+        return sum(w1[p == v].sum() * (w0[p < v].sum() + w0[p == v].sum() / 2) for v in np.unique(p[~np.isnan(p)])) / (w1.sum() * w0.sum())
+
+    delta = [auroc(data["a"], w) - auroc(data["c"], w) for w in weights.T]
+    assert got["a", "c", "auroc"][:2] == (pytest.approx(np.percentile(delta, 2.5)), pytest.approx(np.percentile(delta, 97.5)))
+
+
+@pytest.mark.parametrize("high", [50, 2**31 + 5, 2**33, 2**60])
+def test_weights_are_those_of_the_hash(high):
+    from finstrata.operators import inference as N
+
+    keys = np.append(np.random.default_rng(high % 97).integers(0, high, 40), [0, high, N.PRIME - 1, N.PRIME])
+    pair = N._mix(np.arange(300, dtype=np.int64), 17)[None, :] * 40503 + keys[:, None]
+    u = N._mix(pair, 7) / float(N.PRIME)
+    assert (N.poisson_weights(keys, 300, 7) == sum((u >= b).astype(int) for b in N.poisson_bounds())).all()
+
+
 def test_variants_read_landed_columns(spark, sf, monkeypatch):
     from __spark_entry__ import queries
     from finstrata.plans import validation as plans
