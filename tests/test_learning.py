@@ -1,6 +1,7 @@
 """Samplers, neighbours, models and explanations against brute force or known values."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -263,6 +264,30 @@ def test_rows_go_to_slices_not_to_cells(spark, monkeypatch):
     assert landed["asked-further"].count() <= 500 * 2
 
 
+def test_rounds_find_the_same_and_leave_nothing(spark, monkeypatch, tmp_path):
+    """One slice a round or all at once; what a search lands on the way is deleted, except for the list of slices."""
+    df, x, _ = cloud(spark, 400, d=6, hot=False)
+    plain, names = neighbours.land, []
+    monkeypatch.setattr(neighbours, "land", lambda t, name: names.append((name, got := plain(t, name))) or got)
+    found = {}
+    for copies in (1, 1000):
+        monkeypatch.setattr(neighbours, "COPIES", copies)
+        found[copies] = {(r["id"], r["rank"]): r["nid"] for r in nearest(df, df, 3, block=50, pivots=20).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) + np.diag(np.full(400, np.inf))
+    want = {(i, r + 1): int(n) for i in range(400) for r, n in enumerate(np.argsort(far[i], kind="stable")[:3])}
+    assert found[1] == found[1000] == want and sum(n == "found-rows" for n, _ in names) > 2
+    left = {n for n, t in names if os.path.exists(t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/"))}
+    assert left == {"neighbours"} | ({"asked-further"} & left)
+
+
+def test_a_chain_hands_on_landed_rows(spark, monkeypatch):
+    df, _, _ = cloud(spark, 120, hot=False)
+    names, plain = [], R.land
+    monkeypatch.setattr(R, "land", lambda t, name: names.append(name) or plain(t, name))
+    assert R.make_sampler("smote_enn", ratio=0.4)(df).where("id < 0").count() == round(0.4 * 108) - 12
+    assert names == ["sampled-rows"]
+
+
 def test_scores_that_repeat_are_folded_over_a_task(spark):
     from finstrata.operators import inference as N
 
