@@ -229,7 +229,8 @@ class _Folded:
         self.places, self.sums = {}, []
 
 
-def _rows(g: list, p: list, k: list, y: list, w1: pa.Array, w0: pa.Array) -> pa.RecordBatch:
+def _rows(g: list | pa.Array, p: list | pa.Array, k: list | pa.Array, y: list | pa.Array, w1: pa.Array, w0: pa.Array) -> pa.RecordBatch:
+    """All batches of a task have one schema: fields may be null, whatever those were that came in."""
     columns = [pa.array(g, pa.string()), pa.array(p, pa.float64()), pa.array(k, pa.int64()), pa.array(y, pa.int32()), w1, w0]
     return pa.record_batch(columns, names=["g", "p", "k", "y", "w1", "w0"])
 
@@ -257,9 +258,9 @@ def _fold(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
             k, y = table["k"].to_numpy(), table["y"].to_numpy()
             places = [f.placed(table[g], table[p]) for f, (g, p) in zip(folded, scores)]
             for place, (g, p) in zip(places, scores):
-                plain = table.filter(pa.array(place == -1)).select([g, p, "k", "y"]).rename_columns(["g", "p", "k", "y"])
-                none = pa.nulls(plain.num_rows, pa.list_(pa.int64()))
-                yield from plain.append_column("w1", none).append_column("w0", none).to_batches(max_chunksize=PIECE)
+                for plain in table.filter(pa.array(place == -1)).to_batches(max_chunksize=PIECE):
+                    none = pa.nulls(plain.num_rows, pa.list_(pa.int64()))
+                    yield _rows(plain[g], plain[p], plain["k"], plain["y"], none, none)
             runs = [2 * place + (y == 1) for place in places]
             hot = np.flatnonzero(np.any([place >= 0 for place in places], axis=0))
             order = hot[np.lexsort([r[hot] for r in reversed(runs)])]

@@ -328,6 +328,22 @@ def test_weights_of_a_row_serve_all_systems(spark, monkeypatch):
     assert got["a", "c", "auroc"][:2] == (pytest.approx(np.percentile(delta, 2.5)), pytest.approx(np.percentile(delta, 97.5)))
 
 
+def test_a_task_hands_on_folded_scores_and_rows(spark):
+    """The first score repeats, the second one does not: a task folds the one and hands on the other; repeated keys count as often as they occur."""
+    from finstrata.operators import inference as N
+
+    rows = [(i % 400, int(i % 7 == 0), float(i % 2), i / 500.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double")
+    got = {(r["s"], r["draw"]): r["auroc"] for r in N._system_draws(df, ["a", "b"], "row_id", 6, 3).collect()}
+    w, y = N.poisson_weights(np.array([r[0] for r in rows]), 6, 3), np.array([r[1] for r in rows])
+    for at, s in ((2, "a"), (3, "b")):
+        p = np.array([r[at] for r in rows])
+        for d in range(6):
+            w1, w0 = w[:, d] * y, w[:, d] * (1 - y)
+            want = sum(w1[p == v].sum() * (w0[p < v].sum() + w0[p == v].sum() / 2) for v in np.unique(p)) / (w1.sum() * w0.sum())
+            assert got[s, d] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("high", [50, 2**31 + 5, 2**33, 2**60])
 def test_weights_are_those_of_the_hash(high):
     from finstrata.operators import inference as N
